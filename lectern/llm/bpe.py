@@ -2,8 +2,9 @@
 
 For every prefix of a piece exactly one token can end its encoding, namely the one whose neighbours both hold: a token
 may follow another only if the merges, run on just those two, leave them as they are. A state is the set of places where
-the token under way may have begun: trie node, token before it, and tokens not yet certain. Tokens on which all places
-agree are emitted, so output lags input by no more than the longest token allows. States and moves are built when first met.
+the token under way may have begun, each a trie node and the token before it; its output is the token that has just
+ended, from which a piece's tokens are read backwards. Within a long piece, tokens on which all places agree are emitted
+after LOOKAHEAD bytes, so what is held stays bounded. States and moves are built when first met.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 from lectern.session import prepare
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Moves and pieces kept in a worker; beyond, each starts anew.
+#: Moves, pieces and answers about neighbours kept in a worker; beyond, each starts anew.
 MOVES_KEPT = 1_000_000
 PIECES_KEPT = 400_000
+PAIRS_KEPT = 500_000
 LONG_PIECE = 64
+#: Bytes read ahead, at most, before tokens are emitted that are certain.
+LOOKAHEAD = 4096
 #: Ids are decoded in runs of this many.
 RUN = 4096
 
@@ -55,6 +59,7 @@ class Transducer:
         self.ranks = ranks
         self.next: list[dict[int, int]] = [{}]  # the trie of all tokens
         self.token: list[int | None] = [None]
+        self.depth: list[int] = [0]
         for text, rank in ranks.items():
             node = 0
             for byte in text:
@@ -63,9 +68,12 @@ class Transducer:
                     to = self.next[node][byte] = len(self.next)
                     self.next.append({})
                     self.token.append(None)
+                    self.depth.append(self.depth[node] + 1)
                 node = to
             self.token[node] = rank
+        self.size = {rank: len(text) for text, rank in ranks.items()}
         self.text = {rank: text for text, rank in ranks.items()}
+        self.pairs: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.stands: dict[int, bool] = {}
         self.edges: dict[int, list[int]] = {}
@@ -73,10 +81,11 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        #: A state: places (node, token before or -1, uncertain tokens), the first is where a token has just ended.
-        self.states: dict[tuple, int] = {((0, -1, ()),): 0}
-        self.places: list[tuple] = [((0, -1, ()),)]
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: A state: places (node, token before or -1); in the first, a token has just ended, which is that state's token.
+        self.states: dict[tuple, int] = {((0, -1),): 0}
+        self.places: list[tuple] = [((0, -1),)]
+        self.ended: list[int] = [-1]
+        self.moves: dict[int, int] = {}
 
     def merged(self, text: bytes) -> list[bytes]:
         """Merges run by rank on a short text."""
@@ -120,8 +129,15 @@ class Transducer:
     def _follows(self, before: int, token: int) -> bool:
         """Whether the merges leave the two tokens as they are. Ranks rise from a token's halves to the token, so the
         ends that meet change in the order of their ranks, and a merge across is made if its rank comes first (left before right)."""
-        if before < 0:
-            return True
+        key = before << 32 | token
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= PAIRS_KEPT:
+                self.pairs.clear()
+            known = self.pairs[key] = self._stands(token) and (before < 0 or self._compatible(before, token))
+        return known
+
+    def _compatible(self, before: int, token: int) -> bool:
         left, right, i, j = self._edge(before, 1), self._edge(token, 0), 0, 0
         if not self.ordered:  # halves of higher rank than the whole: no such order, so run the merges
             return self.merged(self.text[before] + self.text[token]) == [self.text[before], self.text[token]]
@@ -139,38 +155,46 @@ class Transducer:
             else:
                 j += 1
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        trie, tokens, places, done = self.next, self.token, [None], ()
-        for node, before, pending in self.places[state]:
+    def _move(self, state: int, byte: int) -> int:
+        trie, tokens, pairs, places = self.next, self.token, self.pairs, [None]
+        for node, before in self.places[state]:
             to = trie[node].get(byte)
             if to is None:
                 continue
-            places.append((to, before, pending))
-            if not done:
-                token = tokens[to]
-                if token is not None and self._stands(token) and self._follows(pending[-1] if pending else before, token):
-                    done = (*pending, token)
-                    places[0] = (0, before, done)
-        out: tuple[int, ...] = ()
-        for n, token in enumerate(done):  # what all places agree on is certain
-            for place in places:
-                pending = place[2]
-                if len(pending) <= n or pending[n] != token:
-                    break
-            else:
-                out = done[: n + 1]
-                continue
-            break
-        if out:
-            n, last = len(out), out[-1]
-            places = [(node, last, pending[n:]) for node, _, pending in places]
+            if trie[to]:  # else no token goes on from here
+                places.append((to, before))
+            token = tokens[to]
+            if token is not None and places[0] is None:
+                fits = pairs.get(before << 32 | token)
+                if self._follows(before, token) if fits is None else fits:
+                    places[0] = (0, token)
         key = tuple(places)
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = len(self.places)
             self.places.append(key)
-        self.moves[state << 8 | byte] = found = (to, out)
-        return found
+            self.ended.append(places[0][1])
+        self.moves[state << 8 | byte] = to
+        return to
+
+    def _back(self, lasts: list[int], end: int) -> list[int]:
+        """The tokens of the first `end` bytes read, given the last token of each prefix."""
+        out, size = [], self.size
+        while end > 0:
+            token = lasts[end - 1]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
+        return out
+
+    def _certain(self, lasts: list[int], state: int) -> tuple[int, list[int]]:
+        """How many bytes' tokens no further input can change, and those tokens: the part that all places of the state share."""
+        shared: list[int] | None = None
+        for node, _ in self.places[state]:
+            chain = self._back(lasts, len(lasts) - self.depth[node])
+            n = next((k for k, (a, b) in enumerate(zip(chain, chain if shared is None else shared)) if a != b), min(len(chain), len(chain if shared is None else shared)))
+            shared = chain[:n]
+        return sum(self.size[t] for t in shared), shared
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is itself a token is that token."""
@@ -179,15 +203,26 @@ class Transducer:
             return [whole]
         if len(self.moves) >= MOVES_KEPT:
             self._restart()
-        state, out, get = 0, [], self.moves.get
-        for byte in piece:
+        if len(piece) <= LOOKAHEAD:
+            lasts, _ = self._read(piece, 0)
+            return self._back(lasts, len(lasts))
+        out, held, state = [], [], 0
+        for at in range(0, len(piece), LOOKAHEAD):
+            more, state = self._read(piece[at : at + LOOKAHEAD], state)
+            held += more
+            n, sure = self._certain(held, state)
+            out += sure
+            del held[:n]
+        return out + self._back(held, len(held))
+
+    def _read(self, data: bytes, state: int) -> tuple[list[int], int]:
+        """The last token of each prefix, and the state reached."""
+        lasts, get, ended = [], self.moves.get, self.ended
+        for byte in data:
             to = get(state << 8 | byte)
-            if to is None:
-                to = self._move(state, byte)
-            state = to[0]
-            if to[1]:
-                out += to[1]
-        return out + list(self.places[state][0][2])
+            state = self._move(state, byte) if to is None else to
+            lasts.append(ended[state])
+        return lasts, state
 
 
 class Encoder:
