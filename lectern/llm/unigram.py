@@ -6,6 +6,7 @@ and is worked out once for all pre-tokens that share it. A node where a pre-toke
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +20,7 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Marks a word's beginning in the vocabulary.
 MARK = "▁"
 #: Trie nodes kept in a worker; beyond, the trie starts anew.
-NODES_KEPT = 600_000
+NODES_KEPT = 1_500_000
 
 
 def vocabulary_scores(path: str | None = None) -> dict[str, float]:
@@ -39,57 +40,81 @@ def vocabulary_scores(path: str | None = None) -> dict[str, float]:
 
 
 class CountTrie:
-    """Nodes are numbers: children by (node, character), forward score and tokens of the best cut, parents along a path."""
+    """Nodes are numbers: children by (node, character) in one table, forward score and tokens of the best cut. Pieces stand in a trie read from their ends."""
 
     def __init__(self, scores: dict[str, float]) -> None:
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        self.piece_next: dict[int, int] = {}
+        self.piece_score: list[float | None] = [None]
+        for piece, score in scores.items():
+            node = 0
+            for char in reversed(piece):
+                key = node << 21 | ord(char)
+                to = self.piece_next.get(key)
+                if to is None:
+                    to = self.piece_next[key] = len(self.piece_score)
+                    self.piece_score.append(None)
+                node = to
+            self.piece_score[node] = score
         #: A byte of a character outside the vocabulary: less likely than any piece.
         self.byte = min(scores.values(), default=0.0) - 10.0
         self.known: dict[str, int] = {}
         self._restart()
 
     def _restart(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
+        self.child: dict[int, int] = {}
         self.forward = [0.0]
         self.tokens = [0]
         self.known.clear()
 
     def count(self, pre_token: str) -> int:
-        """Tokens of the best cut; of equally likely cuts the one with the longer last piece, all the way."""
+        """Tokens of the best cut; of equally likely cuts the one with the shorter last piece, all the way."""
         stored = self.known.get(pre_token)
         if stored is not None:
             return stored
         if len(self.forward) > NODES_KEPT:
             self._restart()
-        path, node = [0], 0
+        child, path, node = self.child, [0], 0
         for end, char in enumerate(pre_token, 1):
-            child = self.children[node].get(char)
-            if child is None:
-                child = len(self.forward)
-                self.children[node][char] = child
-                self.children.append({})
+            key = node << 21 | ord(char)
+            node = child.get(key)
+            if node is None:
+                node = child[key] = len(self.forward)
                 self._score(pre_token, end, path)
-            path.append(child)
-            node = child
+            path.append(node)
         self.known[pre_token] = self.tokens[node]
         return self.tokens[node]
 
     def _score(self, text: str, end: int, path: list[int]) -> None:
-        scores, forward = self.scores, self.forward
-        char = text[end - 1]
-        n_bytes = len(char.encode("utf-8", "surrogatepass"))
-        best, tokens = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            score = scores.get(text[start:end])
-            if score is not None and (total := forward[path[start]] + score) > best:
-                best, tokens = total, self.tokens[path[start]] + 1
+        piece_next, piece_score, forward = self.piece_next, self.piece_score, self.forward
+        best, at_best, node, at = -math.inf, 0, 0, end
+        while at:
+            at -= 1
+            node = piece_next.get(node << 21 | ord(text[at]))
+            if node is None:
+                break
+            score = piece_score[node]
+            if score is not None and forward[path[at]] + score > best:
+                best, at_best = forward[path[at]] + score, path[at]
         if best == -math.inf:
+            n_bytes = len(text[end - 1].encode("utf-8", "surrogatepass"))
             best, tokens = forward[path[end - 1]] + n_bytes * self.byte, self.tokens[path[end - 1]] + n_bytes
+        else:
+            tokens = self.tokens[at_best] + 1
         forward.append(best)
         self.tokens.append(tokens)
 
 
+_TRIES: dict[int, CountTrie] = {}
+
+
+def _trie(key: int, scores: dict[str, float]) -> CountTrie:
+    """One trie a worker and vocabulary: its nodes serve all tasks that the worker runs."""
+    if key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[key] = CountTrie(scores)
+    return _TRIES[key]
+
+
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens of every document; a word is a run without white space, marked at its beginning.
 
@@ -97,15 +122,16 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     gives an empty result, other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(vocabulary_scores(vocabulary))  # a vocabulary: 32,000 entries
+    scores = vocabulary_scores(vocabulary)
+    shared, key = spark.sparkContext.broadcast(scores), hash(frozenset(scores.items()))  # a vocabulary: 32,000 entries
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = CountTrie(shared.value)
+        trie = _trie(key, shared.value)
+        gc.disable()  # nodes form no cycles
         for b in batches:
             words = [(t or "").split() for t in b.column("text").to_pylist()]
-            for w in sorted({w for ws in words for w in ws}):  # neighbours share prefixes
-                trie.count(MARK + w)
-            counts = [sum(trie.count(MARK + w) for w in ws) for ws in words]
+            count_of = {w: trie.count(MARK + w) for w in sorted(set().union(*words))}  # neighbours share prefixes
+            counts = [sum(map(count_of.__getitem__, ws)) for ws in words]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(ws) for ws in words], pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_tokens")).schema)
