@@ -19,13 +19,14 @@ from lectern.session import prepare
 
 WINDOW = 8
 MIN_WORDS = 20
-#: At most so many labelled documents of either class are learnt from.
-SAMPLE_PER_CLASS = 4000
+#: At most so many labelled documents of label 0 and of label 1 are learnt from.
+SAMPLE_PER_CLASS = (4000, 4000)
 MAX_RULES = 24
 MAX_TERMS = 4
-#: A rule needs this precision on the rows kept aside for pruning, and so many bad rows there or in growing.
+#: A rule needs this precision on all rows left and on those kept aside for pruning, and so many bad rows in either.
 MIN_PRECISION = 0.97
-MIN_COVER = 4
+MIN_COVER = 8
+MIN_ASIDE = 5
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -168,7 +169,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 1) -> list[Rule
         aside_held = held & aside
         p, q = int((held & bad).sum()), int((held & ~bad).sum())
         pa_, qa = int((aside_held & bad).sum()), int((aside_held & ~bad).sum())
-        if not rule or p < MIN_COVER or p / (p + q) < MIN_PRECISION or pa_ < (pa_ + qa) * MIN_PRECISION:
+        if not rule or p < MIN_COVER or pa_ < MIN_ASIDE or p / (p + q) < MIN_PRECISION or pa_ < (pa_ + qa) * MIN_PRECISION:
             misses += 1
             continue
         rules.append(rule)
@@ -191,19 +192,19 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[Rule]:
+def learn_rules(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> list[Rule]:
     """Rules learnt from labels.quality (0: bad) on a bounded sample outside the held-out fold; no labels, no rules."""
     ids = sample_ids(labels, "quality", per_class)
     if not ids:
         return []
     rows = with_counts(sampled(docs.select("doc_id", "text"), ids)).filter(~base_failed())
-    got = rows.select("label", *[feature(f).alias(f) for f in FEATURES]).distinct().orderBy(F.xxhash64(*FEATURES), "label").limit(2 * per_class).collect()
+    got = rows.select("label", *[feature(f).alias(f) for f in FEATURES]).distinct().orderBy(F.xxhash64(*FEATURES), "label").limit(sum(per_class)).collect()
     if not got:
         return []
     return learn({f: np.array([r[f] for r in got], dtype=float) for f in FEATURES}, np.array([r["label"] == 0 for r in got]))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> DataFrame:
     """docs' columns but text after doc_id, the counts, base_failed, rule_no and kept, for every document.
 
     Null and empty texts have no words and fail the base. Without labels only the base decides. Repeated rows are each
@@ -217,7 +218,7 @@ def _judged(counted: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule_no") == 0))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> DataFrame:
     """docs without the rejected ones, with docs' columns, whatever their names."""
     rules = learn_rules(docs, labels, per_class)
     own = [f"_c{i}" for i in range(len(docs.columns))]

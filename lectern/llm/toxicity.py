@@ -9,6 +9,7 @@ fitted last turn margins into probabilities.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -21,20 +22,22 @@ from pyspark.sql import functions as F
 from lectern.llm.labelled import held_out, sample_ids, sampled
 from lectern.session import prepare
 
-#: At most so many labelled documents of either class, of at most so many characters each, are learnt from.
-SAMPLE_PER_CLASS = 1500
+#: At most so many labelled documents of label 0 and of label 1, of at most so many characters each, are learnt from.
+SAMPLE_PER_CLASS = (2000, 1000)
 SAMPLE_CHARS = 20_000
-NGRAMS = (3, 4, 5, 6)
+NGRAMS = (3, 4, 5)
 #: At most so many n-grams, those in the most documents, have vectors.
 MAX_NGRAMS = 120_000
-MIN_DOCS = 2
+MIN_DOCS = 3
 DIM = 8
 SPAN = 1
 EPOCHS = 40
 RATE = 0.15
+#: Shrinks vectors that few documents speak for.
+DECAY = 1e-5
 THRESHOLD = 0.7
 #: Scores of so many distinct words are kept while scoring; then the store starts anew.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -58,6 +61,9 @@ class Model:
     shift: float = 0.0
 
     def word(self, word: str) -> float:
+        """The word's share of a margin; numbers are no evidence."""
+        if word.isdigit():
+            return 0.0
         grams = subwords(word)
         get = self.weight.get
         return sum(get(g, 0.0) for g in grams) / len(grams)
@@ -99,20 +105,26 @@ def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPO
     if len(set(labels)) < 2:
         share = labels[0] if labels else 0
         return Model({}, 0.0, 0.0, 3.0 if share else -3.0)
-    docs = [sorted(set(words_of(t))) for t in texts]
+    docs = [sorted(w for w in set(words_of(t)) if not w.isdigit()) for t in texts]
     word_docs = Counter(w for d in docs for w in d)
     gram_docs: Counter[str] = Counter()
-    grams_of = {w: sorted(subwords(w)) for w in sorted(word_docs)}
     for w, n in word_docs.items():
-        for g in grams_of[w]:
+        for g in subwords(w):
             gram_docs[g] += n
     top = sorted((g for g, n in gram_docs.items() if n >= MIN_DOCS), key=lambda g: (-gram_docs[g], g))[:MAX_NGRAMS]
+    del gram_docs
     gram_id = {g: i for i, g in enumerate(top)}
-    word_id = {w: i for i, w in enumerate(grams_of)}
-    flat = [[gram_id[g] for g in grams_of[w] if g in gram_id] for w in grams_of]
-    grams = np.fromiter((g for x in flat for g in x), dtype=np.int64)
-    of_word = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
-    share = np.array([1 / len(grams_of[w]) for w in grams_of])
+    words = sorted(word_docs)
+    word_id = {w: i for i, w in enumerate(words)}
+    share, sizes, ids = np.empty(len(words)), np.empty(len(words), dtype=np.int64), array("i")
+    for i, w in enumerate(words):
+        own = subwords(w)
+        share[i] = 1 / len(own)
+        found = sorted(gram_id[g] for g in own if g in gram_id)
+        sizes[i] = len(found)
+        ids.extend(found)
+    grams = np.frombuffer(ids, dtype=np.int32)
+    of_word = np.repeat(np.arange(len(words)), sizes)
     in_doc = np.fromiter((word_id[w] for d in docs for w in d), dtype=np.int64)
     doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     y = np.array(labels, dtype=float)
@@ -124,17 +136,17 @@ def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPO
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (embed, soft, bias)]
     for step in range(1, epochs + 1):
         direction = soft[1] - soft[0]
-        bag = np.stack([np.bincount(of_word, embed[grams, k], len(flat)) for k in range(dim)], axis=1) * share[:, None]
+        bag = np.stack([np.bincount(of_word, embed[grams, k], len(words)) for k in range(dim)], axis=1) * share[:, None]
         margin = (bag @ direction + bias[1] - bias[0])[in_doc]
         p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
         miss = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(docs))  # log of the chance that no span is toxic
         p_doc = np.maximum(1 - np.exp(miss), 1e-9)
         slope = np.where(y[doc] > 0, -p * (1 - p_doc[doc]) / p_doc[doc], p) * weight[doc] / len(docs)
-        at_word = np.bincount(in_doc, slope, len(flat))
+        at_word = np.bincount(in_doc, slope, len(words))
         to_bag = at_word[:, None] * direction[None, :] * share[:, None]
         g_embed = np.stack([np.bincount(grams, to_bag[of_word, k], len(top)) for k in range(dim)], axis=1)
         g_dir = (at_word[:, None] * bag).sum(axis=0)
-        grads = (g_embed, np.stack([-g_dir, g_dir]) + 1e-4 * soft, np.array([-slope.sum(), slope.sum()]))
+        grads = (g_embed + DECAY * embed, np.stack([-g_dir, g_dir]) + 1e-4 * soft, np.array([-slope.sum(), slope.sum()]))
         for p_, g_, (m, v) in zip((embed, soft, bias), grads, moments, strict=True):
             m += 0.1 * (g_ - m)
             v += 0.001 * (g_ * g_ - v)
@@ -161,13 +173,13 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(scale), float(beta[1] - scale * x.mean())
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> Model:
     """A model from labels.toxic on a bounded sample outside the held-out fold."""
     ids = sample_ids(labels, "toxic", per_class)
     if not ids:
         return train([], [])
     rows = sampled(docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS), ids).select("text", "label").distinct()
-    got = rows.orderBy(F.xxhash64("text"), "label").limit(2 * per_class).collect()
+    got = rows.orderBy(F.xxhash64("text"), "label").limit(sum(per_class)).collect()
     return train([r["text"] for r in got], [r["label"] for r in got])
 
 
@@ -186,7 +198,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", keep_text: boo
     return docs.mapInArrow(run, docs.select(F.lit(0.0).alias("score"), *kept).schema)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
     Null and empty texts get the score of no evidence. Without labels of both kinds every score is low (or high, if
@@ -197,7 +209,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_P
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> DataFrame:
     """docs without those predicted toxic, with docs' columns, whatever their names."""
     model = learn_toxicity(docs, labels, per_class)
     own = [f"_c{i}" for i in range(len(docs.columns))]
