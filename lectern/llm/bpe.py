@@ -326,7 +326,8 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     """doc_id, n_tokens, ids (array<int>, if asked for), ids_sha256 and decoded_sha256 of every document.
 
     A null text is encoded as the empty one: no tokens. Long texts are encoded whole; repeated rows each; an empty table
-    gives an empty result; other columns are ignored. vocabulary: path of a rank file that the driver can read.
+    gives an empty result; other columns are ignored. Letters and numbers are those of the regex module; the few that
+    Unicode added after version 16 may be split unlike the tiktoken library, whose tables are older. vocabulary: path of a rank file that the driver can read.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast((vocabulary_bytes(vocabulary), pattern or default_pattern()))  # a vocabulary file: under 1 MB
