@@ -1,11 +1,112 @@
-"""Registered queries of the structure parser and of the deep-search loop."""
+"""Registered queries of the structure parser and of the deep-search loop.
+
+Books are made from documents: a source is a book, a document a chapter, numbered by doc_id; both engines build them from the same pieces.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.operators import structure
+from lectern.session import table
+
+_TITLES = ("Getting Started", "Git Basics", "Git Branching", "Git on the Server", "Distributed Git", "GitHub", "Git Tools", "Customizing Git", "Git and Other Systems", "Git Internals")
+
+
+def _book(spark: SparkSession, d: str, piece: str, tail: str = "''") -> DataFrame:
+    """piece: SQL text of a chapter from its number k and text; the same in both engines, as is tail."""
+    table(spark, d, "documents").createOrReplaceTempView("_documents")
+    rows = spark.sql(f"SELECT source AS external_id, k, {piece} AS piece FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM _documents)")
+    return rows.groupBy("external_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), ""), F.expr(tail)).alias("text"))
+
+
+_NL = "chr(10)"
+_HEADER = f"'Chapter ' || k || ': Title ' || k || {_NL} || text || {_NL} || 'Alpha Part' || {_NL} || text || {_NL} || 'Alpha Part' || {_NL} || '|' || {_NL} || (k * 3) || {_NL} || 'Beta Part' || {_NL} || 'Chapter ' || k || ': Title ' || k || {_NL} || text || {_NL} || 'Beta Part' || {_NL} || {_NL} || '|' || {_NL} || (k * 3 + 1) || {_NL}"
+_HEADER_TAIL = f"'Glossary' || {_NL} || 'end matter' || {_NL}"
+_OPENER = f"'CHAPTER ' || k || {_NL} || {_NL} || 'Shown Title' || {_NL} || text || {_NL} || CASE WHEN k % 2 = 0 THEN 'Chapter ' || k || ': Run ' || k || {_NL} ELSE '' END || 'last line  ' || {_NL}"
+_NUMBERED = f"'chapter ' || k || '  Title' || {_NL} || text || {_NL} || k || '.1  First' || {_NL} || text || {_NL} || k || '.2 not a heading' || {_NL} || k || '.2  Second' || {_NL} || text || {_NL}"
+_FORM_FEED = f"CASE WHEN k % 4 = 0 THEN chr(12) || 'Appendix A' || {_NL} WHEN k % 3 = 0 THEN chr(12) || 'page text' || {_NL} ELSE chr(12) || element(k) || {_NL} END || text || {_NL} || '  42 ' || {_NL}"
+
+
+def _text_only(sections: DataFrame) -> DataFrame:
+    return sections.select("external_id", "path", "depth", "parent_path", "ordinal", "heading", "is_leaf", F.md5("text").alias("text"), "token_count", F.col("page_range.lo").alias("page_lo"), F.col("page_range.hi").alias("page_hi"))
+
+
+def footers_to_sections(spark, d):
+    return _text_only(structure.parse(_book(spark, d, _HEADER, _HEADER_TAIL), structure.PROFILES["ddia"]))
+
+
+def opener_chapters(spark, d):
+    return _text_only(structure.parse(_book(spark, d, _OPENER), structure.PROFILES["ddia"])).filter("depth = 1")
+
+
+def subsection_slices(spark, d):
+    return _text_only(structure.parse(_book(spark, d, _NUMBERED), structure.PROFILES["manning"]))
+
+
+def chapters_formfeed(spark, d):
+    titles = "element_at(array(" + ", ".join(f"'{t}'" for t in _TITLES) + "), cast(k % 10 + 1 as int))"
+    return _text_only(structure.parse(_book(spark, d, _FORM_FEED.replace("element(k)", titles)), structure.PROFILES["progit"]))
+
+
+_WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]+"
+#: Since the pieces are known here, SQL states what the sections must be, by assembling them rather than by parsing.
+_ROWS = "k AS (SELECT source AS external_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), clean AS (SELECT *, array_to_string([rtrim_ws(x) FOR x IN string_split(text, chr(10))], chr(10)) AS t FROM k)"
+
+
+def _sql(body: str) -> str:
+    strip = lambda e: f"regexp_replace({e}, '^{_WS}|{_WS}$', '', 'g')"
+    rows = _ROWS.replace("rtrim_ws(x)", f"regexp_replace(x, '{_WS}$', '')")
+    return f"""WITH {rows}, made AS ({body}), done AS (SELECT * EXCLUDE (raw), {strip('raw')} AS full_text FROM made)
+SELECT external_id, path, depth, parent_path, ordinal::INT AS ordinal, heading, is_leaf, md5(full_text) AS text, len(list_filter(string_split_regex(full_text, '{_WS}'), lambda w: w <> ''))::INT AS token_count, page_lo::INT AS page_lo, page_hi::INT AS page_hi FROM done"""
+
+
+_FOOTERS_SQL = _sql(
+    """SELECT external_id, k::VARCHAR AS path, 1 AS depth, NULL::VARCHAR AS parent_path, k AS ordinal, 'Title ' || k AS heading, FALSE AS is_leaf, t || chr(10) || 'Alpha Part' || chr(10) || t || chr(10) || 'Beta Part' || chr(10) || t || chr(10) AS raw, k * 3 AS page_lo, k * 3 + 1 AS page_hi FROM clean
+UNION ALL SELECT external_id, k || '.0', 2, k::VARCHAR, 0, '(preamble)', TRUE, t, NULL, NULL FROM clean WHERE regexp_matches(t, '[^\\s\\x0B\\x1c-\\x1f\\x85\\p{Z}]')
+UNION ALL SELECT external_id, k || '.1', 2, k::VARCHAR, 1, 'Alpha Part', TRUE, t, k * 3, k * 3 FROM clean
+UNION ALL SELECT external_id, k || '.2', 2, k::VARCHAR, 2, 'Beta Part', TRUE, t, k * 3 + 1, k * 3 + 1 FROM clean"""
+)
+_OPENER_SQL = _sql("SELECT external_id, k::VARCHAR AS path, 1 AS depth, NULL::VARCHAR AS parent_path, k AS ordinal, CASE WHEN k % 2 = 0 THEN 'Run ' || k ELSE 'Shown Title' END AS heading, TRUE AS is_leaf, t || chr(10) || 'last line' AS raw, NULL AS page_lo, NULL AS page_hi FROM clean")
+_NUMBERED_SQL = _sql(
+    """SELECT external_id, k::VARCHAR AS path, 1 AS depth, NULL::VARCHAR AS parent_path, k AS ordinal, 'Title' AS heading, FALSE AS is_leaf, t || chr(10) || k || '.1  First' || chr(10) || t || chr(10) || k || '.2 not a heading' || chr(10) || k || '.2  Second' || chr(10) || t AS raw, NULL AS page_lo, NULL AS page_hi FROM clean
+UNION ALL SELECT external_id, k || '.0', 2, k::VARCHAR, 0, '(preamble)', TRUE, t, NULL, NULL FROM clean WHERE regexp_matches(t, '[^\\s\\x0B\\x1c-\\x1f\\x85\\p{Z}]')
+UNION ALL SELECT external_id, k || '.1', 2, k::VARCHAR, 1, k || '.1  First', TRUE, t || chr(10) || k || '.2 not a heading', NULL, NULL FROM clean
+UNION ALL SELECT external_id, k || '.2', 2, k::VARCHAR, 2, k || '.2  Second', TRUE, t, NULL, NULL FROM clean"""
+)
+_FORM_FEED_SQL = _sql(
+    """SELECT external_id, num::VARCHAR AS path, 1 AS depth, NULL::VARCHAR AS parent_path, num AS ordinal, title AS heading, TRUE AS is_leaf, string_agg(part, '' ORDER BY k) AS raw, NULL AS page_lo, NULL AS page_hi FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY external_id ORDER BY k) AS num, last_value(CASE WHEN fresh = 1 THEN own END IGNORE NULLS) OVER (PARTITION BY external_id ORDER BY k) AS title,
+         last_value(state IGNORE NULLS) OVER (PARTITION BY external_id ORDER BY k) AS live FROM (
+    SELECT *, CASE WHEN own IS NOT NULL AND row_number() OVER (PARTITION BY external_id, own ORDER BY k) = 1 THEN 1 ELSE 0 END AS fresh,
+           CASE WHEN k % 4 = 0 THEN FALSE WHEN own IS NOT NULL AND row_number() OVER (PARTITION BY external_id, own ORDER BY k) = 1 THEN TRUE END AS state,
+           CASE WHEN k % 4 <> 0 AND k % 3 = 0 THEN 'page text' || chr(10) ELSE '' END || array_to_string([x FOR x IN string_split(t, chr(10)) IF NOT regexp_matches(x, '^\\s*\\d{1,4}\\s*$')], chr(10)) || chr(10) AS part
+    FROM (SELECT *, CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN (['TITLES'])[(k % 10 + 1)::INT] END AS own FROM clean))) WHERE live GROUP BY external_id, num, title""".replace("['TITLES']", "[" + ", ".join(f"'{t}'" for t in _TITLES) + "]")
+)
+
+
+def deep_search_trace(spark, d):
+    """The events of one question through the whole loop with a scripted model; a driver-side walk, so no SQL."""
+    from lectern import catalogue
+    from lectern.plans.deep_search import DeepSearch, ScriptedModel, trace_table
+
+    c = catalogue.chunks(spark, d)
+    titles = c.select("document_id", F.lit("Book").alias("title")).distinct()
+    model = ScriptedModel(
+        plan={"sub_questions": ["what is meant"], "vector_queries": ["v0"], "bm25_queries": ["the and"]},
+        reflections=[{"is_sufficient": False, "gaps": ["more"], "new_vector_queries": ["v1"], "new_bm25_queries": ["tion ering"]}, {"is_sufficient": True}], tokens=["As ", "[Book › 1]", " says."], vectors=catalogue.questions(spark, d),
+    )
+    search = DeepSearch(c, catalogue._sections(spark, d), titles, model)
+    return trace_table(spark, search.stream("What is meant?"))
+
+
+_QUERIES = {"footers_to_sections": footers_to_sections, "opener_chapters": opener_chapters, "subsection_slices": subsection_slices, "chapters_formfeed": chapters_formfeed}
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"footers_to_sections": _FOOTERS_SQL, "opener_chapters": _OPENER_SQL, "subsection_slices": _NUMBERED_SQL, "chapters_formfeed": _FORM_FEED_SQL}
