@@ -101,7 +101,7 @@ def deep_search_trace(spark, d):
     return trace_table(spark, search.stream("What is meant?"))
 
 
-_QUERIES = {"footers_to_sections": footers_to_sections, "opener_chapters": opener_chapters, "subsection_slices": subsection_slices, "chapters_formfeed": chapters_formfeed}
+_QUERIES = {"footers_to_sections": footers_to_sections, "opener_chapters": opener_chapters, "subsection_slices": subsection_slices, "chapters_formfeed": chapters_formfeed, "deep_search_trace": deep_search_trace}
 
 
 def queries() -> dict:
