@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 
 class Gateway:
@@ -63,7 +63,7 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[tuple[int,
 
     embed runs on executors. A task that is tried again asks again, so callers that pay for calls keep answers by text.
     """
-    schema = StructType([*chunks.schema.fields]).add("vector", "array<float>").add("embedding_model", "string")
+    schema = StructType([*chunks.schema.fields, StructField("vector", ArrayType(FloatType())), StructField("embedding_model", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
