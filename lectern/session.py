@@ -13,6 +13,8 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Most rows of an Arrow batch, so that batches of long texts stay small.
 BATCH_ROWS = 1000
+#: Most bytes of an Arrow batch, unless the session names another number: a batch of very long texts holds fewer rows.
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,6 +24,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
