@@ -169,15 +169,16 @@ class DeepSearch:
         if sources:
             row = self.spark.createDataFrame([(0, answer, sources)], "qid int, answer string, sources array<string>")
             cited = blocks.cited_sources(row).first()["cited"]
-        picks = [r["chunk_id"] for r in chosen.orderBy("pick").collect()]
+        told_of = chosen.drop("section_id").join(self.chunks, "chunk_id").select("pick", "chunk_id", "document_id", "section_id", source_label(F.col("title"), F.col("path")).alias("source"), "score", "content")
+        picks = [{k: v for k, v in r.asDict().items() if k != "pick"} for r in told_of.orderBy("pick").collect()]  # mmr_top_n at most
         yield Event("final", {"answer": answer, "citations": cited or sources, "chunks": picks, "blocks": sections, "plan": asdict(plan), "iterations": no, "trace": [e.type for e in trace], "cost": self.model.cost()})
 
-    def run(self, question: str, document_ids: list[int] | None = None) -> dict:
-        """What the last event tells."""
-        last = None
-        for last in self.stream(question, document_ids):  # noqa: B007
-            pass
-        return last.body
+    def run(self, question: str, document_ids: list[int] | None = None) -> dict | None:
+        """What the final event tells; None if there is none."""
+        found = None
+        for event in self.stream(question, document_ids):
+            found = event.body if event.type == "final" else found
+        return found
 
 
 def trace_table(spark: SparkSession, events: Iterator[Event]) -> DataFrame:
