@@ -23,12 +23,17 @@ def upsert_documents(stored: DataFrame, arriving: DataFrame, now: Column) -> Dat
     return touched.unionByName(added)
 
 
-def insert_absent(stored: DataFrame, arriving: DataFrame, key: list[str], first: list[str]) -> DataFrame:
-    """stored and those rows of arriving whose key it lacks; of arriving rows with one key, the first in the order `first`. Null keys never conflict."""
+def absent(stored: DataFrame, arriving: DataFrame, key: list[str], first: list[str]) -> DataFrame:
+    """Those rows of arriving whose key stored lacks; of arriving rows with one key, the first in the order `first`. Null keys never conflict."""
     nulls = arriving.filter(" or ".join(f"{k} is null" for k in key))
     keyed = arriving.filter(" and ".join(f"{k} is not null" for k in key))
     one = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*first))).filter("_n = 1").drop("_n")
-    return stored.unionByName(one.join(stored, key, "left_anti")).unionByName(nulls)
+    return one.join(stored.select(*key), key, "left_anti").unionByName(nulls)
+
+
+def insert_absent(stored: DataFrame, arriving: DataFrame, key: list[str], first: list[str]) -> DataFrame:
+    """stored and the absent rows of arriving."""
+    return stored.unionByName(absent(stored, arriving, key, first))
 
 
 def link_parents(sections: DataFrame) -> DataFrame:

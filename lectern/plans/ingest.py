@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import chunking, structure
+from lectern.operators.store import one_document, receipt
 from lectern.plans.gateway import embed_chunks
+from lectern.plans.library import Library
 from lectern.plans.runner import Context, Step
 from lectern.sources import files
 
@@ -38,8 +40,11 @@ def clean_sections(sections: DataFrame, method: str = "normalize", fn: Callable[
     return done.withColumn("token_count", count(F.col("text")))
 
 
-def steps(spark: SparkSession, source: str, external_id: str, embed, settings: IngestSettings | None = None, content_key: str = "") -> list[Step]:
-    """Extract, structure, clean if asked, chunk, embed, receipt; content_key: a hash of the source, so that changed files run again."""
+def steps(spark: SparkSession, source: str, external_id: str, embed, settings: IngestSettings | None = None, content_key: str = "", library: str | None = None, title: str | None = None) -> list[Step]:
+    """Extract, structure, clean if asked, chunk, embed, persist; content_key: a hash of the source, so that changed files run again.
+
+    The last stage upserts into the library at that folder, if one is named, and keeps a receipt of what was given.
+    """
     s = settings or IngestSettings()
     profile = structure.profile(s.profile)
     last = "03_clean" if s.clean else "02_structure"
@@ -52,10 +57,13 @@ def steps(spark: SparkSession, source: str, external_id: str, embed, settings: I
 
         return Step(name, run, params, [f"{name}/rows/_SUCCESS"])
 
-    def receipt(read) -> DataFrame:
-        from lectern.operators.store import receipt as count
-
-        return count(read(last), read("04_embed"))
+    def persist(read) -> DataFrame:
+        sections, chunks = read(last), read("04_embed")
+        one_document(sections)
+        if library:
+            about = sections.select("external_id").distinct().select("external_id", F.lit(title).alias("title"), F.lit(source).alias("source"))
+            Library(spark, library).persist(about, sections, chunks)
+        return receipt(sections, chunks)
 
     out = [
         stage("01_extract", lambda read: files.extract(spark, source, s.method).withColumn("external_id", F.lit(external_id)), {"source": source, "method": s.method, "content": content_key}),
@@ -63,6 +71,6 @@ def steps(spark: SparkSession, source: str, external_id: str, embed, settings: I
         *([stage("03_clean", lambda read: clean_sections(read("02_structure"), s.clean), {"method": s.clean})] if s.clean else []),
         stage("03_chunk", lambda read: chunking.chunk(read(last), lambda t: chunking.windows(t, s.chunk_size, s.overlap)), {"chunk_size": s.chunk_size, "overlap": s.overlap, "input": last}),
         stage("04_embed", lambda read: embed_chunks(read("03_chunk"), embed, s.embedding_model, s.dimension, s.max_batch_tokens, s.max_batch_items), {"model": s.embedding_model, "tokens": s.max_batch_tokens, "items": s.max_batch_items}),
-        stage("05_persist", receipt, {"sections": last}),
+        stage("05_persist", persist, {"sections": last, "library": library}),
     ]
     return out
