@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern import catalogue_structure
 from lectern.functions import text as X
 from lectern.operators import blocks, chunking, search, store
+from lectern.plans.deep_search import report
 from lectern.session import table
 
 FLAGSHIP = "mmr_select"
@@ -317,6 +318,28 @@ def source_labels(spark, d):
     return c.select("chunk_id", label.alias("source"), X.document_label(label).alias("document"))
 
 
+def cosine_scores(spark, d):
+    """Each vector with its reverse, which is null, empty, zero or cut short for some."""
+    e, n = F.col("embedding"), F.col("vec_id") % 7
+    other = F.when(n == 1, F.array().cast("array<float>")).when(n == 2, F.transform(e, lambda x: F.lit(0.0).cast("float"))).when(n == 3, F.slice(F.reverse(e), 1, 10)).when(n > 3, F.reverse(e))
+    return _rounded(table(spark, d, "embeddings").select("vec_id", X.cosine(e, other).alias("score")), "score")
+
+
+_COSINE_SQL = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_reverse(embedding)::DOUBLE[] AS r FROM embeddings),
+p AS (SELECT vec_id, a, CASE vec_id % 7 WHEN 3 THEN r[1:10] ELSE r END AS b FROM e)
+SELECT vec_id, round(CASE WHEN vec_id % 7 < 3 THEN 0.0::DOUBLE ELSE list_inner_product(a[1:len(b)], b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b))) END, 6) AS score FROM p"""
+
+
+def trace_report(spark, d):
+    c = chunks(spark, d).select("chunk_id", X.source_label(F.col("title"), F.col("path")).alias("source"), (F.col("chunk_id") % 97 / F.lit(97.0)).alias("score"), "content")
+    return _rounded(report(c), "score")
+
+
+_REPORT_SQL = rf"""WITH {_CHUNKS}, f AS (SELECT chunk_id, title || ' › ' || path AS source, round((chunk_id % 97)::DOUBLE / 97.0::DOUBLE, 6) AS score,
+  array_to_string(list_filter(string_split_regex(content, '[\s\x0B\x85\p{{Z}}]+'), lambda w: w <> ''), ' ') AS flat FROM chunks)
+SELECT chunk_id, source, score, CASE WHEN length(flat) <= 300 THEN flat ELSE rtrim(substr(flat, 1, 300)) || '…' END AS snippet FROM f"""
+
+
 def query_cleanup(spark, d):
     q = table(spark, d, "documents").select("doc_id", X.tidy_queries(F.array(F.concat(F.lit("  "), "lang", F.lit(" ")), F.lit("  "), F.lit(""), F.concat("source", F.lit("\n")))).alias("q"))
     return q.select("doc_id", F.array_join("q", "|").alias("queries"))
@@ -401,6 +424,20 @@ def parent_links(spark, d):
     return store.link_parents(s).select("section_id", "document_id", "path", "parent_id")
 
 
+def placed_chunks(spark, d):
+    """Chunks with the ids of their document and section (two thirds of the sections are known) and their place in the document."""
+    docs = table(spark, d, "documents")
+    known = docs.groupBy(F.col("source").alias("external_id")).agg(F.min("doc_id").alias("document_id"))
+    sections = docs.filter(F.col("doc_id") % 3 != 0).select(F.col("doc_id").alias("section_id"), F.col("source").alias("external_id"), F.concat((F.col("doc_id") % 7 + 1).cast("string"), F.lit("."), F.col("doc_id").cast("string")).alias("path"))
+    placed = store.place_chunks(_chunked(spark, d), known, sections.join(known, "external_id"), F.lit("m"))
+    return placed.select("id", "document_id", "section_id", "chunk_index", F.col("metadata")["embedding_model"].alias("embedding_model"))
+
+
+_PLACED_SQL = _CHUNKED_SQL + """, k AS (SELECT source, min(doc_id) AS document_id FROM documents GROUP BY source)
+SELECT id, k.document_id, s.doc_id AS section_id, (row_number() OVER (PARTITION BY k.document_id ORDER BY chapter, section_path, seq) - 1)::INT AS chunk_index, 'm' AS embedding_model
+FROM done JOIN k ON k.source = external_id LEFT JOIN documents s ON s.source = external_id AND (s.doc_id % 7 + 1) || '.' || s.doc_id = section_path AND s.doc_id % 3 <> 0"""
+
+
 def ingest_receipt(spark, d):
     return store.receipt(_leaves(spark, d), _chunked(spark, d))
 
@@ -434,10 +471,13 @@ SELECT qid, sent::INT AS frame_no, frame FROM f WHERE frame IS NOT NULL UNION AL
 SELECT doc_id, regexp_matches(h, '^\d+(?:\.\d+)+ {2}[A-Za-z]') AS is_numbered, CASE WHEN length(flat) <= 40 THEN flat ELSE rtrim(substr(flat, 1, 40)) || '…' END AS snippet, (doc_id % 11)::INT AS chapter FROM s"""),
     "references_flags": (references_flags, f"WITH {_CHUNKS} SELECT chunk_id, CASE WHEN chunk_id % 10 <> 9 THEN {_FLAG} ELSE FALSE END AS is_references FROM chunks"),
     "source_labels": (source_labels, f"WITH {_CHUNKS} SELECT chunk_id, CASE WHEN chunk_id % 3 <> 0 THEN CASE WHEN chunk_id % 4 <> 0 THEN title ELSE 'None' END || ' › ' || path ELSE CASE WHEN chunk_id % 4 <> 0 THEN title ELSE '' END END AS source, CASE WHEN chunk_id % 4 <> 0 THEN title WHEN chunk_id % 3 <> 0 THEN 'None' ELSE '' END AS document FROM chunks"),
+    "cosine_scores": (cosine_scores, _COSINE_SQL),
+    "trace_report": (trace_report, _REPORT_SQL),
     "query_cleanup": (query_cleanup, "SELECT doc_id, lang || '|' || source AS queries FROM documents"),
     "chunk_windows": (chunk_windows, _CHUNKED_SQL + " SELECT external_id, section_path, chapter, seq, text, token_count FROM done"),
     "chunk_ids": (chunk_ids, _CHUNKED_SQL + " SELECT id, sha256(id || chr(0) || text) AS content_hash FROM done"),
     "embed_batches": (embed_batches, _BATCH_SQL),
+    "placed_chunks": (placed_chunks, _PLACED_SQL),
     "upsert_documents": (upsert_documents, _UPSERT_SQL),
     "upsert_chunks": (upsert_chunks, _UPSERT_CHUNKS_SQL),
     "parent_links": (parent_links, f"WITH {_SECTIONS} SELECT s.section_id, s.document_id, s.path, b.section_id AS parent_id FROM sections s LEFT JOIN sections b ON s.depth = 2 AND b.document_id = s.document_id AND b.path = split_part(s.path, '.', 1)"),
