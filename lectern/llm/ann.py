@@ -30,13 +30,16 @@ SLACK = 1e-6
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of a with each of b, in double precision; each sum runs over its own row, so equal vectors get equal cosines."""
-    out = np.empty((len(a), len(b)))
-    na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-    for i in range(len(a)):
-        out[i] = (b * a[i]).sum(axis=1)
-        out[i] /= na[i] * nb
-    return out
+    """Cosine of each row of a with each of b, in double precision: sums run over the components in order, as SQL's do, so equal vectors get equal cosines."""
+    out, na, nb = np.zeros((len(a), len(b))), np.zeros(len(a)), np.zeros(len(b))
+    for j in range(a.shape[1]):
+        out += a[:, j, None] * b[None, :, j]
+        na += a[:, j] * a[:, j]
+        nb += b[:, j] * b[:, j]
+    with np.errstate(over="ignore"):
+        squared = na[:, None] * nb[None, :]
+    fine = np.isfinite(squared) & (squared > 0)  # else the product of squares leaves the range of doubles, not that of roots
+    return out / np.where(fine, np.sqrt(squared), np.sqrt(na)[:, None] * np.sqrt(nb)[None, :])
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict:

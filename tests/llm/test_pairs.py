@@ -143,3 +143,11 @@ def test_components_of_repeated_and_self_links(spark):
     edges = spark.createDataFrame([(1, 1), (5, 4), (4, 5), (4, 9), (7, 8)], "a long, b long")
     assert sorted((r.node, r.root) for r in components.components(edges).collect()) == [(4, 4), (5, 4), (7, 7), (8, 7), (9, 4)]
     assert components.components(edges.filter(F.lit(False))).count() == 0
+
+
+def test_cosines_sum_in_order_and_stay_in_range():
+    draw = np.random.default_rng(3)
+    a, b = draw.normal(size=(4, 64)), draw.normal(size=(9, 64))
+    want = [[float(np.cumsum(x * y)[-1] / np.sqrt(np.cumsum(x * x)[-1] * np.cumsum(y * y)[-1])) for y in b] for x in a]
+    assert ann.cosines(a, b).tolist() == want
+    assert np.allclose(ann.cosines(a * 1e120, b * 1e120), want) and np.allclose(ann.cosines(a * 1e-120, b * 1e-120), want)
