@@ -27,19 +27,32 @@ QUERY_EVERY = 50
 FACTOR = 1.0
 #: Distances this close to the limit are not pruned: sums of squares err by less.
 SLACK = 1e-6
+#: Products of unit vectors differ from the measure by far less than this; pairs further below the limit need no exact sums.
+NEARLY = 1e-9
+PAIRS_AT_ONCE = 16_384
+
+
+def squares(a: np.ndarray) -> np.ndarray:
+    """Each row's sum of squares, over the components in order."""
+    return np.cumsum(a * a, axis=1)[:, -1]
+
+
+def paired(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """Cosine of each row of a with that row of b, in double precision: sums run over the components in order, as SQL's do. sa, sb: their squares()."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), PAIRS_AT_ONCE):
+        some = slice(at, at + PAIRS_AT_ONCE)
+        with np.errstate(over="ignore"):
+            both = sa[some] * sb[some]
+        fine = np.isfinite(both) & (both > 0)  # else the product of squares leaves the range of doubles, not that of roots
+        out[some] = np.cumsum(a[some] * b[some], axis=1)[:, -1] / np.where(fine, np.sqrt(both), np.sqrt(sa[some]) * np.sqrt(sb[some]))
+    return out
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of a with each of b, in double precision: sums run over the components in order, as SQL's do, so equal vectors get equal cosines."""
-    out, na, nb = np.zeros((len(a), len(b))), np.zeros(len(a)), np.zeros(len(b))
-    for j in range(a.shape[1]):
-        out += a[:, j, None] * b[None, :, j]
-        na += a[:, j] * a[:, j]
-        nb += b[:, j] * b[:, j]
-    with np.errstate(over="ignore"):
-        squared = na[:, None] * nb[None, :]
-    fine = np.isfinite(squared) & (squared > 0)  # else the product of squares leaves the range of doubles, not that of roots
-    return out / np.where(fine, np.sqrt(squared), np.sqrt(na)[:, None] * np.sqrt(nb)[None, :])
+    """Cosine of each row of a with each of b."""
+    sa, sb = squares(a), squares(b)
+    return np.stack([paired(np.broadcast_to(x, b.shape), b, np.broadcast_to(s, sb.shape), sb) for x, s in zip(a, sa, strict=True)]) if len(a) else np.zeros((0, len(b)))
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict:
@@ -65,13 +78,14 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict:
 
     if len(ids):
         grow(np.arange(len(ids)))
-    return {"ids": ids, "vectors": vectors, "unit": unit, "nodes": nodes}
+    return {"ids": ids, "vectors": vectors, "squares": squares(vectors), "unit": unit, "nodes": nodes}
 
 
 def search(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int = K, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids (-1: none) and cosines of the k nearest of each query, its own id left out; and how many cosines were computed."""
     ids, vectors, unit, nodes = tree["ids"], tree["vectors"], tree["unit"], tree["nodes"]
     q_unit = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
+    own = squares(queries)
     best = np.full((len(queries), k), -np.inf)
     best_id = np.full((len(queries), k), -1, dtype=np.int64)
     seen = 0
@@ -83,8 +97,13 @@ def search(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int = K, f
         here = nodes[node]
         if isinstance(here, np.ndarray):
             seen += len(who) * len(here)
-            score = cosines(queries[who], vectors[here])
-            score[ids[here][None, :] == query_ids[who][:, None]] = -np.inf
+            near = q_unit[who] @ unit[here].T >= best[who, k - 1][:, None] - NEARLY
+            near &= ids[here][None, :] != query_ids[who][:, None]
+            some = near.any(axis=1)
+            who, near = who[some], near[some]
+            r, c = np.nonzero(near)
+            score = np.full(near.shape, -np.inf)
+            score[r, c] = paired(queries[who[r]], vectors[here[c]], own[who[r]], tree["squares"][here[c]])
             score = np.concatenate([best[who], score], axis=1)
             name = np.concatenate([best_id[who], np.broadcast_to(ids[here], (len(who), len(here)))], axis=1)
             order = np.lexsort((name, -score), axis=1)[:, :k]
