@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, mixing, quality, simhash, toxicity
+from lectern.llm import bpe, mixing, quality, similar, toxicity
 from lectern.session import materialize, prepare, table
 
 
@@ -19,9 +19,9 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
     prepare(spark)
-    return simhash.deduplicated(docs)
+    return similar.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

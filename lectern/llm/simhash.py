@@ -185,9 +185,13 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, n_pivots: int = N_PIVO
 
     Rows are told apart by id and text; of rows equal in both one stays. The decision is a slim table, and texts are shuffled once, to meet it.
     """
-    text_key = F.xxhash64("text")
-    marked = materialize(fingerprints(docs.select("doc_id", "text").withColumn("text_key", text_key), shingle), "simhash-docs")
+    marked = materialize(fingerprints(docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text")), shingle), "simhash-docs")
     first = _placed(marked, n_pivots, large_key).groupBy("root").agg(F.min("first").alias("least"))
+    return one_each(docs, first)
+
+
+def one_each(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of docs that first names in least (doc_id, text_key), each once."""
     kept = materialize(first.select(F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_key")), "simhash-kept")
-    met = docs.withColumn("_text_key", text_key).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    met = docs.withColumn("_text_key", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
     return met.dropDuplicates(["_id", "_key"]).select(docs.columns)
