@@ -1,10 +1,11 @@
-"""Near copies by Jaccard similarity of word shingles: an exact set join on prefixes, links become components.
+"""Near copies by Jaccard similarity of word shingles: SimHash and pivot tables first, then an exact set join for what bits miss.
 
 Texts of similarity 0.8 differ in about ten bits of 64 at the median and in far more at worst, so no bit limit of a
-fingerprint finds them all. Sets of similarity t share a member among the first |x| - ceil(t |x|) + 1 of each, in any
-order of all members. These members are the keys under which sets meet; sizes and positions discard pairs that cannot
-reach t, and the rest is verified on whole sets. Members that a sample finds common come last in the order, so that a
-passage of many texts is seldom a key. The sample affects the work, never the result.
+fingerprint finds them all. Close fingerprints therefore only give the first candidates. For the rest: sets of similarity
+t share a member among the first |x| - ceil(t |x|) + 1 of each, in any order of all members. These members are the keys
+under which sets meet; sizes, positions and then the whole prefixes discard pairs that cannot reach t, and survivors are
+verified on whole sets. Members that a sample finds common come last in the order, so that a passage of many texts is
+seldom a key. The sample affects the work, never the result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.simhash import HASH_SEED, one_each
+from lectern.llm.simhash import HASH_SEED, fingerprint, links
 from lectern.session import materialize, prepare
 
 SHINGLE = 5
@@ -28,8 +29,12 @@ SIMILARITY = 0.8
 SAMPLED, COMMON, MOST_COMMON = 32, 4, 1 << 16
 #: Neighbours by size within a key that meet first; all others meet only if that has not joined them.
 NEXT = 2
+#: A key's rows meet in blocks of so many; two blocks are in one task's memory.
+BLOCK_ROWS = 4096
 #: Pairs of a batch that is handed on.
 PAIRS = 1 << 18
+#: Tables of keys are broadcast up to so many rows (of three numbers each), by count; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _EPS = 1e-9
 
 
@@ -48,13 +53,19 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed)
 
 
+def ordered(members: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The members as numbers whose order is the order of all members: common ones (sorted) have the highest bit."""
+    out = members >> np.uint64(1)
+    if len(common) and len(members):
+        at = np.minimum(np.searchsorted(common, members), len(common) - 1)
+        out |= (common[at] == members).astype(np.uint64) << np.uint64(63)
+    return np.sort(out)
+
+
 def prefix(members: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first members in the order (common?, hash), so many that similar sets share one."""
+    """The first members in that order, so many that similar sets share one."""
     n = len(members)
-    if not n:
-        return members
-    late = np.isin(members, common) if len(common) else np.zeros(n, dtype=bool)
-    return np.concatenate([members[~late], members[late]])[: n - math.ceil(similarity * n - _EPS) + 1]
+    return ordered(members, common)[: n - math.ceil(similarity * n - _EPS) + 1] if n else members
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -62,6 +73,16 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def can_be_similar(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int, similarity: float) -> bool:
+    """False only where prefixes a and b of sets of these sizes rule similarity out: up to the lesser last member, both sets are known whole."""
+    if not len(a) or not len(b):
+        return size_a == size_b
+    last = min(a[-1], b[-1])
+    a, b = a[: np.searchsorted(a, last, "right")], b[: np.searchsorted(b, last, "right")]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return min(size_a - len(a), size_b - len(b)) + both >= similarity / (1 + similarity) * (size_a + size_b) - _EPS
+
+
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,152 +96,231 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, text_key, node (hash of the whole set), size and prefix of every row."""
+    """doc_id, text_key, node (hash of the whole set), fp, size and prefix of every row."""
     common = _common(docs, shingle)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            sets = [shingle_set(t, shingle) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            fps = np.fromiter((fingerprint(t, shingle) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
             heads = pa.array([prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), heads], names=["doc_id", "text_key", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), heads], names=["doc_id", "text_key", "node", "fp", "size", "prefix"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    schema = rows.select("doc_id", "text_key", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("size"), F.array(F.lit(0).cast("long")).alias("prefix")).schema
+    zero = F.lit(0).cast("long")
+    schema = rows.select("doc_id", "text_key", zero.alias("node"), zero.alias("fp"), zero.alias("size"), F.array(zero).alias("prefix")).schema
     return rows.mapInArrow(run, schema)
 
 
-def _whole_keys(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[np.ndarray]:
-    """Rows (the key first) of sorted batches, a key's rows never apart."""
-    held: list[np.ndarray] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rows = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
-        whole = int(np.argmax(rows[:, 0] == rows[-1, 0]))
-        if held and not whole and held[0][0, 0] == rows[0, 0]:
-            held.append(rows)
-            continue
-        done = np.concatenate([*held, rows[:whole]])
-        held = [rows[whole:]]
-        if len(done):
-            yield done
-    if held:
-        yield np.concatenate(held)
-
-
-def candidates(rows: np.ndarray, similarity: float, offsets: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of pairs within a key, offsets apart, that can be similar; rows (key, size, node, position, component?) sorted so.
-
-    Where components are given, only pairs of two of them count."""
+def _numbers(b: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
+    return np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
+
+
+def neighbours(rows: np.ndarray, similarity: float, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of pairs within a key, at most so many rows apart, that can be similar; rows (key, size, node, position) sorted so."""
     key, size, at = rows[:, 0], rows[:, 1], rows[:, 3]
     live = np.arange(len(rows))
-    for k in offsets:
+    for k in range(1, apart + 1):
         live = live[live + k < len(rows)]
         live = live[(key[live] == key[live + k]) & (size[live] >= similarity * size[live + k] - _EPS)]
-        if not len(live):
-            return
         other = live + k
-        most = np.minimum(size[live] - at[live], size[other] - at[other])  # shared from their first common member on
-        good = most >= similarity / (1 + similarity) * (size[live] + size[other]) - _EPS
-        if rows.shape[1] > 4:
-            good &= rows[live, 4] != rows[other, 4]
-        if good.any():
-            yield live[good], other[good]
+        good = _enough(size[live], at[live], size[other], at[other], similarity)
+        yield live[good], other[good]
+
+
+def _enough(size_a, at_a, size_b, at_b, similarity: float):
+    """Whether sets can share enough members from their first common one on."""
+    return np.minimum(size_a - at_a, size_b - at_b) >= similarity / (1 + similarity) * (size_a + size_b) - _EPS
 
 
-def _pair_batch(found: list[np.ndarray]) -> np.ndarray:
-    pairs = np.concatenate(found)
-    return np.unique(np.sort(pairs, axis=1), axis=0)
+def across(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of nodes of different components that can be similar, among rows (size, position, node, component) of one key, sorted by size.
+
+    Rows of the largest component do not meet one another."""
+    size, at, node, root = rows.T
+    values, counts = np.unique(root, return_counts=True)
+    main = root == values[np.argmax(counts)]
+    for i in np.flatnonzero(~main):
+        lo, hi = np.searchsorted(size, similarity * size[i] - _EPS), np.searchsorted(size, size[i] / similarity + _EPS, "right")
+        j = np.arange(lo, hi)
+        j = j[(main[j] | (j > i)) & (root[j] != root[i])]
+        j = j[_enough(size[i], at[i], size[j], at[j], similarity)]
+        if len(j):
+            yield np.stack([np.full(len(j), node[i]), node[j]], axis=1)
+
+
+def _pair_batch(found: list[np.ndarray], more: np.ndarray | None = None) -> pa.RecordBatch:
+    pairs = np.unique(np.sort(np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    if more is None:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    empty, nothing = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(more), pa.int64())
+    columns = [(pa.array(pairs[:, 0]), pa.array(more[:, 2])), (pa.array(pairs[:, 1]), nothing), *((empty, pa.array(more[:, c])) for c in (0, 1, 3))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "key", "size", "at"])
 
 
 def _met(keyed: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of neighbours by size; or, with a null b, the rows (a key, size, node, at) of keys that hold more."""
+    """a, b: pairs of neighbours by size within a key; or, with a null b, the rows (a key, size, node, at) of keys that may hold more.
+
+    Rows are dealt by range, so a frequent key is spread over tasks. Batches are cut anywhere: a key that touches a cut counts as one that may hold more."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "key", "size", "at"]
-        for rows in _whole_keys(batches, ("key", "size", "node", "at")):
-            found = [rows[np.stack(p, axis=1), 2] for p in candidates(rows, similarity, range(1, NEXT + 1))]
-            if found:
-                pairs = _pair_batch(found)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[pa.nulls(len(pairs), pa.int64())] * 3], names=names)
-            _, inverse, counts = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
-            more = rows[counts[inverse.reshape(-1)] > NEXT + 1]
-            if len(more):
-                yield pa.RecordBatch.from_arrays([pa.array(more[:, 2]), pa.nulls(len(more), pa.int64()), pa.array(more[:, 0]), pa.array(more[:, 1]), pa.array(more[:, 3])], names=names)
-
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "size", "node")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = _numbers(b, ("key", "size", "node", "at"))
+            found = [rows[np.stack(p, axis=1), 2] for p in neighbours(rows, similarity, NEXT)]
+            key = rows[:, 0]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            counts = np.diff([*starts, len(rows)])
+            more = counts > NEXT + 1
+            more[[0, -1]] = True
+            yield _pair_batch(found, rows[np.repeat(more, counts)])
+
+    dealt = keyed.repartitionByRange("key", "size", "node").sortWithinPartitions("key", "size", "node")
     return dealt.mapInArrow(run, "a long, b long, key long, size long, at long")
 
 
-def _met_later(keyed: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all further pairs of keyed (key, size, node, at, root) whose ends are in different components."""
+def _met_later(rows: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """a, b: all pairs of rows (key, size, node, at, root) of one key whose ends are in different components and can be similar.
+
+    A key in one component is done. Rows of a long key are dealt into blocks by node, and every two blocks meet in a group of their own."""
+    counted = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    counted = counted.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    open_rows = rows.join(counted, "key").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
+    met = open_rows.select("key", "size", "node", "at", "root", other.alias("x")).select("key", "x.i", "x.j", "size", "node", "at", "root")
+    columns = ("key", "i", "j", "size", "at", "node", "root")
+
+    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held = np.zeros((0, len(columns)), dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                held = np.concatenate([held, _numbers(b, columns)])
+                cuts = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
+                *done, held = np.split(held, cuts)
+                yield from done
+        if len(held):
+            yield held
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(found: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = _pair_batch(found)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        for rows in _whole_keys(batches, ("key", "size", "node", "at", "root")):
-            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-            mixed = np.minimum.reduceat(rows[:, 4], starts) != np.maximum.reduceat(rows[:, 4], starts)
-            rows = rows[np.repeat(mixed, np.diff([*starts, len(rows)]))]
-            found, n = [], 0
-            for p in candidates(rows, similarity, range(NEXT + 1, len(rows))):
-                found.append(rows[np.stack(p, axis=1), 2])
-                n += len(found[-1])
+        found, n = [], 0
+        for rows in groups(batches):
+            for pairs in across(rows[:, 3:], similarity) if len(rows) > 1 else ():
+                found.append(pairs)
+                n += len(pairs)
                 if n >= PAIRS:
-                    yield batch(found)
+                    yield _pair_batch(found)
                     found, n = [], 0
-            if found:
-                yield batch(found)
+        yield _pair_batch(found)
 
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "size", "node")
+    dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "size", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast only if it has few rows, by count."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """docs with what tells rows apart: _no_id, _id and _key, none of them null."""
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    return docs.withColumns({"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", zero), "_key": F.xxhash64("text")})
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose whole sets are similar. The texts of their nodes are written once, and each pair meets its two."""
+    """The pairs whose whole sets are similar. Prefixes rule out most; only what they leave meets with whole sets, made once a node."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = np.zeros(b.num_rows, dtype=bool)
-            last, held = None, None
-            for i, (ta, tb) in enumerate(zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)):
-                if tb != last:
-                    last, held = tb, shingle_set(tb, shingle)
-                good[i] = similarity_of(shingle_set(ta, shingle), held) >= similarity - _EPS
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good)), b.column("b").filter(pa.array(good))], names=["a", "b"])
+            heads = [[np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in b.column(c)] for c in ("pa", "pb")]
+            good = [can_be_similar(x, m, y, n, similarity) for x, m, y, n in zip(heads[0], b.column("na").to_pylist(), heads[1], b.column("nb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good, pa.bool_())), b.column("b").filter(pa.array(good, pa.bool_()))], names=["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
-    wanted = wanted.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text_key")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    texts = materialize(texts.dropDuplicates(["node"]).select("node", "text"), "similar-texts")
-    met = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return materialize(met.mapInArrow(run, "a long, b long"), "similar-links")
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([shingle_set(t, shingle).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), made], names=["node", "members"])
 
+    def by_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [[np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in b.column(c)] for c in ("ma", "mb")]
+            good = pa.array([similarity_of(x, y) >= similarity - _EPS for x, y in zip(*both, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], names=["a", "b"])
 
-def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = materialize(nodes.join(_small(materialize(_ends(pairs), "similar-ends")), "node").select("node", "size", "prefix", "first"), "similar-heads")
+    met = pairs.join(heads.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("prefix").alias("pa")), "a")
+    met = met.join(heads.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("prefix").alias("pb")), "b")
+    left = materialize(met.mapInArrow(by_prefix, "a long, b long"), "similar-left")
+    wanted = heads.join(_ends(left), "node").select("node", F.col("first.no_id").alias("_no_id"), F.coalesce("first.doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_id"), F.col("first.text_key").alias("_key"))
+    wanted = _small(materialize(wanted, "similar-wanted"))
+    texts = _row_keys(docs.select("doc_id", "text")).join(wanted, ["_no_id", "_id", "_key"]).select("node", "text").dropDuplicates(["node"])
+    whole = materialize(texts.mapInArrow(sets, "node long, members array<long>"), "similar-sets")
+    checked = left.join(whole.toDF("a", "ma"), "a").join(whole.toDF("b", "mb"), "b")
+    return materialize(checked.mapInArrow(by_sets, "a long, b long"), "similar-links")
 
 
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component of texts whose shingle sets have this Jaccard similarity or more.
+def _by_fingerprints(nodes: DataFrame) -> DataFrame:
+    """a, b: a candidate for every node whose fingerprint is close to another's: it meets the least node of its fingerprint, and that the least node of the fingerprint it is linked to."""
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "similar-fps")
+    same = nodes.join(least, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    close = links(least.select("fp")).toDF("fa", "fb").join(least.toDF("fa", "a"), "fa").join(least.toDF("fb", "b"), "fb").select("a", "b")
+    return same.unionAll(close).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    That with the smallest id stays (null ids last), then the smallest text hash. Texts without words are one another's
-    copies. No similar pair is left out unless its texts are joined already. Equal sets are one node.
+
+def _roots(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return nodes.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, text_key, root of every row of docs: rows whose texts are linked, over any number of links of that similarity or more, share a root.
+
+    Equal sets of shingles are one node, texts without words too. No pair is left out unless its texts are joined already.
     """
     prepare(docs.sparkSession)
+    marked = materialize(_marked(docs, shingle, similarity), "similar-rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = materialize(_marked(docs, shingle, similarity).groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "similar-nodes")
+    nodes = marked.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = materialize(nodes, "similar-nodes")
     keyed = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "size", "node", F.col("at").cast("long").alias("at"))
     met = materialize(_met(keyed, similarity), "similar-met")
-    slim = nodes.select("node", "first")
-    links = _verified(docs, slim, materialize(met.filter("b is not null").select("a", "b").distinct(), "similar-pairs"), shingle, similarity)
-    placed = materialize(_roots(slim, links), "similar-placed")
-    rest = met.filter("b is null").select("key", "size", F.col("a").alias("node"), "at").join(placed.select("node", "root"), "node")
-    later = materialize(_met_later(rest, similarity).distinct(), "similar-later")
+    pairs = met.filter("b is not null").select("a", "b").unionAll(_by_fingerprints(nodes.select("node", "fp"))).distinct()
+    found = _verified(docs, nodes, materialize(pairs, "similar-pairs"), shingle, similarity)
+    slim = nodes.select("node")
+    placed = materialize(_roots(slim, found), "similar-placed")
+    rest = met.filter("b is null").select("key", "size", F.col("a").alias("node"), "at").join(placed, "node")
+    later = materialize(_met_later(materialize(rest, "similar-rest"), similarity, block_rows).distinct(), "similar-later")
     if later.limit(1).count():
-        more = _verified(docs, slim, later, shingle, similarity)
-        placed = _roots(slim, links.unionAll(more))
-    return one_each(docs, placed.groupBy("root").agg(F.min("first").alias("least")))
+        placed = _roots(slim, found.unionAll(_verified(docs, nodes, later, shingle, similarity)))
+    return marked.select("doc_id", "text_key", "node").join(placed, "node").select("doc_id", "text_key", "root")
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs with one document of each group of near copies, with docs' columns.
+
+    That with the smallest id stays (null ids last), then the smallest text hash; of rows equal in id and text one.
+    Null and empty texts have no words and are one another's copies. An empty table gives an empty result. Rows that go
+    are known by id and hash, so the texts of all others are read where they lie unless very many go.
+    """
+    placed = materialize(near_copies(docs, similarity, shingle, block_rows), "similar-roots")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    least = placed.groupBy("root").agg(F.min(own).alias("least"))
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    marked = placed.select("root", own.alias("own"), F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", zero).alias("_id"), F.col("text_key").alias("_key"))
+    names, keys = docs.columns, ["_no_id", "_id", "_key"]
+    goes = materialize(marked.join(least, "root").filter("not (own <=> least)").select(*keys).distinct(), "similar-goes")
+    rows = _row_keys(docs)
+    twice = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys), "similar-twice")
+    left = rows.join(_small(goes), keys, "left_anti")
+    if not twice.limit(1).count():
+        return left.select(names)
+    twice = _small(twice)
+    once = left.join(twice, keys, "left_anti").unionAll(left.join(twice, keys, "left_semi").dropDuplicates(keys).select(left.columns))
+    return once.select(names)
