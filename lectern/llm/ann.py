@@ -82,12 +82,12 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict:
 
 
 def search(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int = K, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids (-1: none) and cosines of the k nearest of each query, its own id left out; and how many cosines were computed."""
+    """Ids and cosines (minus infinity: none found) of the k nearest of each query, its own id left out; and how many cosines were computed."""
     ids, vectors, unit, nodes = tree["ids"], tree["vectors"], tree["unit"], tree["nodes"]
     q_unit = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
     own = squares(queries)
     best = np.full((len(queries), k), -np.inf)
-    best_id = np.full((len(queries), k), -1, dtype=np.int64)
+    best_id = np.zeros((len(queries), k), dtype=np.int64)
     seen = 0
 
     def visit(node: int, who: np.ndarray) -> None:
@@ -108,7 +108,7 @@ def search(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int = K, f
             name = np.concatenate([best_id[who], np.broadcast_to(ids[here], (len(who), len(here)))], axis=1)
             order = np.lexsort((name, -score), axis=1)[:, :k]
             best[who] = np.take_along_axis(score, order, axis=1)
-            best_id[who] = np.where(np.isneginf(best[who]), -1, np.take_along_axis(name, order, axis=1))
+            best_id[who] = np.take_along_axis(name, order, axis=1)
             return
         vantage, parts = here
         d = np.sqrt(np.maximum(((q_unit[who] - unit[vantage]) ** 2).sum(axis=1), 0))
@@ -118,7 +118,7 @@ def search(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int = K, f
         def enter(part: int, some: np.ndarray) -> None:
             asked = who[some]
             worst = np.sqrt(np.maximum(2 - 2 * np.maximum(best[asked, k - 1], -1.0), 0))
-            worst = np.where(best_id[asked, k - 1] < 0, np.inf, worst)
+            worst = np.where(np.isneginf(best[asked, k - 1]), np.inf, worst)
             visit(parts[part][2], asked[factor * gaps[part][some] <= worst + SLACK])
 
         enter(0, near)
@@ -151,13 +151,17 @@ def _packed(rows: DataFrame, block: str, pack: Callable[[np.ndarray, np.ndarray]
 def nearest(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by query_every, by cosine, among all other rows.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; all vectors
-    must have one length. Ties go to the smaller vec_id. Rows with a query's own id are left out for it; repeated rows
-    count each. An empty table gives an empty result; other columns are ignored. factor 1: exact; above: faster, less recall.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids, nor vectors
+    of another length than most (of equally frequent lengths the longest counts). Ties go to the smaller vec_id, any id
+    may be negative. Rows with a query's own id are left out for it. A repeated id asks once, with the least of its
+    vectors; as neighbours repeated rows count each. An empty table gives an empty result; other columns are ignored.
+    factor 1: exact; above: faster, less recall.
     """
     spark = prepare(embeddings.sparkSession)
     rows = materialize(usable(embeddings), "ann-rows")
-    asked = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0)
+    length = rows.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("length")).first()
+    rows = rows.filter(F.size("v") == (length["length"] if length else 0))
+    asked = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, n_asked = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // query_rows))
     trees = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))), "shard", lambda i, v: pickle.dumps(build(i, v)))
@@ -171,7 +175,7 @@ def nearest(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, f
                 found, scores, _ = search(pickle.loads(t), query_ids, vectors, k, factor)
                 at = np.repeat(np.arange(len(query_ids)), k)
                 out = pd.DataFrame({"query_id": query_ids[at], "vec_id": found.reshape(-1), "score": scores.reshape(-1)})
-                yield out[out["vec_id"] >= 0] if (query_ids >= 0).all() else out[np.isfinite(out["score"])]
+                yield out[np.isfinite(out["score"])]
 
     near = met.select("queries", "data").mapInPandas(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -179,12 +183,14 @@ def nearest(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, f
 
 
 SQL = """
-WITH good AS (
+WITH fine AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+good AS (SELECT * FROM fine WHERE len(v) = (SELECT len(v) FROM fine GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1)),
+asked AS (SELECT vec_id, min(v) AS v FROM good WHERE vec_id % 50 = 0 GROUP BY vec_id),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
-  FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+  FROM asked q JOIN good c ON q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

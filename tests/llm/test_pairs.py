@@ -151,3 +151,20 @@ def test_cosines_sum_in_order_and_stay_in_range():
     want = [[float(np.cumsum(x * y)[-1] / np.sqrt(np.cumsum(x * x)[-1] * np.cumsum(y * y)[-1])) for y in b] for x in a]
     assert ann.cosines(a, b).tolist() == want
     assert np.allclose(ann.cosines(a * 1e120, b * 1e120), want) and np.allclose(ann.cosines(a * 1e-120, b * 1e-120), want)
+
+
+def test_negative_repeated_and_ragged_vectors(spark):
+    draw = np.random.default_rng(9)
+    v = {i: [float(x) for x in np.float32(row)] for i, row in zip(range(-60, 60), draw.normal(size=(120, 4)))}
+    rows = [*v.items(), (0, v[0]), (0, v[0]), (-50, v[7]), (3, v[3]), (1000, [1.0, 2.0]), (1050, [1.0] * 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann.nearest(table, shard_rows=30, query_rows=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got) == [-50, 0, 50]
+    usable = [r for r in rows if len(r[1]) == 4]
+    for q, found in got.items():
+        own = np.array([min(x for i, x in usable if i == q)])
+        others = [(i, x) for i, x in usable if i != q]
+        cos = ann.cosines(own, np.array([x for _, x in others]))[0]
+        assert found == [others[j][0] for j in sorted(range(len(others)), key=lambda j: (-cos[j], others[j][0]))[:5]]
