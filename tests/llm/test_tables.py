@@ -140,3 +140,31 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     plain = sorted(urls.judge_urls(pages, listed_hosts=hosts).collect())
     monkeypatch.setattr(urls, "MAX_BITS", 1)  # a list too large for a plan is met by a join
     assert sorted(urls.judge_urls(pages, listed_hosts=hosts).collect()) == plain and [r.verdict for r in plain] == ["block", "allow", "allow"]
+
+
+def test_repeated_rows_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(shards, "REPEATS", 64)
+    rows = [(7, "the same row again")] * 1000 + [(i, "x" * (i % 40)) for i in range(1000, 2000)] + [(None, None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = shards.shard_rows(docs, n_shards=8).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(t or "") + 1) for i, t in rows)
+    held = Counter()
+    for r in got:
+        held[r.shard] += r["size"]
+    assert len(held) == 8 and max(held.values()) - min(held.values()) <= 40
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_the_stored_map_is_loaded_and_edited(spark, tmp_path):
+    store = str(tmp_path / "maps")
+    docs = spark.createDataFrame([(i, "x" * (i % 90)) for i in range(3000)], "doc_id long, text string")
+    one = sorted(map(tuple, shards.shard_rows(docs, store=store).collect()), key=str)
+    first = shards.load_map(spark, store)
+    assert sorted(map(tuple, shards.shard_rows(docs, store=store).collect()), key=str) == one and shards.load_map(spark, store) == first
+    more = docs.unionByName(spark.createDataFrame([(9000 + i, "y" * 5000) for i in range(30)], "doc_id long, text string"))
+    shards.shard_rows(more, store=store).collect()
+    second = shards.load_map(spark, store)
+    assert second.version == first.version + 1 and shards.load_map(spark, store, first.version) == first
+    assert sum(a != b for a, b in zip(first.shard_of, second.shard_of)) == len(second.moved) < 400
+    assert shards.load_map(spark, str(tmp_path / "none")) is None
