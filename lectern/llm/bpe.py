@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,9 +25,9 @@ from lectern.session import prepare
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Moves, pieces and answers about neighbours kept in a worker; beyond, each starts anew.
-MOVES_KEPT = 1_000_000
-PIECES_KEPT = 400_000
-PAIRS_KEPT = 500_000
+MOVES_KEPT = 500_000
+PIECES_KEPT = 300_000
+PAIRS_KEPT = 300_000
 LONG_PIECE = 64
 #: Bytes read ahead, at most, before tokens are emitted that are certain.
 LOOKAHEAD = 4096
@@ -231,21 +232,21 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as bytes: lists of numbers would take several times the memory
 
     def encode(self, text: str | None) -> np.ndarray:
-        out: list[int] = []
+        out: list[bytes] = []
         known, encode = self.known, self.transducer.encode
         if len(known) > PIECES_KEPT:
             known.clear()
         for piece in self.split.findall(text or ""):
             ids = known.get(piece)
             if ids is None:
-                ids = encode(piece.encode("utf-8", "surrogatepass"))
+                ids = array("I", encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
                 if len(piece) <= LONG_PIECE:
                     known[piece] = ids
-            out += ids
-        return np.array(out, dtype="<u4")
+            out.append(ids)
+        return np.frombuffer(b"".join(out), dtype=np.uint32).astype("<u4", copy=False)
 
 
 class Utf8Stream:
