@@ -1,9 +1,9 @@
 """Toxicity: bags of subword embeddings averaged into a linear softmax, all trained jointly in numpy.
 
-A word is the bag of its character n-grams (its ends marked) and a span of SPAN words the average of their embeddings,
-so a misspelt or inflected word shares most vectors with the words learnt from. A few toxic words make a document
-toxic, however long it is: a document's margin is its spans' largest (its soft maximum while training), and two numbers
-fitted last turn margins into probabilities.
+A word is the bag of its character n-grams (its ends marked), so a misspelt or inflected word shares most vectors with
+the words learnt from. The bags of SPAN neighbouring words are averaged (those of a whole text, if it is shorter), and
+two softmax rows on that average give the span's probability of label 1. A few toxic words make a document toxic,
+however long it is: its score is its worst span's, and while training the chance that any span is toxic.
 """
 
 from __future__ import annotations
@@ -30,14 +30,15 @@ NGRAMS = (3, 4, 5)
 MAX_NGRAMS = 120_000
 MIN_DOCS = 3
 DIM = 8
-SPAN = 1
-EPOCHS = 40
+#: Words whose bags are averaged.
+SPAN = 2
+EPOCHS = 50
 RATE = 0.15
 #: Shrinks vectors that few documents speak for.
 DECAY = 1e-5
 THRESHOLD = 0.7
-#: Scores of so many distinct words are kept while scoring; then the store starts anew.
-WORDS_KEPT = 500_000
+#: Margins of so many distinct words are kept while scoring; then the store starts anew.
+WORDS_KEPT = 200_000
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -46,22 +47,22 @@ def words_of(text: str | None) -> list[str]:
 
 
 def subwords(word: str) -> set[str]:
-    """The n-grams of the word with its ends marked, and the whole marked word; of a word of over 64 characters, all n-grams too."""
+    """The n-grams of the word with its ends marked, and the whole marked word."""
     w = f"<{word}>"
     return {w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1)} | {w}
 
 
 @dataclass
 class Model:
-    """weight: an n-gram's vector times the difference of the two softmax rows; unknown n-grams count as zero vectors."""
+    """weight: an n-gram's vector times the difference of the two softmax rows, all that a score needs of them; bias: the difference of their biases.
+
+    Unknown n-grams count as zero vectors."""
 
     weight: dict[str, float]
     bias: float
-    scale: float = 1.0
-    shift: float = 0.0
 
     def word(self, word: str) -> float:
-        """The word's share of a margin; numbers are no evidence."""
+        """The word's bag, averaged, times that difference; numbers are no evidence."""
         if word.isdigit():
             return 0.0
         grams = subwords(word)
@@ -69,15 +70,22 @@ class Model:
         return sum(get(g, 0.0) for g in grams) / len(grams)
 
 
-def margins(values: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Averages of span neighbouring words; fewer words make one span."""
-    if len(values) <= span:
-        return np.array([values.mean()]) if len(values) else np.zeros(0)
-    return values if span == 1 else np.convolve(values, np.full(span, 1 / span), "valid")
+def spans(sizes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last-but-one word, and document, of every span of documents with these numbers of words, laid end to end; no words, no span."""
+    ends = np.cumsum(sizes)
+    n = np.where(sizes > 0, np.maximum(sizes - span + 1, 1), 0)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    first = (ends - sizes)[doc] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return first, np.minimum(first + span, ends[doc]), doc
+
+
+def span_means(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return (total[last] - total[first]) / (last - first)
 
 
-class WordScores(dict):
-    """Scores of the words met so far."""
+class WordMargins(dict):
+    """Margins of the words met so far."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
@@ -88,45 +96,49 @@ class WordScores(dict):
         return value
 
 
-def score_text(model: Model, text: str | None, known: WordScores) -> float:
-    """The probability of label 1; a text without words has that of a margin of no evidence."""
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def score_text(model: Model, text: str | None, known: WordMargins, span: int = SPAN) -> float:
+    """The probability of label 1 of the worst span; a text without words is one of zero vectors."""
     if len(known) > WORDS_KEPT:
         known.clear()
     words = words_of(text)
-    if SPAN == 1:  # the order of words doesn't matter then
-        top = max(map(known.__getitem__, set(words)), default=0.0)
-    else:
-        top = float(margins(np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words))).max(initial=0.0 if not words else -np.inf))
-    return float(1 / (1 + np.exp(-np.clip(model.scale * (top + model.bias) + model.shift, -30, 30))))
+    values = np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words))
+    top = span_means(values, *spans(np.array([len(words)]), span)[:2]).max() if words else 0.0
+    return float(_sigmoid(top + model.bias))
 
 
-def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Embeddings and softmax by gradient descent (Adam) on documents as bags of spans; a span is a word here, a repeated word counts once."""
+def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, span: int = SPAN, seed: int = 7) -> Model:
+    """Embeddings and softmax by gradient descent (Adam) on documents as bags of spans."""
     if len(set(labels)) < 2:
-        share = labels[0] if labels else 0
-        return Model({}, 0.0, 0.0, 3.0 if share else -3.0)
-    docs = [sorted(w for w in set(words_of(t)) if not w.isdigit()) for t in texts]
-    word_docs = Counter(w for d in docs for w in d)
+        return Model({}, 3.0 if labels and labels[0] else -3.0)
+    docs = [words_of(t) for t in texts]
+    word_docs = Counter(w for d in docs for w in set(d))
     gram_docs: Counter[str] = Counter()
-    for w, n in word_docs.items():
-        for g in subwords(w):
-            gram_docs[g] += n
+    words = sorted(word_docs)
+    for w in words:
+        if not w.isdigit():
+            for g in subwords(w):
+                gram_docs[g] += word_docs[w]
     top = sorted((g for g, n in gram_docs.items() if n >= MIN_DOCS), key=lambda g: (-gram_docs[g], g))[:MAX_NGRAMS]
     del gram_docs
     gram_id = {g: i for i, g in enumerate(top)}
-    words = sorted(word_docs)
     word_id = {w: i for i, w in enumerate(words)}
-    share, sizes, ids = np.empty(len(words)), np.empty(len(words), dtype=np.int64), array("i")
+    share, sizes, ids = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64), array("i")
     for i, w in enumerate(words):
-        own = subwords(w)
-        share[i] = 1 / len(own)
-        found = sorted(gram_id[g] for g in own if g in gram_id)
-        sizes[i] = len(found)
-        ids.extend(found)
+        if not w.isdigit():
+            own = subwords(w)
+            share[i] = 1 / len(own)
+            found = sorted(gram_id[g] for g in own if g in gram_id)
+            sizes[i] = len(found)
+            ids.extend(found)
     grams = np.frombuffer(ids, dtype=np.int32)
     of_word = np.repeat(np.arange(len(words)), sizes)
-    in_doc = np.fromiter((word_id[w] for d in docs for w in d), dtype=np.int64)
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    at = np.fromiter((word_id[w] for d in docs for w in d), dtype=np.int64)
+    first, last, doc = spans(np.array([len(d) for d in docs]), span)
+    length = last - first
     y = np.array(labels, dtype=float)
     weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     draw = np.random.default_rng(seed)
@@ -134,15 +146,18 @@ def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPO
     soft = draw.normal(0, 0.3, (2, dim))
     bias = np.array([0.0, -4.0])
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (embed, soft, bias)]
+
+    def bags() -> np.ndarray:
+        return np.stack([np.bincount(of_word, embed[grams, k], len(words)) for k in range(dim)], axis=1) * share[:, None]
+
     for step in range(1, epochs + 1):
-        direction = soft[1] - soft[0]
-        bag = np.stack([np.bincount(of_word, embed[grams, k], len(words)) for k in range(dim)], axis=1) * share[:, None]
-        margin = (bag @ direction + bias[1] - bias[0])[in_doc]
-        p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        direction, bag = soft[1] - soft[0], bags()
+        p = _sigmoid(span_means((bag @ direction)[at], first, last) + bias[1] - bias[0])
         miss = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(docs))  # log of the chance that no span is toxic
         p_doc = np.maximum(1 - np.exp(miss), 1e-9)
         slope = np.where(y[doc] > 0, -p * (1 - p_doc[doc]) / p_doc[doc], p) * weight[doc] / len(docs)
-        at_word = np.bincount(in_doc, slope, len(words))
+        edge = np.bincount(first, slope / length, len(at) + 1) - np.bincount(last, slope / length, len(at) + 1)
+        at_word = np.bincount(at, np.cumsum(edge)[:-1], len(words))  # what each use of a word got from its spans
         to_bag = at_word[:, None] * direction[None, :] * share[:, None]
         g_embed = np.stack([np.bincount(grams, to_bag[of_word, k], len(top)) for k in range(dim)], axis=1)
         g_dir = (at_word[:, None] * bag).sum(axis=0)
@@ -151,21 +166,21 @@ def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPO
             m += 0.1 * (g_ - m)
             v += 0.001 * (g_ * g_ - v)
             p_ -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    tops = np.where(np.bincount(doc, minlength=len(docs)) > 0, -np.inf, 0.0)
+    np.maximum.at(tops, doc, span_means((bags() @ (soft[1] - soft[0]))[at], first, last))
+    scale, shift = _fitted(tops, y)
+    soft *= scale
     value = embed @ (soft[1] - soft[0])
-    model = Model({g: float(value[i]) for g, i in gram_id.items()}, float(bias[1] - bias[0]))
-    known = WordScores(model)
-    tops = np.array([max(map(known.__getitem__, d), default=0.0) + model.bias for d in docs])
-    model.scale, model.shift = _calibrated(tops, y)
-    return model
+    return Model({g: float(value[i]) for g, i in gram_id.items()}, shift)
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale (not negative) and shift of a logistic curve, by Newton steps with a little shrinkage of the scale."""
+def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The last fit of the softmax, to worst spans: what its rows are multiplied by (not negative) and its bias, by Newton steps with a little shrinkage."""
     spread = float(x.std()) or 1.0
     z = np.stack([(x - x.mean()) / spread, np.ones_like(x)], axis=1)
     beta, ridge = np.zeros(2), np.array([0.05, 0.0])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        p = _sigmoid(z @ beta)
         grad = z.T @ (p - y) + ridge * beta
         hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-6)
         beta -= np.linalg.solve(hess, grad)
@@ -173,12 +188,12 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(scale), float(beta[1] - scale * x.mean())
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> Model:
-    """A model from labels.toxic on a bounded sample outside the held-out fold."""
+def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> Model:
+    """A model from labels.toxic on a bounded sample outside the held-out fold: so many documents of label 0 and of 1, those of at most chars characters."""
     ids = sample_ids(labels, "toxic", per_class)
     if not ids:
         return train([], [])
-    rows = sampled(docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS), ids).select("text", "label").distinct()
+    rows = sampled(docs.select("doc_id", "text").filter(F.length("text") <= chars), ids).select("text", "label").distinct()
     got = rows.orderBy(F.xxhash64("text"), "label").limit(sum(per_class)).collect()
     return train([r["text"] for r in got], [r["label"] for r in got])
 
@@ -190,7 +205,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", keep_text: boo
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_NGRAMS entries at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordScores(shared.value)
+        known = WordMargins(shared.value)
         for b in batches:
             scores = pa.array([score_text(shared.value, t, known) for t in b.column(text).to_pylist()], type=pa.float64())
             yield pa.RecordBatch.from_arrays([scores, *(b.column(c) for c in kept)], names=["score", *kept])

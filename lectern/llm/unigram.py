@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Trie nodes kept in a worker; beyond, the trie starts anew.
 NODES_KEPT = 1_500_000
+_WORDS = re.compile(r"[^ \t-\r]+")
 
 
 def vocabulary_scores(path: str | None = None) -> dict[str, float]:
@@ -115,21 +117,22 @@ def _trie(key: int, scores: dict[str, float]) -> CountTrie:
     return _TRIES[key]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_words, n_tokens of every document; a word is a run without white space, marked at its beginning.
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, scores: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_words, n_tokens of every document; a word is a run of `[^\\x20\\x09-\\x0D]`, marked at its beginning.
 
-    Null and empty texts have none. Words of any length are cut whole, repeated rows are counted each, an empty table
-    gives an empty result, other columns are ignored.
+    scores: piece -> log-probability of a unigram model that the caller has; default: vocabulary_scores of the file.
+    Null and empty texts have no tokens. Words of any length are cut whole; of equally likely cuts the one with the
+    shorter last piece counts. Repeated rows are counted each, an empty table gives an empty result, other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    scores = vocabulary_scores(vocabulary)
+    scores = vocabulary_scores(vocabulary) if scores is None else scores
     shared, key = spark.sparkContext.broadcast(scores), hash(frozenset(scores.items()))  # a vocabulary: 32,000 entries
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(key, shared.value)
         gc.disable()  # nodes form no cycles
         for b in batches:
-            words = [(t or "").split() for t in b.column("text").to_pylist()]
+            words = [_WORDS.findall(t or "") for t in b.column("text").to_pylist()]
             count_of = {w: trie.count(MARK + w) for w in sorted(set().union(*words))}  # neighbours share prefixes
             counts = [sum(map(count_of.__getitem__, ws)) for ws in words]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(ws) for ws in words], pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_words", "n_tokens"])

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from lectern.llm import bpe, licenses, quality, toxicity, unigram
@@ -78,7 +80,7 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     assert {r.doc_id for r in fold} == {i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert np.mean([r.predicted == r.toxic for r in fold]) > 0.97
     model = toxicity.learn_toxicity(docs, labels)
-    known = toxicity.WordScores(model)
+    known = toxicity.WordMargins(model)
     clean, unseen = toxicity.score_text(model, "river3a stone4b tree9c", known), toxicity.score_text(model, "river3a grubblingz tree9c", known)
     assert unseen > clean
     kept = toxicity.clean_documents(docs, labels)
@@ -203,3 +205,41 @@ def test_every_template_finds_itself():
     for name, notices in licenses.TEMPLATES.items():
         for notice in notices:
             assert scanner.judge(notice)[0] == name
+
+
+def test_every_count_of_the_query_equals_brute_force(spark, documents):
+    """Scores of a caller's own model; a plain search over all cuts of each word."""
+    scores = {"▁": -2.0, "▁w": -3.0, "or": -2.5, "word": -4.0, "w": -5.0, "o": -5.0, "r": -5.0, "d": -5.0, "▁x": -1.0, "e": -2.0, "the": -3.0, "▁the": -2.0}
+    byte = min(scores.values()) - 10.0
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            cuts = [(best[at][0] + scores[word[at:end]], -at, best[at][1] + 1) for at in range(end) if word[at:end] in scores]
+            n = len(word[end - 1].encode())
+            top = max(cuts, key=lambda c: (c[0], -c[1]), default=None)
+            best.append((top[0], top[2]) if top else (best[end - 1][0] + n * byte, best[end - 1][1] + n))
+        return best[-1][1]
+
+    for r in unigram.count_tokens(documents, scores=scores).join(documents.select(F.col("doc_id").alias("other"), "text"), F.col("doc_id").eqNullSafe(F.col("other"))).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        assert (r.n_words, r.n_tokens) == (len(words), sum(plain("▁" + w) for w in words))
+
+
+def test_span_means_are_plain_averages():
+    draw = random.Random(5)
+    sizes = [0, 1, 5, 2, 0, 9]
+    values = [[draw.random() for _ in range(n)] for n in sizes]
+    first, last, doc = toxicity.spans(np.array(sizes), 3)
+    got = list(zip(doc.tolist(), toxicity.span_means(np.array(sum(values, [])), first, last).tolist()))
+    want = [(i, sum(v[a : a + 3]) / len(v[a : a + 3])) for i, v in enumerate(values) for a in range(max(1, len(v) - 2) if v else 0)]
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+
+
+def test_score_is_the_softmax_of_the_worst_averaged_bag():
+    model = toxicity.train(["bad grubbling day", "fine day today", "grubbling here", "here is a fine one"] * 6, [1, 0, 1, 0] * 6, epochs=20)
+    text = "a fine grubblings day 12"
+    bag = [0.0 if w.isdigit() else sum(model.weight.get(g, 0.0) for g in toxicity.subwords(w)) / len(toxicity.subwords(w)) for w in text.split()]
+    worst = max(sum(bag[i : i + toxicity.SPAN]) / toxicity.SPAN for i in range(len(bag) - toxicity.SPAN + 1))
+    assert abs(toxicity.score_text(model, text, toxicity.WordMargins(model)) - 1 / (1 + math.exp(-(worst + model.bias)))) < 1e-9
+    assert toxicity.score_text(model, text, toxicity.WordMargins(model)) > 0.5 > toxicity.score_text(model, "a fine day", toxicity.WordMargins(model))
