@@ -25,9 +25,9 @@ from lectern.session import prepare
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Moves, pieces and answers about neighbours kept in a worker; beyond, each starts anew.
-MOVES_KEPT = 500_000
-PIECES_KEPT = 300_000
-PAIRS_KEPT = 300_000
+MOVES_KEPT = 250_000
+PIECES_KEPT = 150_000
+PAIRS_KEPT = 200_000
 LONG_PIECE = 64
 #: Bytes read ahead, at most, before tokens are emitted that are certain.
 LOOKAHEAD = 4096
