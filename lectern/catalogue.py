@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from lectern import catalogue_structure
 from lectern.functions import text as X
-from lectern.operators import blocks, chunking, search, store
+from lectern.operators import blocks, chunking, recursive, search, store
+from lectern.plans import ingest, library
 from lectern.plans.deep_search import report
-from lectern.session import table
+from lectern.session import materialize, table
 
 FLAGSHIP = "mmr_select"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,7 +93,8 @@ bm AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r
 
 def _lists(spark, d, k: int = 40) -> DataFrame:
     c, q = chunks(spark, d), questions(spark, d)
-    return search.knn(c, q, k).withColumn("list_no", F.lit(0)).unionByName(search.bm25(c, q, k, wanted=_TERMS).withColumn("list_no", F.lit(1)))
+    lists = search.knn(c, q, k).withColumn("list_no", F.lit(0)).unionByName(search.bm25(c, q, k, wanted=_TERMS).withColumn("list_no", F.lit(1)))
+    return materialize(lists, "search-lists")  # k rows a question and list
 
 
 def _fused_sql(k: int = 40) -> str:
@@ -141,7 +143,7 @@ def round_counters(spark, d):
 
 def _pool(spark, d) -> DataFrame:
     c = chunks(spark, d).select("chunk_id", "vector", "section_id", "title", "path")
-    return search.pool(search.penalise(_fused(spark, d)), [F.desc(F.round("score", 12)), F.asc("first")]).join(c, "chunk_id")
+    return materialize(search.pool(search.penalise(_fused(spark, d)), [F.desc(F.round("score", 12)), F.asc("first")]).join(c, "chunk_id"), "search-pool")
 
 
 _POOL_SQL = f"""{_fused_sql()},
@@ -284,7 +286,7 @@ def line_stats(spark, d):
     """Per document: lines, headings, page numbers among them, and the right-trimmed join."""
     lines = F.split(F.col("text"), "\n")
     s = F.transform(lines, X.strip)
-    joined = X.strip(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), "\n"))
+    joined = X.strip(F.array_join(F.transform(lines, lambda x: X.strip_right(x)), "\n"))
     return table(spark, d, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.size(F.filter(s, X.looks_like_heading)).alias("n_headings"), F.size(F.filter(lines, X.is_page_number)).alias("n_page_numbers"), F.md5(joined).alias("joined"))
 
 
@@ -336,7 +338,7 @@ def trace_report(spark, d):
 
 
 _REPORT_SQL = rf"""WITH {_CHUNKS}, f AS (SELECT chunk_id, title || ' › ' || path AS source, round((chunk_id % 97)::DOUBLE / 97.0::DOUBLE, 6) AS score,
-  array_to_string(list_filter(string_split_regex(content, '[\s\x0B\x85\p{{Z}}]+'), lambda w: w <> ''), ' ') AS flat FROM chunks)
+  array_to_string(list_filter(string_split_regex(content, '[\s\x0B\x1c-\x1f\x85\p{{Z}}]+'), lambda w: w <> ''), ' ') AS flat FROM chunks)
 SELECT chunk_id, source, score, CASE WHEN length(flat) <= 300 THEN flat ELSE rtrim(substr(flat, 1, 300)) || '…' END AS snippet FROM f"""
 
 
@@ -349,9 +351,12 @@ def query_cleanup(spark, d):
 
 
 def _leaves(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(
-        F.col("source").alias("external_id"), F.concat((F.col("doc_id") % 7 + 1).cast("string"), F.lit("."), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("heading"), (F.col("doc_id") % 5 != 0).alias("is_leaf"),
-        "text", F.lit(None).cast("struct<lo:int,hi:int>").alias("page_range"), F.create_map().cast("map<string,string>").alias("metadata"),
+    """Every document is a leaf; each chapter of a source is a section above, which isn't cut."""
+    docs = table(spark, d, "documents").withColumn("chapter", (F.col("doc_id") % 7 + 1).cast("string"))
+    leaves = docs.select("source", F.concat("chapter", F.lit("."), F.col("doc_id").cast("string")).alias("path"), "lang", F.lit(True).alias("is_leaf"), "text")
+    above = docs.groupBy("source", F.col("chapter").alias("path")).agg(F.min("lang").alias("lang")).select("source", "path", "lang", F.lit(False).alias("is_leaf"), F.lit("not to be cut").alias("text"))
+    return leaves.unionByName(above).select(
+        F.col("source").alias("external_id"), "path", F.col("lang").alias("heading"), "is_leaf", "text", F.lit(None).cast("struct<lo:int,hi:int>").alias("page_range"), F.create_map().cast("map<string,string>").alias("metadata"),
     )
 
 
@@ -367,7 +372,7 @@ def chunk_ids(spark, d):
     return _chunked(spark, d).select("id", "content_hash")
 
 
-_CHUNKED_SQL = r"""WITH leaf AS (SELECT source AS external_id, (doc_id % 7 + 1) || '.' || doc_id AS section_path, (doc_id % 7 + 1)::INT AS chapter, list_filter(string_split_regex(text, '[\s\x0B\x1c-\x1f\x85\p{Z}]+'), lambda w: w <> '') AS ws FROM documents WHERE doc_id % 5 <> 0),
+_CHUNKED_SQL = r"""WITH leaf AS (SELECT source AS external_id, (doc_id % 7 + 1) || '.' || doc_id AS section_path, (doc_id % 7 + 1)::INT AS chapter, list_filter(string_split_regex(text, '[\s\x0B\x1c-\x1f\x85\p{Z}]+'), lambda w: w <> '') AS ws FROM documents),
 cut AS (SELECT external_id, section_path, chapter, ws, unnest(range(0, greatest(len(ws), 1), 100)) AS s FROM leaf WHERE len(ws) > 0),
 ch AS (SELECT external_id, section_path, chapter, (s // 100)::INT AS seq, ws[greatest(s - 20, 0) + 1 : least(s + 100, len(ws))] AS piece FROM cut),
 done AS (SELECT external_id, section_path, chapter, seq, array_to_string(piece, ' ') AS text, len(piece)::INT AS token_count, external_id || ':' || section_path || ':' || seq AS id FROM ch)"""
@@ -438,11 +443,44 @@ SELECT id, k.document_id, s.doc_id AS section_id, (row_number() OVER (PARTITION
 FROM done JOIN k ON k.source = external_id LEFT JOIN documents s ON s.source = external_id AND (s.doc_id % 7 + 1) || '.' || s.doc_id = section_path AND s.doc_id % 3 <> 0"""
 
 
+def clean_sections(spark, d):
+    noisy = F.expr("replace(replace(replace(text, ', ', ' ,  '), 'tion', 'ti-\\non'), '. ', ' .\\n\\n\\n\\n( x ]  ')")
+    rows = table(spark, d, "documents").select("doc_id", noisy.alias("text"), F.lit(0).alias("token_count"))
+    return ingest.clean_sections(rows).select("doc_id", F.md5("text").alias("text"), "token_count")
+
+
+def checked_vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.size(X.checked_vector(F.col("embedding").cast("array<double>"), 64)).alias("components"))
+
+
+def search_rows(spark, d):
+    """Chunks of seven eighths of the documents' titles; a third of the sections is unknown."""
+    docs = table(spark, d, "documents").withColumn("document_id", F.col("doc_id") % 40)
+    rows = docs.select(F.col("doc_id").alias("chunk_id"), F.md5("text").alias("content"), "document_id", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id")).alias("section_id"), F.lit(None).cast("string").alias("heading"), F.array(F.lit(1.0)).alias("embedding"))
+    titles = docs.filter("document_id < 35").select("document_id", F.concat(F.lit("Book "), F.col("document_id").cast("string")).alias("title")).distinct()
+    sections = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("section_id"), F.concat((F.col("doc_id") % 7).cast("string"), F.lit(".1")).alias("path"), F.col("lang").alias("heading"))
+    return library.search_rows(rows, titles, sections).drop("vector")
+
+
+_SEARCH_ROWS_SQL = """SELECT c.doc_id AS chunk_id, md5(c.text) AS content, c.doc_id % 40 AS document_id, CASE WHEN c.doc_id % 4 <> 0 THEN c.doc_id END AS section_id, 'Book ' || (c.doc_id % 40) AS title, (s.doc_id % 7) || '.1' AS path, s.lang AS heading
+FROM documents c LEFT JOIN documents s ON s.doc_id % 3 <> 0 AND s.doc_id = c.doc_id AND c.doc_id % 4 <> 0 WHERE c.doc_id % 40 < 35"""
+
+
+def chunk_recursive(spark, d):
+    """Pieces of at most 100 words, cut at the best places; tested against plain rules, as SQL can't recurse over places."""
+    rows = chunking.chunk(_leaves(spark, d), recursive.recursive(100, 20), recursive.counted(recursive.words))
+    return rows.select("external_id", "section_path", "chapter", "seq", "text", "token_count")
+
+
 def ingest_receipt(spark, d):
     return store.receipt(_leaves(spark, d), _chunked(spark, d))
 
 
 _OWN: dict[str, tuple[Query, str | None]] = {
+    "clean_sections": (clean_sections, f"WITH cleaned AS ({_CLEAN_SQL}) SELECT doc_id, md5(cleaned) AS text, token_count FROM cleaned"),
+    "checked_vectors": (checked_vectors, "SELECT vec_id, len(embedding)::INT AS components FROM embeddings"),
+    "search_rows": (search_rows, _SEARCH_ROWS_SQL),
+    "chunk_recursive": (chunk_recursive, None),
     "knn_topk": (knn_topk, f"WITH {_CHUNKS}, {_knn_sql(8)} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM knn"),
     "knn_filtered": (knn_filtered, f"WITH {_CHUNKS}, {_knn_sql(5, 'c.document_id IN (1, 2, 3)')} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM knn"),
     "bm25_topk": (bm25_topk, f"WITH {_CHUNKS}, {_bm25_sql(8)} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM bm"),
@@ -481,7 +519,7 @@ SELECT doc_id, regexp_matches(h, '^\d+(?:\.\d+)+ {2}[A-Za-z]') AS is_numbered, C
     "upsert_documents": (upsert_documents, _UPSERT_SQL),
     "upsert_chunks": (upsert_chunks, _UPSERT_CHUNKS_SQL),
     "parent_links": (parent_links, f"WITH {_SECTIONS} SELECT s.section_id, s.document_id, s.path, b.section_id AS parent_id FROM sections s LEFT JOIN sections b ON s.depth = 2 AND b.document_id = s.document_id AND b.path = split_part(s.path, '.', 1)"),
-    "ingest_receipt": (ingest_receipt, _CHUNKED_SQL + ", s AS (SELECT source AS external_id, count(*) AS sections FROM documents GROUP BY source), c AS (SELECT external_id, count(*) AS chunks FROM done GROUP BY external_id) SELECT s.external_id, s.sections, coalesce(c.chunks, 0) AS chunks FROM s FULL JOIN c USING (external_id)"),
+    "ingest_receipt": (ingest_receipt, _CHUNKED_SQL + ", s AS (SELECT source AS external_id, count(*) + count(DISTINCT doc_id % 7) AS sections FROM documents GROUP BY source), c AS (SELECT external_id, count(*) AS chunks FROM done GROUP BY external_id) SELECT s.external_id, s.sections, coalesce(c.chunks, 0) AS chunks FROM s FULL JOIN c USING (external_id)"),
 }
 
 

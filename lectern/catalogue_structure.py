@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.operators import structure
 from lectern.session import table
 
-_TITLES = ("Getting Started", "Git Basics", "Git Branching", "Git on the Server", "Distributed Git", "GitHub", "Git Tools", "Customizing Git", "Git and Other Systems", "Git Internals")
+_TITLES = structure.TITLES
 
 
 def _book(spark: SparkSession, d: str, piece: str, tail: str = "''") -> DataFrame:

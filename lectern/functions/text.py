@@ -10,22 +10,37 @@ REFERENCES = r"(?i)(references|bibliography|further reading)\s*$"
 BACK_MATTER = ("Bibliography", "Colophon", "Glossary", "Index")
 LABEL = " › "
 WORD_BREAKS = r"[^\p{L}\p{N}]+"
+#: White space: what Unicode calls so, and the four separators U+001C to U+001F.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: What is replaced in extracted text, and by what, in this order.
+ARTEFACTS = (
+    (r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2"),
+    (r"[ \t]+([,.;:!?)\]])", "$1"),
+    (r"([(\[])[ \t]+", "$1"),
+    (r"[ \t]{2,}", " "),
+    (r"(?md)[ \t]+$", ""),
+    (r"\n{3,}", "\n\n"),
+)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def strip_right(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+$", "")
 
 
 def clean(c: Column) -> Column:
     """One pass over the artefacts of extracted text: split words, spaces at punctuation, runs of spaces and of blank lines."""
-    for pattern, to in ((r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2"), (r"[ \t]+([,.;:!?)\]])", "$1"), (r"([(\[])[ \t]+", "$1"), (r"[ \t]{2,}", " "), (r"(?md)[ \t]+$", ""), (r"\n{3,}", "\n\n")):
+    for pattern, to in ARTEFACTS:
         c = F.regexp_replace(c, pattern, to)
     return strip(c)
 
 
 def count_words(c: Column) -> Column:
     """Runs without white space."""
-    return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(c, SPACE), lambda w: w != ""))
 
 
 def terms(c: Column) -> Column:
@@ -75,7 +90,7 @@ def content_hash(key: Column, text: Column) -> Column:
 
 def snippet(c: Column, limit: int = 300) -> Column:
     """White space collapsed, cut to limit characters with an ellipsis."""
-    flat = strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    flat = strip(F.regexp_replace(c, SPACE, " "))
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit)), F.lit("…")))
 
 

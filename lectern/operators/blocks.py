@@ -44,7 +44,7 @@ def cited_sources(answers: DataFrame) -> DataFrame:
 
     def named(source):
         title = F.trim(F.lower(F.substring_index(source, LABEL, 1)))
-        path = F.when(F.contains(source, F.lit(LABEL)), F.substring(source, F.locate(LABEL, source) + len(LABEL), 1 << 20)).otherwise("")
+        path = F.when(F.contains(source, F.lit(LABEL)), F.substring(source, F.locate(LABEL, source) + len(LABEL), F.length(source))).otherwise("")
         chapter = F.lower(F.substring_index(F.trim(path), ".", 1))
 
         def holds(bracket):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import chapter_of, chunk_key, content_hash, count_words, strip
+from lectern.functions.text import SPACE, chapter_of, chunk_key, content_hash, count_words, strip
 
 CHUNK_SIZE, OVERLAP = 800, 100
 MAX_BATCH_TOKENS, MAX_BATCH_ITEMS = 100_000, 2048
@@ -15,7 +15,7 @@ MAX_BATCH_TOKENS, MAX_BATCH_ITEMS = 100_000, 2048
 
 def windows(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
     """Pieces of size words in order, each led by the overlap last words of the one before; nothing for a blank text."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size))
     pieces = F.transform(starts, lambda s: F.array_join(F.slice(words, F.greatest(s - overlap, F.lit(0)) + 1, F.least(s, F.lit(overlap)) + size), " "))
     return F.filter(pieces, lambda p: p != "")

@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import dot, norm, terms
+from lectern.session import materialize
 
 TOP_K, RRF_K, REFERENCES_PENALTY = 8, 60, 0.3
 MMR_LAMBDA, MMR_TOP, MAX_CHUNKS = 0.5, 12, 40
 K1, B = 1.2, 0.75
-#: Above so many rows the questions are no longer broadcast.
-MAX_BROADCAST = 20_000
+#: Above so many rows the questions are no longer broadcast; a search for vectors takes so many at most.
+MAX_BROADCAST = MAX_QUESTIONS = 20_000
+#: Questions with so many different terms at most have them sought in each chunk, so that no other term is shuffled.
+MAX_TERMS = 1000
 
 
 def small(df: DataFrame, rows: int = MAX_BROADCAST) -> DataFrame:
@@ -32,15 +35,22 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def finite(vector: str) -> Column:
+    """True for vectors that are there and hold finite numbers only."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def knn(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, document_ids: list[int] | None = None) -> DataFrame:
-    """qid, rank, chunk_id, score: nearest by cosine; chunks without a vector take no part.
+    """qid, rank, chunk_id, score: nearest by cosine; chunks and questions without a vector of finite numbers take no part.
 
     Exact: the question set is stated and meets every chunk once, with each chunk's norm computed once.
     """
-    held = in_documents(chunks, document_ids).filter(F.col("vector").isNotNull()).select("chunk_id", F.col("vector").cast("array<double>").alias("v")).withColumn("n", norm(F.col("v")))
-    asked = questions.filter(F.col("vector").isNotNull()).select("qid", F.col("vector").cast("array<double>").alias("q")).withColumn("nq", norm(F.col("q")))
+    held = in_documents(chunks, document_ids).filter(finite("vector")).select("chunk_id", F.col("vector").cast("array<double>").alias("v")).withColumn("n", norm(F.col("v")))
+    asked = questions.filter(finite("vector")).select("qid", F.col("vector").cast("array<double>").alias("q")).withColumn("nq", norm(F.col("q")))
     score = F.when((F.col("n") > 0) & (F.col("nq") > 0), dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("nq"))).otherwise(0.0)
-    scored = held.join(small(asked), how="cross").select("qid", "chunk_id", score.alias("score"))
+    if asked.limit(MAX_QUESTIONS + 1).count() > MAX_QUESTIONS:
+        raise ValueError(f"at most {MAX_QUESTIONS} questions at a time: ask in blocks")
+    scored = held.join(F.broadcast(asked), how="cross").select("qid", "chunk_id", score.alias("score"))
     return top(scored, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
 
 
@@ -58,7 +68,10 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, document_ids:
     all other terms out of the shuffle.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term"))
-    base = postings(chunks, wanted)
+    if wanted is None:
+        found = asked.select("term").distinct().limit(MAX_TERMS + 1).collect()
+        wanted = [r["term"] for r in found] if len(found) <= MAX_TERMS else None
+    base = materialize(postings(chunks, wanted), "search-postings")  # the texts are read and cut once
     stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = base.select("chunk_id", "document_id", "dl", F.explode("hits").alias("term")).groupBy("chunk_id", "document_id", "dl", "term").agg(F.count("*").alias("tf"))
     if wanted is None:

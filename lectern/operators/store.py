@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import materialize
+
 
 def one_document(rows: DataFrame) -> None:
     """Raises unless rows hold exactly one external_id."""
@@ -12,13 +14,24 @@ def one_document(rows: DataFrame) -> None:
         raise ValueError("expected one external_id")
 
 
+def numbered_by(rows: DataFrame, column: str) -> DataFrame:
+    """rows with n, from 1, in the order of a column without repeats: ranges are numbered side by side and put one after the other."""
+    dealt = rows.repartitionByRange(column).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "store-ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = counts.select("_range", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return dealt.join(F.broadcast(starts), "_range").withColumn("n", F.col("_before") + own).drop("_range", "_before")
+
+
 def upsert_documents(stored: DataFrame, arriving: DataFrame, now: Column) -> DataFrame:
     """stored (document_id, external_id, title, source, updated_at) with arriving (external_id, title, source): known ids get updated_at, new ones get the next ids by external_id."""
     keys = arriving.dropDuplicates(["external_id"])
     touched = stored.join(keys.select("external_id", F.lit(True).alias("_seen")), "external_id", "left").withColumn("updated_at", F.when(F.col("_seen"), now).otherwise(F.col("updated_at"))).select(stored.columns)
     new = keys.join(stored, "external_id", "left_anti")
     last = stored.agg(F.coalesce(F.max("document_id"), F.lit(0)).alias("last"))
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("external_id"))).join(F.broadcast(last), how="cross")
+    numbered = numbered_by(new, "external_id").join(F.broadcast(last), how="cross")
     added = numbered.select((F.col("last") + F.col("n")).cast("long").alias("document_id"), "external_id", "title", "source", now.alias("updated_at"))
     return touched.unionByName(added)
 

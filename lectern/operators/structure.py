@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import BACK_MATTER, count_words, is_numbered_heading, is_page_number, looks_like_heading, strip
+from lectern.functions.text import BACK_MATTER, count_words, is_numbered_heading, is_page_number, looks_like_heading, strip, strip_right
+from lectern.session import materialize
 
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0B\\f\\x1c-\\x1e\\x85\\u2028\\u2029]"
 #: How books of three kinds mark chapters (number and title; or a title after a form feed), openers and sections.
-_TITLES = "Getting Started|Git Basics|Git Branching|Git on the Server|Distributed Git|GitHub|Git Tools|Customizing Git|Git and Other Systems|Git Internals"
+TITLES = ("Getting Started", "Git Basics", "Git Branching", "Git on the Server", "Distributed Git", "GitHub", "Git Tools", "Customizing Git", "Git and Other Systems", "Git Internals")
 _FORM_FEED_END = r"^\f[ \t]*(?:Appendix\b|Index[ \t]*$|Glossary[ \t]*$|Bibliography[ \t]*$)"
 PREAMBLE = "(preamble)"
 
@@ -37,7 +38,7 @@ class Profile:
 PROFILES = {
     "ddia": Profile(r"^Chapter\s+(\d+):\s+(.+)$", "footers", r"^CHAPTER\s+(\d+)$"),
     "manning": Profile(r"^chapter\s+(\d+)\s{2,}(.+)$", "numbered"),
-    "progit": Profile(rf"^\f[ \t]*({_TITLES})[ \t]*$", "none"),
+    "progit": Profile(rf"^\f[ \t]*({'|'.join(TITLES)})[ \t]*$", "none"),
 }
 
 
@@ -66,14 +67,14 @@ def _marked(lines: DataFrame, p: Profile) -> tuple[DataFrame, DataFrame]:
     """Lines with chapter numbers found and footer parts flagged; footers (external_id, num, name, page): the last page of a name."""
     found = F.regexp_extract("s", p.chapter, 1)
     rows = lines.withColumn("s", strip(F.col("raw"))).withColumn("header", F.when(found != "", found.try_cast("int")))
-    rows = rows.withColumn("running", F.coalesce(F.last("header", True).over(_in_book()), F.lit(0)))
+    rows = materialize(rows.withColumn("running", F.coalesce(F.last("header", True).over(_in_book()), F.lit(0))), "structure-lines")
     if p.subsections != "footers":
         return rows.withColumn("noise", F.lit(False)), rows.limit(0).select("external_id", F.lit(0).alias("num"), F.col("s").alias("name"), F.lit(0).alias("page"))
     full = rows.filter("s <> ''")
     one, two = F.lead("s", 1).over(_in_book()), F.lead("s", 2).over(_in_book())
     full = full.withColumn("page", F.when((one == "|") & two.rlike(r"^\d+$") & F.col("header").isNull() & looks_like_heading(F.col("s")), two.try_cast("int")))
     part = F.col("page").isNotNull() | F.coalesce(F.lag("page", 1).over(_in_book()), F.lag("page", 2).over(_in_book())).isNotNull()
-    full = full.withColumn("noise", part)
+    full = materialize(full.withColumn("noise", part), "structure-full")
     footers = full.filter("page is not null").groupBy("external_id", F.col("running").alias("num"), F.col("s").alias("name")).agg(F.max_by("page", "n").alias("page"))
     rows = full.drop("page").unionByName(rows.filter("s = ''").withColumn("noise", F.lit(False)))
     return rows, footers
@@ -92,6 +93,7 @@ def _bodies(rows: DataFrame, p: Profile) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("gap", F.col("by_opener") & F.coalesce(before, F.lit(False)) & (F.col("s") == ""))
     first = F.row_number().over(Window.partitionBy("external_id", "mark").orderBy("n")) == 1
     rows = rows.withColumn("num", F.last(F.when(F.col("mark").isNotNull() & first, F.col("mark")), True).over(_in_book()))
+    rows = materialize(rows, "structure-marked")
     headers = rows.filter("header is not null").groupBy("external_id", F.col("header").alias("num")).agg(_first(strip(title)).alias("run_title"))
     opened = rows.filter("mark is not null").groupBy("external_id", F.col("mark").alias("num")).agg(F.min("n").alias("opened"))
     lead = rows.filter("swallowed and num is not null").groupBy("external_id", "num").agg(_first(F.col("s")).alias("lead_title"))
@@ -102,7 +104,7 @@ def _bodies(rows: DataFrame, p: Profile) -> tuple[DataFrame, DataFrame]:
 
 
 def _joined(lines: Column) -> Column:
-    return strip(F.array_join(F.transform(F.array_sort(lines), lambda x: F.regexp_replace(x["raw"], r"(?U)\s+$", "")), "\n"))
+    return strip(F.array_join(F.transform(F.array_sort(lines), lambda x: strip_right(x["raw"])), "\n"))
 
 
 def _sections(chapters: DataFrame, body: DataFrame, footers: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def _sections(chapters: DataFrame, body: DataFrame, footers: DataFrame, cuts: Da
     lines = F.collect_list(F.when(F.col("name").isNull(), F.struct("n", "raw")))
     parts = split.groupBy(*key, "part").agg(_joined(lines).alias("text"), F.max("name").alias("name"))
     n_cuts = F.max("part").over(in_chapter)
-    parts = parts.withColumn("n_cuts", n_cuts).filter("n_cuts > 0 and (part > 0 or text <> '')")
+    parts = materialize(parts.withColumn("n_cuts", n_cuts).filter("n_cuts > 0 and (part > 0 or text <> '')"), "structure-parts")
     pages = footers.groupBy(*key).agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
     whole = body.groupBy(*key).agg(_joined(F.collect_list(F.struct("n", "raw"))).alias("text"))
     ordinal = F.row_number().over(Window.partitionBy("external_id").orderBy("opened"))
@@ -141,16 +143,17 @@ def parse(books: DataFrame, p: Profile) -> DataFrame:
         return _by_form_feed(books, p)
     rows, footers = _marked(book_lines(books), p)
     body, chapters = _bodies(rows, p)
+    chapters, footers = materialize(chapters, "structure-chapters"), materialize(footers, "structure-footers")
     in_chapter = Window.partitionBy("external_id", "num").orderBy("n")
     last = chapters.groupBy("external_id").agg(F.max_by("num", "opened").alias("num")).withColumn("is_last", F.lit(True))
     body = body.join(last, ["external_id", "num"], "left")
     ended = F.max(F.col("is_last") & F.col("s").isin(list(p.back_matter))).over(in_chapter)
-    body = body.withColumn("ended", F.coalesce(ended, F.lit(False))).filter("not ended")
+    body = materialize(body.withColumn("ended", F.coalesce(ended, F.lit(False))).filter("not ended"), "structure-body")
     if p.subsections == "footers":
         named = body.join(footers.select("external_id", "num", F.col("name").alias("s")), ["external_id", "num", "s"], "left_semi")
     else:
         named = body.filter(is_numbered_heading(F.col("s")))
-    cuts = named.groupBy("external_id", "num", F.col("s").alias("name")).agg(F.min("n").alias("n"))
+    cuts = materialize(named.groupBy("external_id", "num", F.col("s").alias("name")).agg(F.min("n").alias("n")), "structure-cuts")
     return _sections(chapters, body.select("external_id", "num", "n", "raw"), footers, cuts)
 
 

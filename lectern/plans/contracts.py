@@ -24,7 +24,7 @@ EMBEDDED_CHUNK = StructType([*CHUNK.fields, StructField("vector", ArrayType(Floa
 RETRIEVED_CHUNK = _s(("chunk_id", LongType(), False), ("content", _S, False), ("document_id", LongType(), False), ("section_id", LongType(), True), ("source", _S, False), ("score", DoubleType(), False), ("vector", ArrayType(FloatType()), True), ("is_references", _B, False), ("metadata", METADATA, True))
 DOCUMENTS_TABLE = "document_id BIGINT, external_id STRING, title STRING, uri STRING, mime_type STRING, source STRING, metadata MAP<STRING,STRING>, created_at TIMESTAMP, updated_at TIMESTAMP"
 SECTIONS_TABLE = "section_id BIGINT, document_id BIGINT, parent_id BIGINT, path STRING, depth INT, ordinal INT, heading STRING, full_text STRING, token_count INT, metadata MAP<STRING,STRING>"
-CHUNKS_TABLE = "chunk_id BIGINT, document_id BIGINT, section_id BIGINT, chunk_index INT, content STRING, embedding ARRAY<FLOAT>, token_count INT, content_hash STRING, metadata MAP<STRING,STRING>, created_at TIMESTAMP"
+CHUNKS_TABLE = "chunk_id BIGINT, document_id BIGINT, section_id BIGINT, chunk_index INT, content STRING, embedding ARRAY<FLOAT>, token_count INT, content_hash STRING, chapter INT, heading STRING, page_range STRUCT<lo: INT, hi: INT>, metadata MAP<STRING,STRING>, created_at TIMESTAMP"
 
 
 def create_tables(spark, database: str = "default") -> None:

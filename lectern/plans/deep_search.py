@@ -50,7 +50,8 @@ class ScriptedModel:
         return Reflection(**self.reflections[min(len(self.asked), len(self.reflections)) - 1])
 
     def embed(self, texts: list[str]) -> list[list[float] | None]:
-        found = {f"v{r.qid}": list(map(float, r.vector)) for r in self.vectors.filter("vector is not null").collect()}
+        asked = [int(t[1:]) for t in texts if t[:1] == "v" and t[1:].isdigit()]
+        found = {f"v{r.qid}": list(map(float, r.vector)) for r in self.vectors.filter(F.col("vector").isNotNull() & F.col("qid").isin(asked)).collect()}
         return [found.get(t) for t in texts]
 
     def answer(self, question: str, sections: list[dict]) -> Iterator[str]:
@@ -104,7 +105,7 @@ class DeepSearch:
             lists = search.knn(self.chunks, self.spark.createDataFrame(asked, "qid int, vector array<double>"), s.top_k, document_ids)
         if bm25_queries:
             texts = self.spark.createDataFrame([(len(vectors) + i, q) for i, q in enumerate(bm25_queries)], "qid int, text string")
-            found = search.bm25(self.chunks, texts, s.top_k, document_ids)
+            found = search.bm25(self.chunks, texts, s.top_k, document_ids)  # few queries, so their terms alone are sought
             lists = found if lists is None else lists.unionByName(found)
         if lists is None:
             return self.spark.createDataFrame([], "qid int, round int, chunk_id long, score double, first struct<list_no:int,rank:int>")
@@ -113,8 +114,9 @@ class DeepSearch:
         return search.penalise(fused.join(flags, "chunk_id"), s.references_penalty).select("qid", F.lit(no).alias("round"), "chunk_id", "score", "first")
 
     def _evidence(self, found: DataFrame) -> str:
-        """Chunks of the needed relevance by document, in order of first appearance."""
-        rows = found.filter(F.col("score") >= self.settings.relevance_threshold).join(self.chunks, "chunk_id")
+        """The best chunks of the needed relevance, max_chunks at most, by document in order of first appearance."""
+        best = [F.desc(F.round("score", 12)), F.asc("round"), F.asc("first")]
+        rows = search.pool(found, best, self.settings.relevance_threshold, self.settings.max_chunks).join(self.chunks, "chunk_id")
         rows = rows.select("round", "first", source_label(F.col("title"), F.col("path")).alias("source"), "content").orderBy("round", "first").collect()
         by_document: dict[str, list[str]] = {}
         for r in rows:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import asyncio
+import inspect
+from collections.abc import AsyncIterator, Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 
+def tried(call: Callable, retries: int):
+    """call(), again after an error, so many times at most; no waiting in between."""
+    for left in range(retries, -1, -1):
+        try:
+            return call()
+        except Exception:
+            if not left:
+                raise
+
+
 class Gateway:
     """complete(model, messages) -> (text, cost), stream(model, messages) -> texts, embed(model, texts) -> [(index, vector)]; each is optional."""
 
@@ -21,19 +33,53 @@ class Gateway:
         return self.models[task]  # an unknown task is the caller's error, not retried
 
     def _tried(self, call: Callable):
+        return tried(call, self.retries)
+
+    def _paid(self, task: str, cost: float | None) -> None:
+        self.cost += cost or 0.0
+        if self.on_cost:
+            self.on_cost(task, cost or 0.0)
+
+    async def _awaited(self, call: Callable):
+        """call(), which gives an awaitable or an answer, tried as often as other calls; answers are made beside the event loop."""
         for left in range(self.retries, -1, -1):
             try:
-                return call()
+                found = await asyncio.to_thread(call)
+                return await found if inspect.isawaitable(found) else found
             except Exception:
                 if not left:
                     raise
 
+    async def acompletion(self, task: str, messages: list[dict]) -> str:
+        model = self.model(task)
+        text, cost = await self._awaited(lambda: self._complete(model, messages))
+        self._paid(task, cost)
+        return text
+
+    async def aembedding(self, task: str, texts: list[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        model = self.model(task)
+        return ordered_vectors(await self._awaited(lambda: self._embed(model, texts)), len(texts), self.dimension)
+
+    async def astreaming(self, task: str, messages: list[dict]) -> AsyncIterator[str]:
+        """Texts as they come, from an asynchronous stream or a plain one; empty ones are skipped."""
+        model = self.model(task)
+        found = await self._awaited(lambda: self._stream(model, messages))
+        if hasattr(found, "__aiter__"):
+            async for text in found:
+                if text:
+                    yield text
+            return
+        rest, end = iter(found), object()
+        while (text := await asyncio.to_thread(next, rest, end)) is not end:
+            if text:
+                yield text
+
     def completion(self, task: str, messages: list[dict]) -> str:
         model = self.model(task)
         text, cost = self._tried(lambda: self._complete(model, messages))
-        self.cost += cost or 0.0
-        if self.on_cost:
-            self.on_cost(task, cost or 0.0)
+        self._paid(task, cost)
         return text
 
     def streaming(self, task: str, messages: list[dict]) -> Iterator[str]:
@@ -58,27 +104,38 @@ def ordered_vectors(found: list[tuple[int, list[float]]], n: int, dimension: int
     return vectors
 
 
-def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[tuple[int, list[float]]]], model: str, dimension: int, max_tokens: int = 100_000, max_items: int = 2048) -> DataFrame:
-    """chunks (text, token_count, ...) with vector and embedding_model; requests are packed within each task by the two limits.
+def request_ends(counts: list[int], max_tokens: int, max_items: int) -> list[int]:
+    """Where requests end in rows of these token counts, but for the last, which more rows may join."""
+    ends, at, tokens = [], 0, 0
+    for i, n in enumerate(counts):
+        if i > at and (tokens + n > max_tokens or i - at >= max_items):
+            ends.append(i)
+            at, tokens = i, 0
+        tokens += n
+    return ends
+
 
-    embed runs on executors. A task that is tried again asks again, so callers that pay for calls keep answers by text.
+def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[tuple[int, list[float]]]], model: str, dimension: int, max_tokens: int = 100_000, max_items: int = 2048, retries: int = 0) -> DataFrame:
+    """chunks (text, token_count, ...) with vector and embedding_model; requests are packed within each task by the two limits, over Arrow batches.
+
+    embed runs on executors and is tried retries times again. A task that is tried again asks again, so callers that pay for calls keep answers by text.
     """
     schema = StructType([*chunks.schema.fields, StructField("vector", ArrayType(FloatType())), StructField("embedding_model", StringType())])
 
+    def answered(part: pd.DataFrame) -> pd.DataFrame:
+        found = tried(lambda: ordered_vectors(embed(list(part["text"])), len(part), dimension), retries)
+        return part.assign(vector=[np.asarray(v, dtype=np.float32) for v in found], embedding_model=model)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for pdf in batches:
-            at, tokens = 0, 0
-            cuts = [0]
-            for i, n in enumerate(pdf["token_count"]):
-                if i > at and (tokens + n > max_tokens or i - at >= max_items):
-                    cuts.append(i)
-                    at, tokens = i, 0
-                tokens += n
-            for a, b in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
-                if b > a:
-                    part = pdf.iloc[a:b].copy()
-                    part["vector"] = [np.asarray(v, dtype=np.float32) for v in ordered_vectors(embed(list(part["text"])), b - a, dimension)]
-                    part["embedding_model"] = model
-                    yield part
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            at = 0
+            for end in request_ends(held["token_count"].tolist(), max_tokens, max_items):
+                yield answered(held.iloc[at:end])
+                at = end
+            held = held.iloc[at:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield answered(held)
 
     return chunks.mapInPandas(run, schema)

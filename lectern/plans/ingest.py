@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import chunking, structure
+from lectern.operators import chunking, recursive, structure
 from lectern.operators.store import one_document, receipt
+from lectern.plans.contracts import DIMENSION
 from lectern.plans.gateway import embed_chunks
 from lectern.plans.library import Library
-from lectern.plans.runner import Context, Step
+from lectern.plans.runner import Ledger, Place, Stage, run_in_order
 from lectern.sources import files
 
 
@@ -25,9 +26,19 @@ class IngestSettings:
     chunk_size: int = 800
     overlap: int = 100
     embedding_model: str = "embed"
-    dimension: int = 1536
+    dimension: int = DIMENSION
     max_batch_tokens: int = 100_000
     max_batch_items: int = 2048
+    chunking: str = "recursive"
+    vocabulary: str | None = None
+    pattern: str | None = None
+    retries: int = 2
+
+    def checked(self, dimension: int = DIMENSION) -> IngestSettings:
+        """These settings, or an error where their vectors would not fit the tables."""
+        if self.dimension != dimension:
+            raise ValueError(f"vectors of {self.dimension} components do not fit tables of {dimension}")
+        return self
 
 
 def clean_sections(sections: DataFrame, method: str = "normalize", fn: Callable[[Column], Column] | None = None, count: Callable[[Column], Column] = X.count_words) -> DataFrame:
@@ -40,7 +51,17 @@ def clean_sections(sections: DataFrame, method: str = "normalize", fn: Callable[
     return done.withColumn("token_count", count(F.col("text")))
 
 
-def steps(spark: SparkSession, source: str, external_id: str, embed, settings: IngestSettings | None = None, content_key: str = "", library: str | None = None, title: str | None = None) -> list[Step]:
+def chunker(s: IngestSettings) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """What cuts texts into pieces and what counts their tokens: byte pairs where a vocabulary is named, else words."""
+    if s.chunking not in ("recursive", "windows"):
+        raise ValueError(f"unknown chunking {s.chunking!r}")
+    count = recursive.BpeCounter(s.vocabulary, s.pattern) if s.vocabulary and s.pattern else recursive.words
+    if s.chunking == "windows":
+        return (lambda t: chunking.windows(t, s.chunk_size, s.overlap)), X.count_words
+    return recursive.recursive(s.chunk_size, s.overlap, count), recursive.counted(count)
+
+
+def stages(spark: SparkSession, source: str, external_id: str, embed, settings: IngestSettings | None = None, content_key: str = "", library: str | None = None, title: str | None = None) -> list[Stage]:
     """Extract, structure, clean if asked, chunk, embed, persist; content_key: a hash of the source, so that changed files run again.
 
     The last stage upserts into the library at that folder, if one is named, and keeps a receipt of what was given.
@@ -49,28 +70,40 @@ def steps(spark: SparkSession, source: str, external_id: str, embed, settings: I
     profile = structure.profile(s.profile)
     last = "03_clean" if s.clean else "02_structure"
 
-    def stage(name: str, make: Callable[[Callable[[str], DataFrame]], DataFrame], params: dict) -> Step:
-        def run(ctx: Context) -> str:
-            out = str(ctx.stage_dir / "rows")
-            make(lambda other: spark.read.parquet(str(ctx.run.path(other, "rows")))).write.mode("overwrite").parquet(out)
-            return out
+    def stage(name: str, make: Callable[[Callable[[str], DataFrame]], DataFrame], depends: dict) -> Stage:
+        def work(place: Place) -> str:
+            make(lambda other: spark.read.parquet(place.path(other, "rows"))).write.mode("overwrite").parquet(f"{place.folder}/rows")
+            return f"{place.folder}/rows"
 
-        return Step(name, run, params, [f"{name}/rows/_SUCCESS"])
+        return Stage(name, work, depends, [f"{name}/rows/_SUCCESS"])
+
+    def chunks(read) -> DataFrame:
+        cut, count = chunker(s)
+        return chunking.chunk(read(last), cut, count)
 
     def persist(read) -> DataFrame:
-        sections, chunks = read(last), read("04_embed")
+        sections, rows = read(last), read("04_embed")
         one_document(sections)
         if library:
             about = sections.select("external_id").distinct().select("external_id", F.lit(title).alias("title"), F.lit(source).alias("source"))
-            Library(spark, library).persist(about, sections, chunks)
-        return receipt(sections, chunks)
+            Library(spark, library).persist(about, sections, rows)
+        return receipt(sections, rows)
 
-    out = [
+    cutting = {"size": s.chunk_size, "overlap": s.overlap, "by": s.chunking, "vocabulary": s.vocabulary, "pattern": s.pattern, "input": last}
+    return [
         stage("01_extract", lambda read: files.extract(spark, source, s.method).withColumn("external_id", F.lit(external_id)), {"source": source, "method": s.method, "content": content_key}),
         stage("02_structure", lambda read: structure.parse_strict(read("01_extract").select("external_id", "text"), profile), {"external_id": external_id, "profile": vars(profile)}),
         *([stage("03_clean", lambda read: clean_sections(read("02_structure"), s.clean), {"method": s.clean})] if s.clean else []),
-        stage("03_chunk", lambda read: chunking.chunk(read(last), lambda t: chunking.windows(t, s.chunk_size, s.overlap)), {"chunk_size": s.chunk_size, "overlap": s.overlap, "input": last}),
-        stage("04_embed", lambda read: embed_chunks(read("03_chunk"), embed, s.embedding_model, s.dimension, s.max_batch_tokens, s.max_batch_items), {"model": s.embedding_model, "tokens": s.max_batch_tokens, "items": s.max_batch_items}),
+        stage("03_chunk", chunks, cutting),
+        stage("04_embed", lambda read: embed_chunks(read("03_chunk"), embed, s.embedding_model, s.dimension, s.max_batch_tokens, s.max_batch_items, s.retries), {"model": s.embedding_model, "tokens": s.max_batch_tokens, "items": s.max_batch_items}),
         stage("05_persist", persist, {"sections": last, "library": library}),
     ]
-    return out
+
+
+def ingest_book(spark: SparkSession, source: str, external_id: str, embed, runs: str, library: str, settings: IngestSettings | None = None, title: str | None = None) -> dict:
+    """A file into the library, from the first stage that isn't settled; the receipt. runs: a folder that the whole cluster reaches."""
+    s = (settings or IngestSettings()).checked()
+    key = files.content_key(spark, source)
+    ledger = Ledger(spark, runs, external_id)
+    run_in_order(stages(spark, source, external_id, embed, s, key, library, title), ledger)
+    return spark.read.parquet(ledger.path("05_persist", "rows")).first().asDict()

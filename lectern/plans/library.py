@@ -69,7 +69,11 @@ class Library:
     def search_tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """chunks, sections and titles as DeepSearch takes them."""
         titles = self.documents().select("document_id", "title")
-        where = self.sections().select("section_id", "path", "heading")
-        found = self.chunks().join(titles, "document_id").join(where, "section_id", "left")
-        found = found.select("chunk_id", "content", "document_id", "section_id", "title", "path", "heading", F.col("embedding").alias("vector"))
-        return found, self.sections().select("section_id", "document_id", "path", "depth", "full_text"), titles
+        return search_rows(self.chunks(), titles, self.sections()), self.sections().select("section_id", "document_id", "path", "depth", "full_text"), titles
+
+
+def search_rows(chunks: DataFrame, titles: DataFrame, sections: DataFrame) -> DataFrame:
+    """Chunks with the title of their document and the path and heading of their section, which may be unknown; chunks of no document drop out."""
+    where = sections.select("section_id", "path", F.col("heading").alias("_heading"))
+    found = chunks.drop("heading").join(titles.select("document_id", "title"), "document_id").join(where, "section_id", "left")
+    return found.select("chunk_id", "content", "document_id", "section_id", "title", "path", F.col("_heading").alias("heading"), F.col("embedding").alias("vector"))

@@ -21,9 +21,9 @@ class RpcError(Exception):
 
 
 def agent_card(url: str) -> dict:
-    skill = {"id": "deep-search", "name": "Deep search over the corpus", "description": "Hybrid search in rounds, then an answer with its sources.", "tags": ["search", "question answering"]}
+    skill = {"id": "deep-search", "name": "Ask the books", "description": "Takes a question in plain words; the reply names the chapters it rests on.", "tags": ["books", "answers"]}
     return {
-        "protocolVersion": "0.3.0", "name": "lectern deep search", "description": "Answers questions over a corpus of books and cites its sources.", "version": "0.1.0", "url": url, "preferredTransport": "JSONRPC",
+        "protocolVersion": "0.3.0", "name": "lectern", "description": "A reader of stored books that answers what it is asked.", "version": "0.1.0", "url": url, "preferredTransport": "JSONRPC",
         "capabilities": {"streaming": True}, "defaultInputModes": ["text/plain"], "defaultOutputModes": ["text/plain"], "skills": [skill],
     }
 

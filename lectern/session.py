@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -30,8 +31,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that driver and executors share; a local one only where the session names none and runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

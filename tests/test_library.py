@@ -51,7 +51,7 @@ def test_from_files_to_an_answer(spark, tmp_path):
     (tmp_path / "in/book.txt").write_text(BOOK)
     settings = ingest.IngestSettings(method="text", chunk_size=2, overlap=0, dimension=2)
     embed = lambda texts: [(i, [float(len(t)), 1.0]) for i, t in enumerate(texts)]
-    runner.run_linear(ingest.steps(spark, str(tmp_path / "in"), "book", embed, settings, library=str(tmp_path / "lib"), title="Book"), tmp_path, "run")
+    runner.run_in_order(ingest.stages(spark, str(tmp_path / "in"), "book", embed, settings, library=str(tmp_path / "lib"), title="Book"), runner.Ledger(spark, str(tmp_path), "run"))
     chunks, sections, titles = Library(spark, str(tmp_path / "lib")).search_tables()
     assert sorted(r.content for r in chunks.collect()) == ["Other words.", "Some words", "here."]
     vectors = spark.createDataFrame([(0, [1.0, 0.0])], "qid int, vector array<double>")

@@ -1,10 +1,13 @@
+import asyncio
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lectern.plans import contracts, deep_search, ingest, runner
-from lectern.plans.gateway import Gateway, ordered_vectors
+from lectern.plans.gateway import Gateway, embed_chunks, ordered_vectors, request_ends
+from lectern.serve import cli
 from lectern.sources import files
 from lectern.streaming.arrivals import ingest_stream
 
@@ -82,50 +85,65 @@ def test_gateway_retries_orders_and_counts_cost():
             ordered_vectors(found, 2, dim)
 
 
-def counting(names, log, fail=()):
-    def step(n):
-        def run(ctx):
-            log.append(n)
-            if n in fail:
-                raise RuntimeError(f"{n} broke")
-            (ctx.stage_dir / "out").write_text(n)
-            return n
-
-        return runner.Step(n, run, {"p": 1}, [f"{n}/out"])
-
-    return [step(n) for n in names]
-
-
-def test_runner_skips_cascades_and_keeps_failures(tmp_path):
-    log = []
-    assert list(runner.run_linear(counting("abc", log), tmp_path, "r")) == list("abc")
-    assert runner.run_linear(counting("abc", log), tmp_path, "r") == {} and log == list("abc")
-    (tmp_path / "r/b/out").unlink()
-    assert list(runner.run_linear(counting("abc", log), tmp_path, "r")) == ["b", "c"]
-    changed = counting("abc", log)
-    changed[1].params = {"p": 2}
-    assert list(runner.run_linear(changed, tmp_path, "r")) == ["b", "c"]
-    with pytest.raises(RuntimeError):
-        runner.run_linear(counting("ab", [], fail="a"), tmp_path, "s")
-    state = runner.RunDir(tmp_path, "s").state()["steps"]["a"]
-    assert state["status"] == "failed" and "broke" in state["error"]
-    assert list(runner.run_policy(counting("abc", []), tmp_path, "t")) == list("abc")
-    with pytest.raises(RuntimeError):
-        runner.run_policy(counting("ab", []), tmp_path, "u", lambda view: "a", 3)
-
-
 def test_ingest_from_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/book.txt").write_text("Chapter 1: One\nSome words ,  here.\nChapter 2: Two\nOther words.\n")
     settings = ingest.IngestSettings(method="text", clean="normalize", chunk_size=2, overlap=0, dimension=2)
-    make = lambda: ingest.steps(spark, str(tmp_path / "in"), "book", lambda texts: [(i, [float(len(t)), 1.0]) for i, t in enumerate(texts)], settings)
-    ran = runner.run_linear(make(), tmp_path, "run")
+    ledger = runner.Ledger(spark, str(tmp_path), "run")
+    make = lambda: ingest.stages(spark, str(tmp_path / "in"), "book", lambda texts: [(i, [float(len(t)), 1.0]) for i, t in enumerate(texts)], settings)
+    ran = runner.run_in_order(make(), ledger)
     rows = spark.read.parquet(ran["04_embed"]).orderBy("section_path", "seq").collect()
     assert [(r.id, r.text, list(r.vector)) for r in rows] == [("book:1:0", "Some words,", [11.0, 1.0]), ("book:1:1", "here.", [5.0, 1.0]), ("book:2:0", "Other words.", [12.0, 1.0])]
     assert spark.read.parquet(ran["05_persist"]).first().asDict() == {"external_id": "book", "sections": 2, "chunks": 3}
-    assert runner.run_linear(make(), tmp_path, "run") == {}
+    assert runner.run_in_order(make(), ledger) == {}
     with pytest.raises(ValueError):
         ingest.clean_sections(spark.read.parquet(ran["02_structure"]), "llm")
+    with pytest.raises(ValueError):
+        settings.checked()
+
+
+def test_a_book_by_command(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "book.txt").write_text("Chapter 1: One\nSome words here.\n")
+    (tmp_path / "own.toml").write_text('method = "text"\nchunk_size = 2\noverlap = 0\n')
+    monkeypatch.setenv("LECTERN_INGEST_DIMENSION", "1536")
+    monkeypatch.setattr(cli, "named", lambda path, option: lambda texts: [(i, [0.0] * 1536) for i, _ in enumerate(texts)])
+    command = ["--ingest", str(tmp_path / "book.txt"), "--external-id", "b", "--embedder", "m:f", "--runs", str(tmp_path / "runs"), "--library", str(tmp_path / "lib"), "--config", str(tmp_path / "own.toml")]
+    for _ in range(2):  # the second time nothing is left to do
+        assert cli.main(command) == 0 and json.loads(capsys.readouterr().out) == {"external_id": "b", "sections": 1, "chunks": 2}
+    with pytest.raises(SystemExit):
+        cli.main(["--ingest", "x"])
+
+
+def test_calls_of_an_event_loop_and_of_executors(spark):
+    calls = []
+
+    async def flaky(model, messages):
+        calls.append(model)
+        if len(calls) < 2:
+            raise OSError
+        return "ok", 0.5
+
+    async def texts(model, messages):
+        for t in ("a", "", "b"):
+            yield t
+
+    async def all_of():
+        g = Gateway({"t": "m"}, complete=flaky, stream=texts, embed=lambda m, t: [(1, [2.0]), (0, [1.0])], retries=1)
+        plain = Gateway({"t": "m"}, stream=lambda m, x: iter(["c", None]))
+        return await g.acompletion("t", []), g.cost, await g.aembedding("t", ["x", "y"]), [t async for t in g.astreaming("t", [])], [t async for t in plain.astreaming("t", [])]
+
+    assert asyncio.run(all_of()) == ("ok", 0.5, [[1.0], [2.0]], ["a", "b"], ["c"]) and len(calls) == 2
+    seen = []
+
+    def embed(texts):
+        seen.append(len(texts))
+        if len(seen) == 1:
+            raise OSError
+        return [(i, [float(len(t))]) for i, t in enumerate(texts)]
+
+    rows = spark.createDataFrame([(str(i) * 3, 4) for i in range(2500)], "text string, token_count int").coalesce(1)
+    assert embed_chunks(rows, embed, "m", 1, 10_000, 900, 1).agg(F.sum(F.col("vector")[0]), F.count("*")).first() is not None
+    assert request_ends([4] * 10, 12, 5) == [3, 6, 9] and request_ends([50, 1, 1], 12, 5) == [1] and request_ends([1] * 7, 100, 3) == [3, 6]
 
 
 def test_files(spark, tmp_path):
@@ -135,8 +153,10 @@ def test_files(spark, tmp_path):
     assert files.extract(spark, str(tmp_path / "a.txt"), "text").first().text == "x\fy"
     with pytest.raises(Exception, match="no text in"):
         files.extract(spark, str(tmp_path / "b.txt"), "text").collect()
-    with pytest.raises(files.ExtractError):
-        files.backend("other")
+    for unknown in ("other", "PyPDF2"):
+        with pytest.raises(files.ExtractError):
+            files.backend(unknown)
+    assert files.backend("pypdf2") is files.pypdf
     (tmp_path / "c.jsonl").write_text('{"external_id": "e", "seq": 1}\n\n{"external_id": "f"}\n')
     schema = contracts.CHUNK
     with pytest.raises(Exception, match="is missing"):
@@ -154,4 +174,4 @@ def test_arrivals_are_upserted_once(spark, tmp_path):
 def test_registry_has_sql_for_all_but_the_walk():
     names, sql = set(__spark_entry__.queries()), set(__spark_entry__.oracle_sql())
     own = {n for n in names if not n.startswith("op") or n == "opener_chapters"} - {"pipeline"}
-    assert sql <= names and own - sql == {"deep_search_trace"} and len(own) > 30
+    assert sql <= names and own - sql == {"deep_search_trace", "chunk_recursive"} and len(own) > 30

@@ -124,3 +124,18 @@ def test_evidence_and_recall(spark):
     ranked = spark.createDataFrame([(0, 1, "5"), (0, 2, "3"), (1, 7, "3")], "qid int, rank int, key string")
     expected = spark.createDataFrame([(0, "3"), (0, "4"), (1, "3"), (2, "1")], "qid int, key string")
     assert [(r.qid, r.first_rank, r.hit) for r in search.recall_at_k(ranked, expected).orderBy("qid").collect()] == [(0, 2, True), (1, 7, False), (2, None, False)]
+
+
+def test_vectors_with_odd_numbers_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, [0.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [float("nan"), 0.0])], "qid int, vector array<double>")
+    assert [(r.qid, r.chunk_id) for r in search.knn(chunks, asked).orderBy("rank").collect()] == [(0, 1), (0, 5)]
+
+
+def test_terms_are_sought_or_joined_alike(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"word{i % 3} word{i % 2} other", i) for i in range(9)], "chunk_id long, content string, document_id long")
+    asked = spark.createDataFrame([(0, "word1 nothing"), (1, "other word2")], "qid int, text string")
+    found = search.bm25(chunks, asked).collect()
+    monkeypatch.setattr(search, "MAX_TERMS", 1)
+    assert sorted(found) == sorted(search.bm25(chunks, asked).collect()) and len(found) > 5

@@ -123,7 +123,7 @@ def test_command_line(capsys):
     assert cli.main(["-q", "q", "--top-k", "3", "--mmr-lambda", "0.2", "--trace"], build) == 0
     assert seen[0].top_k == 3 and seen[0].mmr_lambda == 0.2 and seen[0].max_chunks == 40
     out = capsys.readouterr().out
-    assert "Sources:\n- B › 1" in out and out.index("[B › 2]  score=0.2000  chunk_id=2") < out.index("[B › 1]") and "  a b\n" in out + "\n" and "c" * 300 + "…" in out
+    assert "\n1. B › 1" in out and out.index("0.2000  #2  B › 2") < out.index("#1  B › 1") and "          a b\n" in out + "\n" and "c" * 300 + "…" in out
     assert cli.main(["-q", "q", "--format", "json"], build) == 0 and json.loads(capsys.readouterr().out) == RESULT
     assert cli.main(["-q", "q"], lambda s: Fake(found=False)) == 1
     for bad in ([], ["-q", "q", "--build", "x"]):
@@ -136,4 +136,4 @@ def test_a_real_search_over_http(spark, serve):
     status, body = call(at + "/query", {"question": "What?", "document_ids": [1]})
     got = json.loads(body)
     assert status == 200 and got["answer"] == "See [Book › 2]." and got["chunks"] and all(c["document_id"] == 1 and c["content"] and c["source"].startswith("Book") for c in got["chunks"])
-    assert cli.render(got, trace=True).startswith("See [Book › 2].")
+    assert next(cli.told(got, trace=True)) == "See [Book › 2]."

@@ -95,3 +95,15 @@ def test_chunks_are_placed(spark):
 def test_parents_are_linked(spark):
     rows = spark.sql("SELECT * FROM VALUES (1L, 1L, '1', cast(null as string)), (2L, 1L, '1.1', '1'), (3L, 2L, '1.1', '1') t(section_id, document_id, path, parent_path)")
     assert {r.section_id: r.parent_id for r in store.link_parents(rows).collect()} == {1: None, 2: 1, 3: None}
+
+
+@pytest.mark.parametrize("raw", [" \x1f a \x1d", "a\x1cb\x85c", "\u3000x\x1e\n y\u2009", "\x1f"])
+def test_white_space_is_that_of_split(spark, raw):
+    got = spark.createDataFrame([(raw,)], "t string").select(X.count_words(F.col("t")).alias("n"), X.strip(F.col("t")).alias("s"), X.snippet(F.col("t")).alias("f"), chunking.windows(F.col("t"), 2, 0).alias("w")).first()
+    assert (got.n, got.s, got.f) == (len(raw.split()), raw.strip(), " ".join(raw.split())) and " ".join(got.w).split() == raw.split()
+
+
+def test_ranges_are_numbered_in_order(spark):
+    rows = spark.createDataFrame([(f"k{i:04d}",) for i in range(500)], "external_id string").repartition(7)
+    assert [r.external_id for r in store.numbered_by(rows, "external_id").orderBy("n").collect()] == [f"k{i:04d}" for i in range(500)]
+    assert store.numbered_by(rows.limit(0), "external_id").count() == 0
