@@ -205,7 +205,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] =
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> DataFrame:
-    """docs' columns but text after doc_id, the counts, base_failed, rule_no and kept, for every document.
+    """The counts, doc_id, base_failed, rule_no and kept of every document; docs' other columns are left out.
 
     Null and empty texts have no words and fail the base. Without labels only the base decides. Repeated rows are each
     judged alike, very long texts are counted whole, an empty table gives an empty result, clashing columns are not read.

@@ -191,7 +191,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, n_pivots: int = N_PIVO
 
 
 def one_each(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The rows of docs that first names in least (doc_id, text_key), each once."""
+    """The rows of docs that first names in least (doc_id, text_key), each once; null ids match null ones."""
     kept = materialize(first.select(F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_key")), "simhash-kept")
     met = docs.withColumn("_text_key", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
     return met.dropDuplicates(["_id", "_key"]).select(docs.columns)
