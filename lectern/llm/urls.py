@@ -3,15 +3,16 @@
 Level 1 encodes the listed keys, level 2 the keys of the corpus that level 1 lets through wrongly, level 3 the listed
 keys that level 2 catches, and so on until no error is left. Over the key universe from which it was built, membership
 is then exact, and a URL is judged by bit tests in its own row: no join. Building and testing are built-in Spark SQL.
+A list whose first level would not fit into MAX_BITS is dealt by a hash of the key into segments, each with a cascade
+of its own; the rows pass them one after the other, so no plan carries more than one segment's filters.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.session import materialize
@@ -20,9 +21,8 @@ from lectern.session import materialize
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Hosts blocked, subdomains included, where no rule fits.
 LISTED_HOSTS = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org")
-#: More bits than this are not carried in a plan; membership is then found by a join.
-MAX_BITS = 1 << 24
-MAX_LEVELS = 64
+#: Most bits of a segment's first level, 4 MB; the other levels together take less than twice its keys' share.
+MAX_BITS = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -60,20 +60,23 @@ def _positions(key: Column, level_no: int, bits: int, hashes: int) -> list[Colum
 
 
 def _in_level(key: Column, level_no: int, level: Level) -> Column:
-    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
-    tests = [F.expr("true")]
-    for at in _positions(key, level_no, level.bits, level.hashes):
-        word = F.get(words, F.floor(at / 64).cast("int"))
-        tests.append(F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1)
-    return reduce(lambda a, b: a & b, tests[1:], tests[0])
+    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")  # once a level in the plan, whatever its hashes
+    return F.forall(F.array(*_positions(key, level_no, level.bits, level.hashes)), lambda at: F.getbit(F.get(words, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
+
+
+def _first_rate(n: int, n_others: int) -> float:
+    """The first level's rate of false positives: about 0.7 wrong keys for each listed one."""
+    return min(0.5, 0.7 * n / max(1, n_others))
+
+
+def _bits(n: int, rate: float) -> int:
+    return max(64, 64 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
 
 
 def _encode(keys: DataFrame, n: int, level_no: int, rate: float) -> Level:
     """A filter of n keys with about that rate of false positives. Its bits are set by distinct positions; only its words reach the driver."""
     hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, 64 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
-    if bits > MAX_BITS:
-        raise OverflowError("the list does not fit")
+    bits = _bits(n, rate)
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), level_no, bits, hashes))).alias("at"))
     # 1 << 63 is the lowest long: shiftleft wraps without an overflow
     words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits"))
@@ -82,30 +85,21 @@ def _encode(keys: DataFrame, n: int, level_no: int, rate: float) -> Level:
 
 
 class Cascade:
-    """Exact membership of listed keys among the keys of a universe (a table of distinct `key`)."""
+    """Exact membership of listed keys among the keys of a universe."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame) -> None:
         """listed and universe: one column `key`, distinct, not null. Keys listed but not in the universe are let go: nothing asks for them."""
-        listed = materialize(listed.join(universe, "key", "left_semi"), "cascade-listed")
-        others = universe.join(listed, "key", "left_anti")
+        inside = materialize(listed.join(universe, "key", "left_semi"), "cascade-listed")
+        outside = universe.join(inside, "key", "left_anti")
+        n = inside.count()
+        n_others = universe.count() - n
         self.levels: list[Level] = []
-        self.listed = listed
-        n, n_others = listed.count(), universe.count() - listed.count()
-        inside, outside = listed, others
-        self.exact_join = False
-        while n and len(self.levels) < MAX_LEVELS:
+        while n:  # each level's hashes are new, so wrong keys halve about; no two keys share all levels' positions
             no = len(self.levels)
-            rate = min(0.5, 0.7 * n / max(1, n_others)) if not no else 0.5
-            try:
-                level = _encode(inside, n, no, rate)
-            except OverflowError:
-                self.exact_join = True  # a list too large for a plan: membership by a join, which is exact too
-                break
+            level = _encode(inside, n, no, 0.5 if no else _first_rate(n, n_others))
             self.levels.append(level)
             wrong = materialize(outside.filter(_in_level(F.col("key"), no, level)), "cascade-level")
-            inside, outside, n, n_others = wrong, inside, wrong.count(), n
-        if n and len(self.levels) == MAX_LEVELS:
-            self.exact_join = True
+            inside, outside, n = wrong, inside, wrong.count()
 
     def contains(self, key: Column) -> Column:
         """True for listed keys, False for the universe's others; the first level that lacks a key decides."""
@@ -115,23 +109,37 @@ class Cascade:
         return found
 
 
-def _marked(parts: DataFrame, column: str, cascade: Cascade, out: str) -> DataFrame:
-    """parts with the array `out` of those keys in the array `column` that are listed."""
-    if not cascade.exact_join:
-        return parts.withColumn(out, F.filter(column, cascade.contains))
-    keys = parts.select(F.explode(column).alias("key")).distinct().join(cascade.listed, "key", "left_semi")
-    row = parts.withColumn("_row", F.struct("host", "path"))
-    hits = row.select("_row", F.explode(column).alias("key")).distinct().join(keys, "key", "left_semi").groupBy("_row").agg(F.collect_set("key").alias(out))
-    return row.join(hits, "_row", "left").drop("_row").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+def _marked(parts: DataFrame, column: str, listed: DataFrame, universe: DataFrame, out: str, max_bits: int) -> DataFrame:
+    """parts with the array `out` of those keys in the array `column` that are listed; one pass over the rows for each segment of the list."""
+    listed = materialize(listed.join(universe, "key", "left_semi"), "url-listed")
+    n = listed.count()
+    segments = max(1, math.ceil(_bits(n, _first_rate(n, universe.count() - n)) / max_bits)) if n else 1
+    if segments == 1:
+        return parts.withColumn(out, F.filter(column, Cascade(listed, universe).contains))
+    parts = parts.withColumn(out, F.array().cast("array<string>"))
+    for no in range(segments):
+
+        def mine(key: Column) -> Column:
+            return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(segments)) == no
+
+        cascade = Cascade(listed.filter(mine(F.col("key"))), universe.filter(mine(F.col("key"))))
+        parts = materialize(parts.withColumn(out, F.concat(out, F.filter(column, lambda key: mine(key) & cascade.contains(key)))), "url-segment")
+    return parts
+
+
+def read_hosts(spark: SparkSession, path: str) -> DataFrame:
+    """A block list for judge_urls from text files, one host a line: A-Z lower-cased, blanks around it and a dot at its end gone, empty lines and those that begin with # left out."""
+    host = F.translate(F.regexp_extract(F.trim("value"), r"^([^#\s]\S*?)\.?$", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return spark.read.text(path).select(host.alias("key")).filter("key != ''").distinct()
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, listed_hosts: tuple[str, ...] | DataFrame = LISTED_HOSTS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, listed_hosts: tuple[str, ...] | DataFrame = LISTED_HOSTS, max_bits: int = MAX_BITS) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages.
 
     The longest rule that fits decides; else the list: a host on it, or below one on it, is blocked, every other
     allowed. Null, empty or odd URLs (no ://) have empty host and path, fit no rule and are allowed. Repeated rows are
     each judged; an empty table gives an empty result; columns other than page_id and url are ignored.
-    listed_hosts: a tuple, or a table with one column `key`.
+    listed_hosts: a tuple, or a table with a column `key`, such as read_hosts gives; null keys are no hosts.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
@@ -146,8 +154,8 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, lis
 
     listed = listed_hosts.select("key").distinct() if isinstance(listed_hosts, DataFrame) else _key_table(spark, list(listed_hosts))
     parts = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths)).withColumn("suffixes", host_suffixes(F.col("host")))
-    for out, column, cascade in (("blocks", "keys", Cascade(keys_of("block"), rule_universe)), ("allows", "keys", Cascade(keys_of("allow"), rule_universe)), ("hosts", "suffixes", Cascade(listed, host_universe))):
-        parts = _marked(parts, column, cascade, out)
+    for out, column, keys, universe in (("blocks", "keys", keys_of("block"), rule_universe), ("allows", "keys", keys_of("allow"), rule_universe), ("hosts", "suffixes", listed, host_universe)):
+        parts = _marked(parts, column, keys, universe, out, max_bits)
 
     def longest(column: str, verdict: str) -> Column:
         return F.transform(column, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(verdict).alias("verdict")))
@@ -157,7 +165,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, lis
     return parts.withColumn("best", best).select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", by_list).alias("verdict"))
 
 
-def _key_table(spark, keys: list[str]) -> DataFrame:
+def _key_table(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in sorted(set(keys))]).cast("array<string>")).alias("key"))
 
 

@@ -105,7 +105,7 @@ def test_mix_of_odd_rows(spark, documents):
 URLS = ["https://a.example.net/en/x", "http://EXAMPLE.net/en", "http://example.net/en/", "http://x.net", "http://x.net/?q", "http://a.net#z", "http://spam-farm.example.org/fr/1", "http://w.spam-farm.example.org/de/1", "http://nospam-farm.example.org/de/", "http://example.com/de/a?b", "http://notexample.com/de/", "http://b.org/fr/", "http://b.org/FR/", "no scheme", "", None, "://", "x://y://z/net/", "http://net/a", "http://a.b.c.d.net/en/", "HTTP://Ünï.NET/ä\nb?x"]
 
 
-def slow_judge(url):
+def slow_judge(url, hosts=urls.LISTED_HOSTS):
     host = path = ""
     if url and "://" in url:
         rest = url.split("://", 1)[1]
@@ -117,7 +117,7 @@ def slow_judge(url):
     fit = [(k, v) for v, k in urls.RULES if below(k[: k.index("/")]) and path.startswith(k[k.index("/") :])]
     if fit:
         return (host, path, *max(fit, key=lambda kv: len(kv[0])))
-    return host, path, None, "block" if any(below(h) for h in urls.LISTED_HOSTS) else "allow"
+    return host, path, None, "block" if any(below(h) for h in hosts) else "allow"
 
 
 def test_urls_equal_plain_rules(spark):
@@ -127,19 +127,36 @@ def test_urls_equal_plain_rules(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
-def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
+def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = spark.range(0, 20_000, 37).select(F.concat(F.lit("k"), "id").alias("key")).unionAll(spark.sql("SELECT 'absent' AS key"))
     cascade = urls.Cascade(listed, universe)
-    assert not cascade.exact_join and len(cascade.levels) > 1
+    assert len(cascade.levels) > 1
     wrong = universe.filter(cascade.contains(F.col("key")) != (F.substring("key", 2, 9).cast("int") % 37 == 0))
     assert wrong.count() == 0
     assert urls.Cascade(listed.limit(0), universe).levels == [] and urls.Cascade(listed, universe.limit(0)).levels == []
-    hosts = spark.createDataFrame([("spam.org",)], "key string")
-    pages = spark.createDataFrame([(1, "http://a.spam.org/x"), (2, "http://b.com/x"), (3, None)], "page_id long, url string")
-    plain = sorted(urls.judge_urls(pages, listed_hosts=hosts).collect())
-    monkeypatch.setattr(urls, "MAX_BITS", 1)  # a list too large for a plan is met by a join
-    assert sorted(urls.judge_urls(pages, listed_hosts=hosts).collect()) == plain and [r.verdict for r in plain] == ["block", "allow", "allow"]
+
+
+def test_lists_of_many_segments_equal_plain_rules(spark, tmp_path):
+    (tmp_path / "hosts.txt").write_text("# hosts\n\n  Spam.ORG. \nb.com\nbig.example.net\nnet2\n" + "\n".join(f"h{i}.example.info" for i in range(40)))
+    listed = urls.read_hosts(spark, str(tmp_path / "hosts.txt"))
+    hosts = {r.key for r in listed.collect()}
+    assert len(hosts) == 44 and "spam.org" in hosts
+    rows = URLS + ["http://a.spam.org/x", "http://nospam.org/x", "http://b.com", "http://x.big.example.net/de/"] + [f"http://w.h{i}.example.info/" for i in range(80)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    plain = sorted(urls.judge_urls(pages, listed_hosts=listed).collect())
+    assert sorted(urls.judge_urls(pages, listed_hosts=listed, max_bits=64).collect()) == plain
+    assert [(r.host, r.path, r.rule, r.verdict) for r in plain] == [slow_judge(u, hosts) for u in rows]
+
+
+def test_a_list_of_a_hundred_thousand_hosts(spark):
+    def host(column, tail):
+        return F.concat(F.lit("h"), column, F.lit(tail))
+
+    listed = spark.range(0, 400_000, 4).select(host("id", ".example.info").alias("key"))
+    pages = spark.range(0, 400_000, 2).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www."), host("id", ".example.info/p")).alias("url"))
+    got = urls.judge_urls(pages, listed_hosts=listed, max_bits=1 << 17).groupBy(F.col("page_id") % 4 == 0, "verdict").count().collect()
+    assert sorted(map(tuple, got)) == [(False, "allow", 100_000), (True, "block", 100_000)]
 
 
 def test_repeated_rows_are_dealt_over_shards(spark, monkeypatch):
