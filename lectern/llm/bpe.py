@@ -319,6 +319,8 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     key = (hashlib.sha256(data).hexdigest(), pattern)
     if key not in _ENCODERS:
         _ENCODERS.clear()
+        gc.collect()  # what a worker's earlier tasks left goes first: one worker serves several stages
+        pa.default_memory_pool().release_unused()
         _ENCODERS[key] = Encoder(parse_ranks(data), pattern)
     return _ENCODERS[key]
 
