@@ -15,7 +15,7 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Most rows of an Arrow batch, so that batches of long texts stay small.
 BATCH_ROWS = 1000
 #: Most bytes of an Arrow batch, unless the session names another number: a batch of very long texts holds fewer rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
