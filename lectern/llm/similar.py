@@ -298,7 +298,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     rest = met.filter("b is null").select("key", "size", F.col("a").alias("node"), "at").join(placed, "node")
     later = materialize(_met_later(materialize(rest, "similar-rest"), similarity, block_rows).distinct(), "similar-later")
     if later.limit(1).count():
-        placed = _roots(slim, found.unionAll(_verified(docs, nodes, later, shingle, similarity)))
+        stars = placed.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        placed = _roots(slim, stars.unionAll(_verified(docs, nodes, later, shingle, similarity)))
     return marked.select("doc_id", "text_key", "node").join(placed, "node").select("doc_id", "text_key", "root")
 
 
