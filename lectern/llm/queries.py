@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, dialogues, licenses, mixing, quality, shards, simhash, toxicity, unigram, urls
+from lectern.llm import ann, bpe, dialogues, licenses, mixing, negatives, quality, shards, simhash, toxicity, unigram, urls
 from lectern.session import prepare, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.prefix_tree(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_quality_rules, op2_nearest_neighbours, op3_license_scan, op4_url_filter, op5_simhash, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding, op10_mixing, op12_conversation_trie)
+    made = (op1_quality_rules, op2_nearest_neighbours, op3_license_scan, op4_url_filter, op5_simhash, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding, op10_mixing, op12_conversation_trie, op13_hard_negatives)
     return {f.__name__: _prepared(f) for f in made}
 
 
@@ -71,4 +75,4 @@ def _prepared(query: Query) -> Query:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest_neighbours": ann.SQL, "op4_url_filter": urls.SQL, "op10_mixing": mixing.SQL, "op12_conversation_trie": dialogues.SQL}
+    return {"op2_nearest_neighbours": ann.SQL, "op4_url_filter": urls.SQL, "op10_mixing": mixing.SQL, "op12_conversation_trie": dialogues.SQL, "op13_hard_negatives": negatives.SQL}
