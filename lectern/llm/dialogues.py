@@ -1,9 +1,9 @@
 """A prefix trie of conversations: what turns they share from the start, and how many bytes a shared prefix saves.
 
 Turns become digests before anything is shuffled, so texts stay where they are read. Equal conversations are one path
-with a count. Paths are dealt by the fingerprint of their first turn; a first turn with more than LIMIT rows beneath it
-is dealt again by the next turn, and so on. Each group is built into a trie of pointer dictionaries in applyInPandas and
-summed in postorder; the nodes above the groups are summed from what their children returned, deepest first.
+with a count. Paths are hash-partitioned by the fingerprint of their first turn; a first turn with more than LIMIT rows
+beneath it is dealt again by the next turn, and so on. Each group, of many first turns or next turns, is built into tries
+of pointer dictionaries in applyInPandas and summed in postorder; the nodes above the groups are summed from what their children returned, deepest first.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from lectern.session import materialize, prepare
 
 #: Of the contract: which conversation lends its first turns, and how many at most.
 FAMILY, LENT = 5, 9
-#: Turns of distinct conversations that one group holds at most, unless a single conversation is longer.
-LIMIT = 200_000
+#: Turns of distinct conversations that stand beneath one first (or next) turn of a group at most; a group holds about as many.
+LIMIT = 50_000
 #: Ids that one piece of a list of ids holds.
 PIECE = 1 << 14
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends long, n_ends long"
@@ -56,14 +56,14 @@ def _marks() -> dict[str, Column]:
 
 
 def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The trie of a group's paths (rep, n, depth, digest, bytes, len), a row a node; parents outside the group are null."""
+    """The tries of a group's paths (rep, n, depth, digest, bytes, len, b1, b2), a row a node; parents outside the group are null."""
     pdf = pdf.sort_values(["rep", "depth"], kind="stable")
-    below: list[dict[str, int]] = [{}]
+    below: list[dict] = [{}]
     parent, depth, conv, members, own, ends, n_ends = [-1], [0], [0], [0], [0], [None], [0]
     last, at = None, 0
-    for rep, n, d, digest, size, length in zip(*(pdf[c].tolist() for c in ("rep", "n", "depth", "digest", "bytes", "len")), strict=True):
-        at = at if rep == last else 0
-        last = rep
+    for rep, n, d, digest, size, length, b1, b2 in zip(*(pdf[c].tolist() for c in ("rep", "n", "depth", "digest", "bytes", "len", "b1", "b2")), strict=True):
+        if rep != last:  # the top of a trie goes by its whole path
+            at, last, digest = 0, rep, (b1, b2)
         child = below[at].get(digest)
         if child is None:  # paths come by rep, so the first to pass is the smallest member
             child = below[at][digest] = len(below)
@@ -102,13 +102,15 @@ def tries(paths: DataFrame, limit: int = LIMIT) -> DataFrame:
     live = marked.withColumns({f"b{s}": F.first(f"p{s}").over(way) for s in (1, 2)} | {f"p{s}": F.bit_xor(f"p{s}").over(way) for s in (1, 2)})
     live = materialize(live, "dialogue-paths")
     built, tops, top = [], [], 1
+    least = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         heads = live.filter(F.col("depth") == top)
         large = heads.groupBy("b1", "b2").agg(F.sum(F.col("len") - top + 1).alias("rows"), F.count("*").alias("reps")).filter(F.col("rows") > limit)
         large = materialize(large, "dialogue-large")  # a row for each limit rows at most
         any_large = large.limit(1).count() > 0
         small = live.join(large, ["b1", "b2"], "left_anti") if any_large else live
-        built.append(small.groupBy("b1", "b2").applyInPandas(grow, NODE))
+        groups = max(least, -(-live.count() // limit))
+        built.append(small.groupBy(F.pmod(F.xxhash64("b1", "b2"), F.lit(groups)).alias("group")).applyInPandas(grow, NODE))
         if not any_large:
             break
         both = live.join(large.select("b1", "b2", "reps"), ["b1", "b2"])
