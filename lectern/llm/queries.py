@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, dialogues, licenses, mixing, negatives, quality, shards, simhash, toxicity, unigram, urls
+from lectern.llm import ann, bpe, dialogues, licenses, mixing, negatives, prefix_join, quality, shards, simhash, toxicity, unigram, urls
 from lectern.session import prepare, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.components_of(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.prefix_tree(table(spark, sf_dir, "conversations"))
 
@@ -66,7 +70,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = (op1_quality_rules, op2_nearest_neighbours, op3_license_scan, op4_url_filter, op5_simhash, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding, op10_mixing, op12_conversation_trie, op13_hard_negatives)
+    made = (op1_quality_rules, op2_nearest_neighbours, op3_license_scan, op4_url_filter, op5_simhash, op6_token_counts, op7_toxicity, op8_byte_bpe, op9_sharding, op10_mixing, op11_ngram_jaccard, op12_conversation_trie, op13_hard_negatives)
     return {f.__name__: _prepared(f) for f in made}
 
 
