@@ -3,7 +3,8 @@
 All members have one order, and sets of similarity t share one of the first |x| - ceil(t |x|) + 1 of each. Under each
 such member the sets that hold it meet: what follows it in each set, in that order, is stored in a trie, and a set walks
 the trie with the overlap so far, once for all sets that share a path. A subtree is left as soon as the overlap and what
-can still remain of the longest set in it, or of the walking set, are too few. What the walk can't rule out is verified on
+can still remain of the longest set in it, or of the walking set, are too few. At its ends a sketch of each set, the parity
+of its members by hash, bounds from below in how many members two sets differ. What the walk can't rule out is verified on
 whole sets. A pair need only meet at the first member it shares, so members whose sets all have the same member before
 are passed over. Walks first stop at a few candidates; sets that these join are one component, and only the members with
 more candidates are walked again, between components.
@@ -26,24 +27,25 @@ from lectern.session import materialize, prepare
 
 #: Of the contract.
 SHINGLE, SIMILARITY = 3, 0.9
-#: Members after the shared one that a trie holds of a set at most; sets in one trie at most; candidates after which a first walk stops.
-TAIL, BLOCK_ROWS, NEXT = 64, 4096, 2
+#: Members after the shared one that a trie holds of a set at most; bits of a sketch; sets in one trie at most; candidates after which a first walk stops.
+TAIL, SKETCH, BLOCK_ROWS, NEXT = 16, 512, 4096, 2
 PAIRS = 1 << 18
 _EPS = 1e-9
 
 
 class Trie:
-    """Sets by what follows a shared member: (size, left, tail, root), left = size less the members up to the shared one.
+    """Sets by what follows a shared member: (size, left, tail, sketch, root), left = size less the members up to the shared one.
 
     A node holds the sets whose tail ends there, or one set whose tail goes on alone, or children by member; and of all
     sets beneath it the least size, the most that is left, and the root they have in common (None: several).
     """
 
-    __slots__ = ("sets", "similarity", "below", "ends", "alone", "least", "most", "root")
+    __slots__ = ("sets", "similarity", "apart", "below", "ends", "alone", "least", "most", "root")
 
     def __init__(self, similarity: float) -> None:
         self.sets: list[tuple] = []
-        self.similarity = similarity / (1 + similarity)
+        self.similarity = similarity / (1 + similarity)  # of both sizes: members that similar sets share at least
+        self.apart = (1 - similarity) / (1 + similarity)  # and members that only one of them has, at most
         self.below: list[dict | None] = []
         self.ends: list[list[int]] = []
         self.alone: list[int] = []
@@ -56,9 +58,9 @@ class Trie:
             column.append(value)
         return len(self.below) - 1
 
-    def add(self, size: int, left: int, tail: list[int], root=None) -> None:
+    def add(self, size: int, left: int, tail: list[int], sketch: int = 0, root=None) -> None:
         no = len(self.sets)
-        self.sets.append((size, left, tail, root))
+        self.sets.append((size, left, tail, sketch, root))
         if not self.below:
             self.alone[self._node(size, left, root)] = no
             return
@@ -73,7 +75,7 @@ class Trie:
                 self.alone[at] = -1
                 was = self.sets[other]
                 if depth < len(was[2]):
-                    child = self._node(was[0], was[1], was[3])
+                    child = self._node(was[0], was[1], was[4])
                     self.alone[child] = other
                     self.below[at] = {was[2][depth]: child}
                 else:
@@ -90,12 +92,30 @@ class Trie:
                 return
             at, depth = child, depth + 1
 
-    def walk(self, size: int, left: int, tail: list[int], root=None) -> Iterator[int]:
+    def walk(self, size: int, left: int, tail: list[int], sketch: int = 0, root=None) -> Iterator[int]:
         """Numbers of the sets that can be similar; those of the same root are left out unless it is None."""
         if not self.below:
             return
         members, last = set(tail), tail[-1] if tail else -1
         stack = [(0, 0, 1, 0)]  # node, members on its path, overlap, own members up to there
+
+        def fits(no: int, depth: int, both: int, own: int) -> bool:
+            """Both tails are known up to the lesser last member; from there on all that is left may be shared."""
+            its_size, its_left, its_tail, its_sketch, its_root = self.sets[no]
+            if root is not None and its_root == root:
+                return False
+            if (sketch ^ its_sketch).bit_count() > self.apart * (size + its_size) + _EPS:
+                return False
+            need = self.similarity * (size + its_size) - _EPS
+            while both + min(its_left - depth, left - own) >= need:
+                if depth >= len(its_tail) or own >= len(tail):
+                    return True
+                a, b = its_tail[depth], tail[own]
+                both += a == b
+                depth += a <= b
+                own += b <= a
+            return False
+
         while stack:
             at, depth, both, own = stack.pop()
             if root is not None and self.root[at] == root:
@@ -103,35 +123,20 @@ class Trie:
             if both + min(self.most[at] - depth, left - own) < self.similarity * (size + self.least[at]) - _EPS:
                 continue
             if self.alone[at] >= 0:
-                no = self.alone[at]
-                if (root is None or self.sets[no][3] != root) and self._fits(no, depth, both, own, size, left, tail):
-                    yield no
+                if fits(self.alone[at], depth, both, own):
+                    yield self.alone[at]
                 continue
             for no in self.ends[at]:
-                if (root is None or self.sets[no][3] != root) and self._fits(no, depth, both, own, size, left, tail):
+                if fits(no, depth, both, own):
                     yield no
             for member, child in (self.below[at] or {}).items():
                 if member > last:  # of the walking set nothing is known from here on
                     for no in self._under(child):
-                        if (root is None or self.sets[no][3] != root) and both + min(self.sets[no][1] - depth, left - len(tail)) >= self.similarity * (size + self.sets[no][0]) - _EPS:
+                        if fits(no, depth, both, len(tail)):
                             yield no
                 else:
                     stack.append((child, depth + 1, both + (member in members), bisect_right(tail, member, own)))
 
-    def _fits(self, no: int, depth: int, both: int, own: int, size: int, left: int, tail: list[int]) -> bool:
-        """Whether a set whose tail goes on alone can be similar: both tails are known up to the lesser last member."""
-        its_size, its_left, its_tail, _ = self.sets[no]
-        need = self.similarity * (size + its_size) - _EPS
-        while True:
-            if both + min(its_left - depth, left - own) < need:
-                return False
-            if depth == len(its_tail) or own == len(tail):
-                return True
-            a, b = its_tail[depth], tail[own]
-            both += a == b
-            depth += a <= b
-            own += b <= a
-
     def _under(self, at: int) -> Iterator[int]:
         stack = [at]
         while stack:
@@ -142,8 +147,13 @@ class Trie:
             stack.extend((self.below[at] or {}).values())
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """The parity of how many members fall on each bit: where two sketches differ, a member is in one set only."""
+    return np.packbits((np.bincount((members >> np.uint64(7)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, text_key, node (hash of the whole set), size and prefix of every row."""
+    """doc_id, text_key, node (hash of the whole set), size, prefix and sketch of every row."""
     common = _common(docs, shingle)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +161,11 @@ def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) for s in sets], dtype=np.uint64).view(np.int64)
             heads = pa.array([prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), heads], names=["doc_id", "text_key", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), heads, pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "text_key", "node", "size", "prefix", "sketch"])
 
     zero = F.lit(0).cast("long")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, rows.select("doc_id", "text_key", zero.alias("node"), zero.alias("size"), F.array(zero).alias("prefix")).schema)
+    return rows.mapInArrow(run, rows.select("doc_id", "text_key", zero.alias("node"), zero.alias("size"), F.array(zero).alias("prefix"), F.lit(b"").alias("sketch")).schema)
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -165,29 +175,39 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return rows.select("node", "size", F.col("at").cast("long").alias("at"), "x.key", "x.before")
 
 
+def _meeting(nodes: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """key, blocks: members under which sets have to meet. Where two sets hold a member, sizes and places must allow them to be similar; and of several sets not all may have the same member before."""
+    rows = _keyed(nodes)
+    held = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.min(F.col("size") - F.col("at")).alias("left")).filter("n > 1")
+    held = materialize(held.filter((F.col("n") > 2) | (F.col("left") >= similarity / (1 + similarity) * F.col("sizes") - _EPS)).select("key", "n"), "prefix-keys")
+    before = rows.join(_small(held.select("key")), "key").groupBy("key").agg(F.min("before").alias("lo"), F.max("before").alias("hi")).filter("lo < hi")
+    return materialize(held.join(before, "key").select("key", F.ceil(F.col("n") / block_rows).alias("blocks")), "prefix-keys")
+
+
 def _following(nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, block, blocks, size, left, node and tail of the sets under each of keys (key, blocks)."""
-    rows = _keyed(nodes).drop("before").join(_small(keys), "key").join(nodes.select("node", "prefix"), "node")
+    """key, block, blocks, size, left, node, tail and sketch of the sets under each of keys (key, blocks)."""
+    rows = _keyed(nodes).drop("before").join(_small(keys), "key").join(nodes.select("node", "prefix", "sketch"), "node")
     tail = F.slice("prefix", (F.col("at") + 2).cast("int"), F.lit(TAIL))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    return rows.select("key", block.alias("block"), "blocks", "size", (F.col("size") - F.col("at") - 1).alias("left"), "node", tail.alias("tail"))
+    return rows.select("key", block.alias("block"), "blocks", "size", (F.col("size") - F.col("at") - 1).alias("left"), "node", tail.alias("tail"), "sketch")
 
 
-def _groups(batches: Iterable[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
-    """The rows of each group, by and columns as numbers, and their tails; rows of a group stand together."""
-    held, tails = np.zeros((0, len(by) + len(columns)), dtype=np.int64), []
+def _groups(batches: Iterable[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[tuple[np.ndarray, list[list[int]], list[int]]]:
+    """The rows of each group, by and columns as numbers, with their tails and sketches; rows of a group stand together."""
+    held, tails, sketches = np.zeros((0, len(by) + len(columns)), dtype=np.int64), [], []
     for b in batches:
         if not b.num_rows:
             continue
         rows = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in [*by, *columns]], axis=1)
         flat, ends = b.column("tail").flatten().to_numpy().view(np.uint64).tolist(), np.cumsum(b.column("tail").value_lengths().to_numpy())
         held, tails = np.concatenate([held, rows]), tails + [flat[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        sketches += [int.from_bytes(x) for x in b.column("sketch").to_pylist()]
         cuts = [0, *(np.flatnonzero((held[1:, : len(by)] != held[:-1, : len(by)]).any(axis=1)) + 1)]
         for i, j in zip(cuts, cuts[1:], strict=False):
-            yield held[i:j], tails[i:j]
-        held, tails = held[cuts[-1] :], tails[cuts[-1] :]
+            yield held[i:j], tails[i:j], sketches[i:j]
+        held, tails, sketches = held[cuts[-1] :], tails[cuts[-1] :], sketches[cuts[-1] :]
     if len(held):
-        yield held, tails
+        yield held, tails, sketches
 
 
 def _first_walks(rows: DataFrame, similarity: float) -> DataFrame:
@@ -202,15 +222,15 @@ def _first_walks(rows: DataFrame, similarity: float) -> DataFrame:
             columns = [pa.concat_arrays([pairs.column(0), nothing]), pa.concat_arrays([pairs.column(1), nothing]), pa.concat_arrays([pa.nulls(pairs.num_rows, pa.int64()), pa.array(more, pa.int64())])]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
 
-        for held, tails in _groups(batches, ["key", "block"], ["blocks", "size", "left", "node"]):
+        for held, tails, sketches in _groups(batches, ["key", "block"], ["blocks", "size", "left", "node"]):
             trie, open_still = Trie(similarity), held[0, 2] > 1
-            for (size, left, node), tail in zip(held[:, 3:].tolist(), tails, strict=True):
-                for n, other in enumerate(trie.walk(size, left, tail)):
+            for (size, left, node), tail, bits in zip(held[:, 3:].tolist(), tails, sketches, strict=True):
+                for n, other in enumerate(trie.walk(size, left, tail, bits)):
                     if n == NEXT:
                         open_still = True
                         break
                     found.append(np.array([[node, held[other, 5]]]))
-                trie.add(size, left, tail)
+                trie.add(size, left, tail, bits)
             if open_still:
                 more.append(held[0, 0])
             if len(found) + len(more) >= PAIRS:
@@ -226,11 +246,11 @@ def _later_walks(rows: DataFrame, similarity: float) -> DataFrame:
     """a, b: all candidates under each key whose ends are in different components (root). Every two blocks of a key meet in a group of their own."""
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
-    met = rows.join(mixed, "key").select("key", "block", "size", "left", "node", "root", "tail", other.alias("x")).select("key", "x.i", "x.j", "block", "size", "left", "node", "root", "tail")
+    met = rows.join(mixed, "key").select("key", "block", "size", "left", "node", "root", "tail", "sketch", other.alias("x")).select("key", "x.i", "x.j", "block", "size", "left", "node", "root", "tail", "sketch")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for held, tails in _groups(batches, ["key", "i", "j"], ["block", "size", "left", "node", "root"]):
+        for held, tails, sketches in _groups(batches, ["key", "i", "j"], ["block", "size", "left", "node", "root"]):
             roots, counts = np.unique(held[:, 7], return_counts=True)
             if len(roots) < 2:
                 continue
@@ -238,10 +258,10 @@ def _later_walks(rows: DataFrame, similarity: float) -> DataFrame:
             stored = np.flatnonzero(held[:, 3] == held[0, 1])
             trie = Trie(similarity)
             for i in stored:
-                trie.add(int(held[i, 4]), int(held[i, 5]), tails[i], int(held[i, 7]))
+                trie.add(int(held[i, 4]), int(held[i, 5]), tails[i], sketches[i], int(held[i, 7]))
             for i in np.flatnonzero(held[:, 7] != main) if alone else np.flatnonzero(held[:, 3] == held[0, 2]):
                 size, left, node, root = held[i, 4:].tolist()
-                for other in trie.walk(size, left, tails[i], root):
+                for other in trie.walk(size, left, tails[i], sketches[i], root):
                     found.append(np.array([[node, held[stored[other], 6]]]))
                     if len(found) >= PAIRS:
                         yield _pair_batch(found)
@@ -263,10 +283,9 @@ def components_of(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     prepare(docs.sparkSession)
     marked = materialize(_marked(docs.select("doc_id", "text"), shingle, similarity), "prefix-rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = marked.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = marked.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "prefix-nodes")
-    keys = _keyed(nodes).groupBy("key").agg(F.count("*").alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi")).filter("n > 1 and lo < hi")
-    keys = materialize(keys.select("key", F.ceil(F.col("n") / block_rows).alias("blocks")), "prefix-keys")
+    keys = _meeting(nodes, similarity, block_rows)
     met = materialize(_first_walks(_following(nodes, keys), similarity), "prefix-met")
     pairs = materialize(met.filter("a is not null").select("a", "b").distinct(), "prefix-pairs")
     slim = nodes.select("node")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lectern.llm import prefix_join, similar
@@ -82,5 +83,16 @@ def test_walks_leave_out_only_what_cannot_be_similar():
         assert tail == 3 or found == good
 
 
+def test_sketches_never_rule_out_similar_sets():
+    draw = np.random.default_rng(6)
+    for n in (5, 200, 5000):
+        a = draw.integers(0, 2**63, n, dtype=np.uint64)
+        for change in (0, n // 40, n // 3):
+            b = np.concatenate([a[change:], draw.integers(0, 2**63, change, dtype=np.uint64)])
+            differ = len(np.setxor1d(a, b))
+            bits = (int.from_bytes(prefix_join.sketch(np.unique(a))) ^ int.from_bytes(prefix_join.sketch(np.unique(b)))).bit_count()
+            assert bits <= differ and (n > 200 or bits >= differ * 0.7)
+
+
 def test_no_documents(spark):
     assert prefix_join.components_of(spark.createDataFrame([], "doc_id long, text string")).count() == 0
