@@ -5,6 +5,7 @@ Chunks are documents (vector by vec_id = doc_id), sections and books are made fr
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from lectern import catalogue_structure
 from lectern.functions import text as X
 from lectern.operators import blocks, chunking, recursive, search, store
+from lectern.operators.text_index import TextIndex
+from lectern.operators.vector_index import VectorIndex
 from lectern.plans import ingest, library
 from lectern.plans.deep_search import report
-from lectern.session import materialize, table
+from lectern.session import materialize, shared_dir, table
 
 FLAGSHIP = "mmr_select"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +82,48 @@ def bm25_filtered(spark, d):
     return _rounded(search.bm25(chunks(spark, d), questions(spark, d), k=5, document_ids=[1, 2, 3]), "score")
 
 
+#: One row in so many asks the vector index.
+_ASKING = 50
+
+
+def _asking(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").filter(F.col("vec_id") % _ASKING == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def _vector_index(spark, d) -> VectorIndex:
+    return VectorIndex.create(chunks(spark, d).select("chunk_id", "document_id", "vector"), f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}")
+
+
+def ivf_topk(spark, d):
+    """Half of the cells at least: most of these vectors have no near neighbours, so few cells hold few of the ten."""
+    index = _vector_index(spark, d)
+    return _rounded(index.search(_asking(spark, d), 10, probes=max(1, -(-len(index.model.centres) // 2))), "score")
+
+
+def ivf_all_cells(spark, d):
+    return _rounded(_vector_index(spark, d).search(_asking(spark, d), 10, probes=None, keep=None), "score")
+
+
+_IVF_SQL = f"""WITH {_CHUNKS} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM (
+  SELECT q.vec_id AS qid, c.chunk_id, list_cosine_similarity(c.vector, q.embedding::DOUBLE[]) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(c.vector, q.embedding::DOUBLE[]) DESC, c.chunk_id)::INT AS rank
+  FROM chunks c, embeddings q WHERE q.vec_id % {_ASKING} = 0 AND c.vector IS NOT NULL) WHERE rank <= 10"""
+
+
+def _text_index(spark, d) -> TextIndex:
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+    index.add(chunks(spark, d).select("chunk_id", "document_id", "content"))
+    return index
+
+
+def bm25_indexed(spark, d):
+    return _rounded(_text_index(spark, d).search(questions(spark, d)), "score")
+
+
+def bm25_indexed_filtered(spark, d):
+    return _rounded(_text_index(spark, d).search(questions(spark, d), k=5, document_ids=[1, 2, 3]), "score")
+
+
 def _bm25_sql(k: int, where: str = "TRUE") -> str:
     return f"""tok AS (SELECT chunk_id, document_id, list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS ts FROM chunks),
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
@@ -483,6 +528,10 @@ _OWN: dict[str, tuple[Query, str | None]] = {
     "chunk_recursive": (chunk_recursive, None),
     "knn_topk": (knn_topk, f"WITH {_CHUNKS}, {_knn_sql(8)} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM knn"),
     "knn_filtered": (knn_filtered, f"WITH {_CHUNKS}, {_knn_sql(5, 'c.document_id IN (1, 2, 3)')} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM knn"),
+    "ivf_topk": (ivf_topk, None),
+    "ivf_all_cells": (ivf_all_cells, _IVF_SQL),
+    "bm25_indexed": (bm25_indexed, f"WITH {_CHUNKS}, {_bm25_sql(8)} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM bm"),
+    "bm25_indexed_filtered": (bm25_indexed_filtered, f"WITH {_CHUNKS}, {_bm25_sql(5, 'document_id IN (1, 2, 3)')} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM bm"),
     "bm25_topk": (bm25_topk, f"WITH {_CHUNKS}, {_bm25_sql(8)} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM bm"),
     "bm25_filtered": (bm25_filtered, f"WITH {_CHUNKS}, {_bm25_sql(5, 'document_id IN (1, 2, 3)')} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM bm"),
     "rrf_fusion": (rrf_fusion, f"WITH {_fused_sql()} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first)::INT AS rank, chunk_id, round(score, 6) AS score FROM fused"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import LABEL, document_label, source_label
+from lectern.operators.packing import runs
 
 
 def expand(selected: DataFrame, sections: DataFrame, titles: DataFrame) -> DataFrame:
@@ -58,11 +59,11 @@ def cited_sources(answers: DataFrame) -> DataFrame:
 
 
 def delta_frames(deltas: DataFrame, limit: int = 200) -> DataFrame:
-    """qid, frame_no, frame of (qid, seq, text): text is held back until there are limit characters, then sent; the rest comes last."""
-    packed = deltas.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("parts"))
-    state = F.aggregate(
-        "parts", F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held")),
-        lambda s, t: F.when(F.length(F.concat(s["held"], t)) >= limit, F.struct(F.concat(s["out"], F.array(F.concat(s["held"], t))).alias("out"), F.lit("").alias("held"))).otherwise(F.struct(s["out"].alias("out"), F.concat(s["held"], t).alias("held"))),
-        lambda s: F.when(s["held"] != "", F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"]),
-    )
-    return packed.select("qid", F.posexplode(state).alias("i", "frame")).select("qid", (F.col("i") + 1).alias("frame_no"), "frame")
+    """qid, frame_no, frame of (qid, seq, text): text is held back until there are limit characters, then sent; the rest comes last.
+
+    A delta without text changes nothing. A question's deltas are spread over tasks; a frame, of limit deltas at most, is in one row.
+    """
+    told = deltas.select("qid", "seq", "text").filter(F.length("text") > 0)
+    dealt = runs(told, "qid", ["seq"], F.length("text"), limit, limit, after=True)
+    framed = dealt.groupBy("qid", "run").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
+    return framed.select("qid", (F.col("run") + 1).cast("int").alias("frame_no"), F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("frame"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SPACE, chapter_of, chunk_key, content_hash, count_words, strip
+from lectern.operators.packing import runs
 
 CHUNK_SIZE, OVERLAP = 800, 100
 MAX_BATCH_TOKENS, MAX_BATCH_ITEMS = 100_000, 2048
@@ -15,9 +16,13 @@ MAX_BATCH_TOKENS, MAX_BATCH_ITEMS = 100_000, 2048
 
 def windows(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
     """Pieces of size words in order, each led by the overlap last words of the one before; nothing for a blank text."""
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size))
+        return F.transform(starts, lambda s: F.array_join(F.slice(words, F.greatest(s - overlap, F.lit(0)) + 1, F.least(s, F.lit(overlap)) + size), " "))
+
     words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size))
-    pieces = F.transform(starts, lambda s: F.array_join(F.slice(words, F.greatest(s - overlap, F.lit(0)) + 1, F.least(s, F.lit(overlap)) + size), " "))
+    pieces = F.transform(F.array(words), cut)[0]  # as the variable of a lambda the words are cut once, not once a window
     return F.filter(pieces, lambda p: p != "")
 
 
@@ -38,16 +43,7 @@ def chunk(sections: DataFrame, pieces: Callable[[Column], Column] | None = None,
 def batches(chunks: DataFrame, group: str, order: list[str], max_tokens: int = MAX_BATCH_TOKENS, max_items: int = MAX_BATCH_ITEMS) -> DataFrame:
     """group, the order columns, token_count and batch (from 0): filled in order, closed before a row would pass either limit; a row that is too large goes alone.
 
-    The fold needs a group's counts in one row, a number and an order each; texts stay behind.
+    Only these columns are moved, texts stay behind; a group of any size is spread over tasks.
     """
-    packed = chunks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, "token_count"))).alias("rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("items"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        n = r["token_count"].cast("long")
-        new = (s["items"] > 0) & ((s["tokens"] + n > max_tokens) | (s["items"] >= max_items))
-        batch = s["batch"] + F.when(new, 1).otherwise(0)
-        return F.struct(batch.alias("batch"), F.when(new, n).otherwise(s["tokens"] + n).alias("tokens"), F.when(new, 1).otherwise(s["items"] + 1).alias("items"), F.concat(s["out"], F.array(batch)).alias("out"))
-
-    dealt = packed.select(group, F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step, lambda s: s["out"]).alias("batch"))).alias("x"))
-    return dealt.select(group, "x.rows.*", F.col("x.batch").alias("batch"))
+    slim = chunks.select(group, *order, "token_count")
+    return runs(slim, group, order, F.col("token_count"), max_tokens, max_items).withColumn("run", F.col("run").cast("int")).withColumnRenamed("run", "batch")
