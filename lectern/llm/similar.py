@@ -304,24 +304,26 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with one document of each group of near copies, with docs' columns.
+    """docs with one document of each group of near copies, with docs' columns, whatever their names.
 
     That with the smallest id stays (null ids last), then the smallest text hash; of rows equal in id and text one.
     Null and empty texts have no words and are one another's copies. An empty table gives an empty result. Rows that go
     are known by id and hash, so the texts of all others are read where they lie unless very many go.
     """
     placed = materialize(near_copies(docs, similarity, shingle, block_rows), "similar-roots")
-    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    least = placed.groupBy("root").agg(F.min(own).alias("least"))
+    identity = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    least = placed.groupBy("root").agg(F.min(identity).alias("least"))
     zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
-    marked = placed.select("root", own.alias("own"), F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", zero).alias("_id"), F.col("text_key").alias("_key"))
-    names, keys = docs.columns, ["_no_id", "_id", "_key"]
+    marked = placed.select("root", identity.alias("own"), F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", zero).alias("_id"), F.col("text_key").alias("_key"))
+    own, keys = [f"_c{i}" for i in range(len(docs.columns))], ["_no_id", "_id", "_key"]
+    doc_id, text = (own[docs.columns.index(c)] for c in ("doc_id", "text"))
     goes = materialize(marked.join(least, "root").filter("not (own <=> least)").select(*keys).distinct(), "similar-goes")
-    rows = _row_keys(docs)
+    rows = docs.toDF(*own).withColumns({"_no_id": F.col(doc_id).isNull(), "_id": F.coalesce(doc_id, zero), "_key": F.xxhash64(text)})
     twice = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys), "similar-twice")
     left = rows.join(_small(goes), keys, "left_anti")
+    named = [F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)]
     if not twice.limit(1).count():
-        return left.select(names)
+        return left.select(*named)
     twice = _small(twice)
-    once = left.join(twice, keys, "left_anti").unionAll(left.join(twice, keys, "left_semi").dropDuplicates(keys).select(left.columns))
-    return once.select(names)
+    once = left.join(twice, keys, "left_anti").unionByName(left.join(twice, keys, "left_semi").dropDuplicates(keys))
+    return once.select(*named)

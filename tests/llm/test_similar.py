@@ -69,3 +69,10 @@ def test_rows_and_columns_as_before(spark, documents):
     assert kept.columns == documents.columns and kept.filter("text is null or trim(text) = ''").count() <= 1
     assert kept.filter("doc_id = 4").count() == 1 and kept.filter("doc_id = 5").count() == 0 and kept.filter("doc_id is null").count() == 1
     assert similar.deduplicated(documents.limit(0)).count() == 0
+
+
+def test_columns_named_like_our_own_are_kept(spark):
+    rows = [(1, "one two three four five six", "A", "k", True, "x"), (2, "one two three four five six", "B", "l", False, "y"), (3, "seven eight nine ten eleven twelve", "C", None, None, "z"), (3, "seven eight nine ten eleven twelve", "C", None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _key string, _no_id boolean, _c1 string")
+    kept = similar.deduplicated(docs)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
