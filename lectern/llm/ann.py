@@ -139,34 +139,35 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def _packed(rows: DataFrame, block: str, pack: Callable[[np.ndarray, np.ndarray], bytes]) -> DataFrame:
-    """One row (block, data) a block; blocks hold a bounded number of rows."""
+    """One row (length, block, data) a block of vectors of one length; blocks hold a bounded number of rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
-        return pd.DataFrame({block: [int(pdf[block].iloc[0])], "data": [pack(pdf["vec_id"].to_numpy(np.int64), np.stack(list(pdf["v"])).astype(float))]})
+        return pd.DataFrame({"length": [int(pdf["length"].iloc[0])], block: [int(pdf[block].iloc[0])], "data": [pack(pdf["vec_id"].to_numpy(np.int64), np.stack(list(pdf["v"])).astype(float))]})
 
-    return rows.groupBy(block).applyInPandas(run, f"{block} long, data binary")
+    return rows.groupBy("length", block).applyInPandas(run, f"length int, {block} long, data binary")
 
 
 def nearest(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by query_every, by cosine, among all other rows.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids, nor vectors
-    of another length than most (of equally frequent lengths the longest counts). Ties go to the smaller vec_id, any id
-    may be negative. Rows with a query's own id are left out for it. A repeated id asks once, with the least of its
-    vectors; as neighbours repeated rows count each. An empty table gives an empty result; other columns are ignored.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; those of
+    another length than a query's are no neighbours of it. Ties go to the smaller vec_id, any id may be negative. Rows
+    with a query's own id are left out for it. A repeated id asks once, with the shortest of its vectors and of these the
+    least; as neighbours repeated rows count each. An empty table gives an empty result; other columns are ignored.
     factor 1: exact; above: faster, less recall.
     """
-    spark = prepare(embeddings.sparkSession)
-    rows = materialize(usable(embeddings), "ann-rows")
-    length = rows.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("length")).first()
-    rows = rows.filter(F.size("v") == (length["length"] if length else 0))
-    asked = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, n_asked = rows.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // query_rows))
-    trees = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))), "shard", lambda i, v: pickle.dumps(build(i, v)))
-    queries = _packed(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))), "block", lambda i, v: pickle.dumps((i, v)))
-    met = queries.select("block", F.col("data").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")).join(trees, "shard")
+    prepare(embeddings.sparkSession)
+    rows = materialize(usable(embeddings).withColumn("length", F.size("v")), "ann-rows")
+    asked = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min(F.struct("length", "v")).alias("x")).select("vec_id", "x.*")
+    shards = F.greatest(F.lit(1), F.ceil(F.count("*") / shard_rows)).cast("long").alias("shards")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / query_rows)).cast("long").alias("blocks")
+    sizes = materialize(rows.groupBy("length").agg(shards).join(asked.groupBy("length").agg(blocks), "length"), "ann-sizes")  # a row a length
+    dealt = rows.join(F.broadcast(sizes), "length").withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shards")))
+    trees = _packed(dealt, "shard", lambda i, v: pickle.dumps(build(i, v)))
+    dealt = asked.join(F.broadcast(sizes), "length").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")))
+    queries = _packed(dealt, "block", lambda i, v: pickle.dumps((i, v))).join(F.broadcast(sizes), "length")
+    met = queries.select("length", F.col("data").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")).join(trees, ["length", "shard"])
 
     def find(batches):
         for pdf in batches:
@@ -186,11 +187,10 @@ SQL = """
 WITH fine AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
-good AS (SELECT * FROM fine WHERE len(v) = (SELECT len(v) FROM fine GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1)),
-asked AS (SELECT vec_id, min(v) AS v FROM good WHERE vec_id % 50 = 0 GROUP BY vec_id),
+asked AS (SELECT vec_id, min({'n': len(v), 'v': v}).v AS v FROM fine WHERE vec_id % 50 = 0 GROUP BY vec_id),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
-  FROM asked q JOIN good c ON q.vec_id <> c.vec_id),
+  FROM asked q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -168,3 +168,9 @@ def test_negative_repeated_and_ragged_vectors(spark):
         others = [(i, x) for i, x in usable if i != q]
         cos = ann.cosines(own, np.array([x for _, x in others]))[0]
         assert found == [others[j][0] for j in sorted(range(len(others)), key=lambda j: (-cos[j], others[j][0]))[:5]]
+
+
+def test_vectors_of_each_length_meet_their_own(spark):
+    rows = [(50, [1.0, 0.0, 0.0]), (51, [0.9, 0.1, 0.0]), (52, [0.0, 1.0, 0.0]), (100, [1.0, 0.0]), (101, [0.5, 0.5]), (102, [0.0, 1.0]), (103, [1.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(50, 51), (50, 52), (100, 101), (100, 103), (100, 102)]
