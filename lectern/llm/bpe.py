@@ -237,13 +237,13 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         out: list[bytes] = []
         known, encode = self.known, self.transducer.encode
-        if len(known) > PIECES_KEPT:
-            known.clear()
         for piece in self.split.findall(text or ""):
             ids = known.get(piece)
             if ids is None:
                 ids = array("I", encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
                 if len(piece) <= LONG_PIECE:
+                    if len(known) > PIECES_KEPT:  # also within a text, which may be of any length
+                        known.clear()
                     known[piece] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), dtype=np.uint32).astype("<u4", copy=False)
@@ -339,6 +339,12 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(*shared.value)
         gc.disable()  # states form no cycles, and there are many: collecting would only walk them again and again
+        try:
+            yield from encoded(encoder, batches)
+        finally:
+            gc.enable()  # the worker goes on to other tasks
+
+    def encoded(encoder: Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, shas, decoded, kept = [], [], [], []
             for t in b.column("text").to_pylist():
