@@ -1,7 +1,9 @@
 """Recursive chunks: bounds, order, whole words, and a plain version; byte pair counts where the library and a vocabulary are at hand."""
 
+import base64
 import random
 import re
+import time
 
 import pytest
 
@@ -54,6 +56,43 @@ def test_pieces_equal_a_plain_version():
         assert recursive.pieces(text, 9) == plain(text, 9)
 
 
+def test_counters_that_tell_ends_cut_like_plain_ones():
+    """A plain function counts every part anew; the words' counter is asked once."""
+    for text in [*texts(), LONG, "a\x1cb\u2003c\x85d " * 9]:
+        for size in (1, 5, 13):
+            none = recursive.pieces(text, size, count=lambda t: len(t.split()))
+            assert recursive.pieces(text, size) == none
+            assert recursive.led(none, 4, size) == recursive.led(none, 4, size, count=lambda t: len(t.split()))
+
+
+def test_own_byte_pairs_equal_the_library():
+    tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    count = recursive.BpeCounter(path, tokenizers.PATTERN)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in f if x.strip())}
+    library = tiktoken.Encoding("file", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(12)
+    for text in [*texts(), LONG, "", "漢字🙂é " * 30, "z" * 3000, "".join(draw.choice("ab 漢\n.é🙂'1") for _ in range(4000))]:
+        assert count(text) == len(count.ends(text)) == len(library.encode_ordinary(text))
+        for size in (3, 20):
+            found = recursive.pieces(text, size, count)
+            assert "".join("".join(found).split()) == "".join(text.split())
+            assert all(count(p) <= size or len(p) == 1 for p in found)
+
+
+def test_time_is_linear_in_a_text_without_places():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    count, draw, took = recursive.BpeCounter(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN), random.Random(1), []
+    count("warm")
+    for n in (20_000, 80_000):
+        text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.process_time()
+        assert "".join(recursive.pieces(text, 50, count)) == text
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.2
+
+
 def test_overlap_shares_words_within_bounds():
     none, some = recursive.pieces(LONG, 48), recursive.led(recursive.pieces(LONG, 48), 12, 48)
     assert none[1].split()[0] != some[1].split()[0] and some[1].endswith(none[1])
