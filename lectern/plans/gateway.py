@@ -9,8 +9,11 @@ from collections.abc import AsyncIterator, Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
+from lectern.plans.answers import AnswerStore, answer_key
+
 
 def tried(call: Callable, retries: int):
     """call(), again after an error, so many times at most; no waiting in between."""
@@ -115,11 +118,19 @@ def request_ends(counts: list[int], max_tokens: int, max_items: int) -> list[int
     return ends
 
 
-def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[tuple[int, list[float]]]], model: str, dimension: int, max_tokens: int = 100_000, max_items: int = 2048, retries: int = 0) -> DataFrame:
+def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[tuple[int, list[float]]]], model: str, dimension: int, max_tokens: int = 100_000, max_items: int = 2048, retries: int = 0, store: AnswerStore | None = None, price: float = 0.0, on_paid: Callable[[dict], None] | None = None) -> DataFrame:
     """chunks (text, token_count, ...) with vector and embedding_model; requests are packed within each task by the two limits, over Arrow batches.
 
-    embed runs on executors and is tried retries times again. A task that is tried again asks again, so callers that pay for calls keep answers by text.
+    embed runs on executors and is tried retries times again. Without a store a task that is tried again asks again. With
+    one each text is asked for once, ever: its missing texts are paid for at once, on_paid is told what that cost (price a
+    token), and the vectors are joined from the store.
     """
+    if store is not None:
+        keyed = chunks.withColumn("_answer", answer_key(model, F.col("text")))
+        spent = store.pay(keyed.select(F.col("_answer").alias("key"), "text", "token_count"), embed, model, dimension, max_tokens, max_items, retries, price)
+        if on_paid:
+            on_paid(spent)
+        return keyed.join(store.known(model).withColumnRenamed("key", "_answer"), "_answer").select(*chunks.columns, "vector", F.lit(model).alias("embedding_model"))
     schema = StructType([*chunks.schema.fields, StructField("vector", ArrayType(FloatType())), StructField("embedding_model", StringType())])
 
     def answered(part: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,7 @@ from lectern.functions import text as X
 from lectern.operators import chunking, recursive, structure
 from lectern.operators.store import one_document, receipt
 from lectern.plans.contracts import DIMENSION
+from lectern.plans.answers import AnswerStore
 from lectern.plans.gateway import embed_chunks
 from lectern.plans.library import Library
 from lectern.plans.runner import Ledger, Place, Stage, run_in_order
@@ -61,10 +62,11 @@ def chunker(s: IngestSettings) -> tuple[Callable[[Column], Column], Callable[[Co
     return recursive.recursive(s.chunk_size, s.overlap, count), recursive.counted(count)
 
 
-def stages(spark: SparkSession, source: str, external_id: str, embed, settings: IngestSettings | None = None, content_key: str = "", library: str | None = None, title: str | None = None) -> list[Stage]:
+def stages(spark: SparkSession, source: str, external_id: str, embed, settings: IngestSettings | None = None, content_key: str = "", library: str | None = None, title: str | None = None, answers: str | None = None) -> list[Stage]:
     """Extract, structure, clean if asked, chunk, embed, persist; content_key: a hash of the source, so that changed files run again.
 
-    The last stage upserts into the library at that folder, if one is named, and keeps a receipt of what was given.
+    The last stage upserts into the library at that folder, if one is named, and keeps a receipt of what was given. answers:
+    a folder of paid vectors, so that a run that failed, or changed its chunks a little, pays only for texts that are new.
     """
     s = settings or IngestSettings()
     profile = structure.profile(s.profile)
@@ -89,21 +91,25 @@ def stages(spark: SparkSession, source: str, external_id: str, embed, settings:
             Library(spark, library).persist(about, sections, rows)
         return receipt(sections, rows)
 
+    def embedded(read) -> DataFrame:
+        store = AnswerStore(spark, answers) if answers else None
+        return embed_chunks(read("03_chunk"), embed, s.embedding_model, s.dimension, s.max_batch_tokens, s.max_batch_items, s.retries, store)
+
     cutting = {"size": s.chunk_size, "overlap": s.overlap, "by": s.chunking, "vocabulary": s.vocabulary, "pattern": s.pattern, "input": last}
     return [
         stage("01_extract", lambda read: files.extract(spark, source, s.method).withColumn("external_id", F.lit(external_id)), {"source": source, "method": s.method, "content": content_key}),
         stage("02_structure", lambda read: structure.parse_strict(read("01_extract").select("external_id", "text"), profile), {"external_id": external_id, "profile": vars(profile)}),
         *([stage("03_clean", lambda read: clean_sections(read("02_structure"), s.clean), {"method": s.clean})] if s.clean else []),
         stage("03_chunk", chunks, cutting),
-        stage("04_embed", lambda read: embed_chunks(read("03_chunk"), embed, s.embedding_model, s.dimension, s.max_batch_tokens, s.max_batch_items, s.retries), {"model": s.embedding_model, "tokens": s.max_batch_tokens, "items": s.max_batch_items}),
+        stage("04_embed", embedded, {"model": s.embedding_model, "tokens": s.max_batch_tokens, "items": s.max_batch_items}),
         stage("05_persist", persist, {"sections": last, "library": library}),
     ]
 
 
-def ingest_book(spark: SparkSession, source: str, external_id: str, embed, runs: str, library: str, settings: IngestSettings | None = None, title: str | None = None) -> dict:
-    """A file into the library, from the first stage that isn't settled; the receipt. runs: a folder that the whole cluster reaches."""
+def ingest_book(spark: SparkSession, source: str, external_id: str, embed, runs: str, library: str, settings: IngestSettings | None = None, title: str | None = None, answers: str | None = None) -> dict:
+    """A file into the library, from the first stage that isn't settled; the receipt. runs, answers: folders that the whole cluster reaches."""
     s = (settings or IngestSettings()).checked()
     key = files.content_key(spark, source)
     ledger = Ledger(spark, runs, external_id)
-    run_in_order(stages(spark, source, external_id, embed, s, key, library, title), ledger)
+    run_in_order(stages(spark, source, external_id, embed, s, key, library, title, answers), ledger)
     return spark.read.parquet(ledger.path("05_persist", "rows")).first().asDict()
