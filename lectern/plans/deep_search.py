@@ -1,8 +1,13 @@
-"""Plan, search, reflect, repeat, expand, answer: the loop runs on the driver, each search is one Spark plan for all of a round's queries."""
+"""Plan, search, reflect, repeat, expand, answer: the loop runs on the driver, each search is one Spark plan for all of a round's queries.
+
+The two searches of a round run at once. All jobs of a question carry its tag: a reader that leaves, or a caller that
+cancels, ends them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import asyncio
+from collections.abc import AsyncIterator, Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +15,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import is_references, source_label
 from lectern.operators import blocks, search
+from lectern.operators.text_index import TextIndex
+from lectern.operators.vector_index import VectorIndex
+from lectern.plans import tagged
 from lectern.plans.contracts import Event, Reflection, SearchPlan, parse_json
 from lectern.session import materialize
 
@@ -90,23 +98,34 @@ class GatewayModel:
 
 
 class DeepSearch:
-    """chunks: (chunk_id, content, document_id, section_id, title, path, heading, vector); sections, titles: see blocks.expand."""
+    """chunks: (chunk_id, content, document_id, section_id, title, path, heading, vector); sections, titles: see blocks.expand.
+
+    vectors, texts: indexes of these chunks, which are asked in place of all chunks.
+    """
 
-    def __init__(self, chunks: DataFrame, sections: DataFrame, titles: DataFrame, model, settings: Settings | None = None) -> None:
+    def __init__(self, chunks: DataFrame, sections: DataFrame, titles: DataFrame, model, settings: Settings | None = None, vectors: VectorIndex | None = None, texts: TextIndex | None = None) -> None:
         self.spark, self.chunks, self.sections, self.titles, self.model, self.settings = chunks.sparkSession, chunks, sections, titles, model, settings or Settings()
+        self.vectors, self.texts = vectors, texts
 
-    def _round(self, no: int, vector_queries: list[str], bm25_queries: list[str], document_ids: list[int] | None) -> DataFrame:
-        """qid, round, chunk_id, score, first: one plan for all queries of the round."""
+    def _round(self, no: int, vector_queries: list[str], bm25_queries: list[str], document_ids: list[int] | None, tag: str) -> DataFrame:
+        """qid, round, chunk_id, score, first: one plan for all queries of the round by vector, and one by text, at once."""
         s = self.settings
-        vectors = self.model.embed(vector_queries) if vector_queries else []
-        lists = None
-        asked = [(i, [float(x) for x in v]) for i, v in enumerate(vectors) if v is not None]
-        if asked:
-            lists = search.knn(self.chunks, self.spark.createDataFrame(asked, "qid int, vector array<double>"), s.top_k, document_ids)
-        if bm25_queries:
-            texts = self.spark.createDataFrame([(len(vectors) + i, q) for i, q in enumerate(bm25_queries)], "qid int, text string")
-            found = search.bm25(self.chunks, texts, s.top_k, document_ids)  # few queries, so their terms alone are sought
-            lists = found if lists is None else lists.unionByName(found)
+
+        def by_vector() -> DataFrame | None:
+            asked = [(i, [float(x) for x in v]) for i, v in enumerate(self.model.embed(vector_queries)) if v is not None]
+            if not asked:
+                return None
+            rows = self.spark.createDataFrame(asked, "qid int, vector array<double>")
+            found = self.vectors.search(rows, s.top_k, document_ids) if self.vectors else search.knn(self.chunks, rows, s.top_k, document_ids)
+            return materialize(found, "search-by-vector")  # top_k rows a query
+
+        def by_text() -> DataFrame:
+            texts = self.spark.createDataFrame([(len(vector_queries) + i, q) for i, q in enumerate(bm25_queries)], "qid int, text string")
+            found = self.texts.search(texts, s.top_k, document_ids) if self.texts else search.bm25(self.chunks, texts, s.top_k, document_ids)  # few queries, so their terms alone are sought
+            return materialize(found, "search-by-text")
+
+        found = [x for x in tagged.at_once(self.spark, tag, [by_vector] * bool(vector_queries) + [by_text] * bool(bm25_queries)) if x is not None]
+        lists = found[0].unionByName(found[1]) if len(found) == 2 else found[0] if found else None
         if lists is None:
             return self.spark.createDataFrame([], "qid int, round int, chunk_id long, score double, first struct<list_no:int,rank:int>")
         fused = search.fuse(lists.select(F.lit(0).alias("qid"), F.col("qid").alias("list_no"), "rank", "chunk_id"), s.rrf_k)
@@ -123,8 +142,51 @@ class DeepSearch:
             by_document.setdefault(r["source"].split(" › ")[0], []).append(f"- ({r['source']}) {r['content']}")
         return "\n".join(f"{d}:\n" + "\n".join(lines) for d, lines in by_document.items()) or "(none)"
 
-    def stream(self, question: str, document_ids: list[int] | None = None) -> Iterator[Event]:
-        """The events in order: plan, then rounds with reflections, blocks, the answer piece by piece, final."""
+    def cancel(self, tag: str) -> None:
+        """End the jobs of the question that streams under this tag; its reader gets an error."""
+        tagged.cancel(self.spark, tag)
+
+    def stream(self, question: str, document_ids: list[int] | None = None, tag: str | None = None) -> Iterator[Event]:
+        """The events in order: plan, then rounds with reflections, blocks, the answer piece by piece, final. If the reader leaves before the end, the question's jobs end."""
+        tag = tag or tagged.new_tag()
+        events, end = self._events(question, document_ids, tag), object()
+        try:
+            while True:
+                event = tagged.at_once(self.spark, tag, [lambda: next(events, end)])[0]
+                if event is end:
+                    return
+                yield event
+        except GeneratorExit:
+            self.cancel(tag)
+            raise
+        finally:
+            events.close()
+
+    async def astream(self, question: str, document_ids: list[int] | None = None, tag: str | None = None) -> AsyncIterator[Event]:
+        """The same events on an event loop, which goes on meanwhile; if the task that reads them is cancelled, the question's jobs end."""
+        tag = tag or tagged.new_tag()
+        events, end = self._events(question, document_ids, tag), object()
+
+        def step():
+            return tagged.at_once(self.spark, tag, [lambda: next(events, end)])[0]
+
+        done = False
+        try:
+            while (event := await asyncio.to_thread(step)) is not end:
+                yield event
+            done = True
+        finally:
+            if not done:
+                self.cancel(tag)
+
+    async def arun(self, question: str, document_ids: list[int] | None = None, tag: str | None = None) -> dict | None:
+        """What the final event tells, on an event loop."""
+        found = None
+        async for event in self.astream(question, document_ids, tag):
+            found = event.body if event.type == "final" else found
+        return found
+
+    def _events(self, question: str, document_ids: list[int] | None, tag: str) -> Iterator[Event]:
         if not question.strip():
             raise ValueError("the question is blank")
         s, trace = self.settings, []
@@ -138,7 +200,7 @@ class DeepSearch:
         vector_queries, bm25_queries, no, rounds = plan.vector_queries, plan.bm25_queries, 0, None
         while True:
             no += 1
-            now = self._round(no, vector_queries, bm25_queries, document_ids)
+            now = self._round(no, vector_queries, bm25_queries, document_ids, tag)
             rounds = materialize(now if rounds is None else rounds.unionByName(now), "search-rounds")  # few rows; cuts the lineage of a growing loop
             counts = {r["round"]: r for r in search.round_counts(rounds).collect()}
             mine = counts.get(no)

@@ -43,7 +43,11 @@ def _text(text: str) -> list[dict]:
 
 
 class Agent:
-    """Tasks of one process, the latest max_tasks of them. search: anything with stream(question) -> events."""
+    """Tasks of one process, the latest max_tasks of them. search: anything with stream(question) -> events.
+
+    If search also has cancel(tag), a task's id is the tag of its question's jobs, and a task that is cancelled, or whose
+    reader leaves, ends them.
+    """
 
     def __init__(self, search, max_tasks: int = 10_000) -> None:
         self.search, self.max_tasks, self.tasks, self.lock = search, max_tasks, {}, threading.Lock()
@@ -68,8 +72,15 @@ class Agent:
             task["status"] = status
         return {"kind": "status-update", "taskId": task["id"], "contextId": task["contextId"], "status": status, "final": status["state"] in FINAL_STATES}
 
+    def _events(self, task: dict, question: str) -> Iterator[Event]:
+        return self.search.stream(question, tag=task["id"]) if hasattr(self.search, "cancel") else self.search.stream(question)
+
+    def _end_jobs(self, task: dict) -> None:
+        if hasattr(self.search, "cancel"):
+            self.search.cancel(task["id"])
+
     def updates(self, task: dict, events: Iterator[Event]) -> Iterator[dict]:
-        """working, text in frames of FRAME_CHARS or more, what is left, the answer as artifact, completed; or failed. A cancelled task stops at its next event."""
+        """working, text in frames of FRAME_CHARS or more, what is left, the answer as artifact, completed; or failed. A cancelled task stops at its next event, or when its jobs end."""
         yield self._to(task, "working")
         answer, held = "", ""
         try:
@@ -107,9 +118,17 @@ class Agent:
             task = self._open(params)
             if method == "message/stream":
                 yield {**task, "artifacts": []}
-            for update in self.updates(task, self.search.stream(question)):
-                if method == "message/stream":
-                    yield update
+            events = self._events(task, question)
+            try:
+                for update in self.updates(task, events):
+                    if method == "message/stream":
+                        yield update
+            except GeneratorExit:  # the reader has left
+                self._to(task, "failed", "the reader left")
+                self._end_jobs(task)
+                raise
+            finally:
+                getattr(events, "close", lambda: None)()
             if method == "message/send":
                 yield task
         elif method == "tasks/get":
@@ -119,6 +138,7 @@ class Agent:
             if task["status"]["state"] in FINAL_STATES:
                 raise RpcError(NOT_CANCELABLE, "the task has ended")
             self._to(task, "failed", "cancelled")
+            self._end_jobs(task)
             yield task
         else:
             raise RpcError(NO_METHOD, f"no method {method!r}")
