@@ -1,6 +1,7 @@
 """Registered queries of the structure parser and of the deep-search loop.
 
-Books are made from documents: a source is a book, a document a chapter, numbered by doc_id; both engines build them from the same pieces.
+Books are made from documents: a document is a chapter, and a book holds those of a source whose ids fall in one run of
+BOOK_IDS, numbered by doc_id, so a book stays a book whatever the size of its source; both engines build them from the same pieces.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from lectern.operators import structure
 from lectern.session import table
 
 _TITLES = structure.TITLES
+BOOK_IDS = 200
 
 
 def _book(spark: SparkSession, d: str, piece: str, tail: str = "''") -> DataFrame:
     """piece: SQL text of a chapter from its number k and text; the same in both engines, as is tail."""
     table(spark, d, "documents").createOrReplaceTempView("_documents")
-    rows = spark.sql(f"SELECT source AS external_id, k, {piece} AS piece FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM _documents)")
+    books = f"SELECT text, doc_id, concat(coalesce(source, ''), '/', floor(doc_id / {BOOK_IDS})) AS external_id FROM _documents"
+    rows = spark.sql(f"SELECT external_id, k, {piece} AS piece FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY doc_id) AS k FROM ({books}))")
     return rows.groupBy("external_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), ""), F.expr(tail)).alias("text"))
 
 
@@ -52,7 +55,8 @@ def chapters_formfeed(spark, d):
 
 _WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]+"
 #: Since the pieces are known here, SQL states what the sections must be, by assembling them rather than by parsing.
-_ROWS = "k AS (SELECT source AS external_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), clean AS (SELECT *, array_to_string([rtrim_ws(x) FOR x IN string_split(text, chr(10))], chr(10)) AS t FROM k)"
+_BOOK_SQL = f"coalesce(source, '') || '/' || floor(doc_id / {BOOK_IDS})::BIGINT"
+_ROWS = f"k AS (SELECT {_BOOK_SQL} AS external_id, text, row_number() OVER (PARTITION BY {_BOOK_SQL} ORDER BY doc_id) AS k FROM documents), clean AS (SELECT *, array_to_string([rtrim_ws(x) FOR x IN string_split(text, chr(10))], chr(10)) AS t FROM k)"
 
 
 def _sql(body: str) -> str:
