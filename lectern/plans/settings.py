@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tomllib
 from collections.abc import Mapping
-from dataclasses import fields
+from dataclasses import dataclass, fields
 from pathlib import Path
 from typing import Any, TypeVar
 
+from lectern.plans.contracts import DIMENSION
+from lectern.plans.gateway import Gateway
+
 T = TypeVar("T")
 _TRUE, _FALSE = ("1", "true", "yes", "on"), ("0", "false", "no", "off")
 
@@ -38,3 +41,37 @@ def load(kind: type[T], path: str | None = None, prefix: str = "LECTERN", enviro
     env = os.environ if environ is None else environ
     given |= {n: env[key] for n in defaults if (key := f"{prefix}_{n.upper()}") in env}
     return kind(**{n: _as(type(defaults[n]), v, n) for n, v in given.items()})
+
+
+@dataclass(frozen=True)
+class ModelSettings:
+    """Which model does which task, from the same files and environment as other settings. A blank task takes the default model."""
+
+    default: str = "default"
+    embed: str = "embed"
+    plan: str = ""
+    reflect: str = ""
+    synth: str = ""
+    retries: int = 2
+    dimension: int = DIMENSION
+
+    def __post_init__(self) -> None:
+        if not self.default.strip() or not self.embed.strip():
+            raise ValueError("default and embed must name models")
+        if self.retries < 0 or self.dimension < 1:
+            raise ValueError("retries must not be negative, and vectors have one component or more")
+
+
+def ingest_models(s: ModelSettings) -> dict[str, str]:
+    """Task to model of an ingest run."""
+    return {"embed": s.embed, "default": s.default}
+
+
+def query_models(s: ModelSettings) -> dict[str, str]:
+    """Task to model of a question; its vectors come from the model that made the stored ones."""
+    return {task: getattr(s, task) or s.default for task in ("plan", "reflect", "synth")} | {"embed": s.embed}
+
+
+def gateway_of(s: ModelSettings, models: Mapping[str, str], **calls) -> Gateway:
+    """A gateway to these models with the settings' retries and dimension; calls: complete, stream, embed, on_cost."""
+    return Gateway(dict(models), retries=s.retries, dimension=s.dimension, **calls)
