@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.packing import numbered
 from lectern.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -28,11 +29,26 @@ def word_count(text: Column) -> Column:
 
 
 def _drawn(docs: DataFrame, seed: int, weight: str | None) -> DataFrame:
-    """docs with size, rank_key (fixed by seed, id and text), u in (0, 1) and relative weight."""
+    """docs with size, rank_key (fixed by seed, id and text, and by a number among equal rows), u in (0, 1) and relative weight."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
     u = (F.conv(F.substring("rank_key", 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     own = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
-    return docs.withColumns({"size": word_count(F.col("text")), "rank_key": key, "own": own}).withColumn("u", u)
+    return _told_apart(docs.withColumns({"size": word_count(F.col("text")), "rank_key": key, "own": own})).withColumn("u", u)
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows, with keys of their own for all but the first of equal rows: they are numbered in any order, for one is like another, so reruns agree.
+
+    Numbers are dealt by ranges, so that rows which stand very often are spread over tasks. Without equal rows nothing is moved.
+    """
+    twice = rows.groupBy("rank_key", "source").agg(F.count("*").alias("n")).filter("n > 1").select("rank_key").distinct()
+    twice = materialize(twice, "mix-twice")
+    if not twice.limit(1).count():
+        return rows
+    again = rows.join(twice, "rank_key").withColumns({"_same": F.struct("rank_key", "source"), "_tie": F.rand(1)})
+    keyed = numbered(again, "_same", ["_tie"])
+    key = F.when(F.col("_n") > 0, F.md5(F.concat_ws(":", "rank_key", F.col("_n").cast("string")))).otherwise(F.col("rank_key"))
+    return rows.join(twice, "rank_key", "left_anti").select(rows.columns).unionByName(keyed.withColumn("rank_key", key).select(rows.columns))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -125,8 +141,8 @@ def mix(docs: DataFrame, seed: int = SEED, weight: str | None = None, weights: t
     """doc_id, size, source_size, target, taken of every document.
 
     Null sources are a source of their own, last in order; a null or wordless text has size 0 and takes nothing. Rows
-    equal in id and text share one draw and are taken together, so reruns agree. An empty table gives an empty result.
-    Other columns are ignored. The words taken differ from a target by at most half of the document at the cut (or of its equal rows).
+    equal in id and text draw each for itself. An empty table gives an empty result. Other columns are ignored. The words
+    taken differ from a target by at most half of the document at the cut.
     """
     slim = docs.select("doc_id", "text", "source", *([weight] if weight else []))
     drawn = materialize(_drawn(slim, seed, weight).select("doc_id", "source", "size", "rank_key", "own", "u"), "mix-drawn")
@@ -135,7 +151,7 @@ def mix(docs: DataFrame, seed: int = SEED, weight: str | None = None, weights: t
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, weight: str | None = None, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with docs' own columns. Texts are never shuffled."""
+    """The mix itself: each document as often as it is taken, with docs' own columns. Texts are shuffled of rows only that stand more than once."""
     columns = docs.columns
     slim = _drawn(docs.select("doc_id", "text", "source", *([weight] if weight else [])), seed, weight)
     plan = plan_mix(materialize(slim.select("doc_id", "source", "size", "rank_key", "own", "u"), "mix-drawn"), weights, share_percent, max_copies)
@@ -147,8 +163,11 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, weight: str | None = None
 SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('10:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS rank_key FROM documents),
-drawn AS (SELECT *, (('0x' || substr(rank_key, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM docs),
+         md5('10:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS first_key FROM documents),
+keyed AS (
+  SELECT * EXCLUDE (n), CASE WHEN n > 0 THEN md5(first_key || ':' || n) ELSE first_key END AS rank_key
+  FROM (SELECT *, row_number() OVER (PARTITION BY first_key, source) - 1 AS n FROM docs)),
+drawn AS (SELECT *, (('0x' || substr(rank_key, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM keyed),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM drawn GROUP BY source),
 ranked AS (
   SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight,

@@ -87,6 +87,22 @@ def test_mix_meets_targets(spark):
     assert Counter(r.doc_id for r in mixed.select("doc_id", "text").collect() if r.text) == Counter({i: n for i, n in copies.items() if n})
 
 
+def test_a_row_that_stands_often_draws_each_time(spark):
+    """A third of all rows is one row; each source still meets its target, whatever the seed, and the mix itself takes as many."""
+    rows = [(i, "w " * (i % 17 + 1), "abc"[i % 3]) for i in range(2000)] + [(5000, "one two three four five", "c")] * 1000 + [(None, None, "a"), (None, "same", None), (None, "same", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    source = {r[0]: r[2] for r in rows}
+    for seed in (10, 1, 2):
+        got = mixing.mix(docs, seed).collect()
+        taken, target = Counter(), {}
+        for r in got:
+            taken[source[r.doc_id]] += r.taken
+            target[source[r.doc_id]] = r.target
+        assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 9 for s in "abc")
+    assert sorted(map(str, mixing.mix(docs, 2).collect())) == sorted(map(str, got))
+    assert mixing.mixed_documents(docs, 2).filter("doc_id = 5000 and text like 'one%'").count() == sum(r.taken // 5 for r in got if r.doc_id == 5000)
+
+
 def test_weighted_documents_are_taken_more(spark):
     docs = spark.createDataFrame([(i, "a b c", "s" if i % 3 else "t", 4.0 if i % 2 else 1.0) for i in range(3000)], "doc_id long, text string, source string, w double")
     got = mixing.mix(docs, weight="w", share_percent=40).collect()
