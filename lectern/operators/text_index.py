@@ -70,12 +70,12 @@ class TextIndex:
 
     def of_terms(self, asked: DataFrame) -> DataFrame:
         """The blocks of the terms of asked (qid, term): few terms are named in the scan, so that it reads their folders and skips other terms by their order."""
-        found = [r["term"] for r in asked.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+        keys = asked.select("term", self._bucket(F.col("term")).alias("bucket")).distinct()
+        found = keys.limit(MAX_TERMS + 1).collect()
         if len(found) > MAX_TERMS:
-            keys = asked.select("term", self._bucket(F.col("term")).alias("bucket")).distinct()
             return self.blocks().join(small(keys), ["term", "bucket"])
-        buckets = [r["b"] for r in self.spark.createDataFrame([(t,) for t in found], "t string").select(self._bucket(F.col("t")).alias("b")).distinct().collect()]
-        return self.blocks().filter(F.col("bucket").isin(buckets) & F.col("term").isin(found)) if found else self.blocks().limit(0)
+        buckets = sorted({r["bucket"] for r in found})
+        return self.blocks().filter(F.col("bucket").isin(buckets) & F.col("term").isin([r["term"] for r in found])) if found else self.blocks().limit(0)
 
     def search(self, questions: DataFrame, k: int = TOP_K, document_ids: list[int] | None = None, first: int = FIRST) -> DataFrame:
         """qid, rank, chunk_id, score of questions (qid, text): the rows of bm25(). Counts come before the document filter."""
@@ -96,17 +96,18 @@ class TextIndex:
         slim = blocks.select("term", "segment", "n", "peaks")
         frequency = slim.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighed = slim.join(small(frequency.select("term", idf.alias("idf"))), "term")
-        return weighed.select("term", "segment", "idf", F.array_max(F.transform("peaks", lambda p: part(F.col("idf"), p["tf"], p["dl"], mean))).alias("bound")).join(small(asked), "term")
+        weighed = slim.join(frequency.select("term", idf.alias("idf")), "term")
+        return weighed.select("term", "segment", "idf", F.array_max(F.transform("peaks", lambda p: part(F.col("idf"), p["tf"], p["dl"], mean))).alias("bound")).join(asked, "term")
 
     def _scores(self, blocks: DataFrame, bounds: DataFrame, segments: DataFrame, n: int, mean: float, document_ids: list[int] | None) -> DataFrame:
         """qid, chunk_id, score of all chunks that hold a term of a question, in these (qid, segment)."""
         wanted = bounds.join(segments.select("qid", "segment"), ["qid", "segment"]).select("qid", "term", "segment", "idf")
-        held = blocks.select("term", "segment", "chunk_ids", "document_ids", "tfs", "dls").join(small(wanted.select("term", "segment").distinct()), ["term", "segment"])
+        wanted = materialize(wanted, "text-wanted")  # no postings; of known size, so a small one is broadcast to the blocks
+        held = blocks.select("term", "segment", "chunk_ids", "document_ids", "tfs", "dls").join(wanted.select("term", "segment").distinct(), ["term", "segment"])
         rows = held.select("term", "segment", F.explode(F.arrays_zip("chunk_ids", "document_ids", "tfs", "dls")).alias("x")).select("term", "segment", "x.*")
         if document_ids:
             rows = rows.filter(F.col("document_ids").isin(list(document_ids)))
-        met = rows.join(small(wanted), ["term", "segment"])
+        met = rows.join(wanted, ["term", "segment"])
         return met.groupBy("qid", F.col("chunk_ids").alias("chunk_id")).agg(F.sum(part(F.col("idf"), F.col("tfs"), F.col("dls"), mean)).alias("score"))
 
     def share_read(self, questions: DataFrame, k: int = TOP_K, first: int = FIRST) -> float:

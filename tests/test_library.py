@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.plans import deep_search, ingest, runner
-from lectern.plans.library import Library
+from lectern.plans import deep_search, ingest, library, runner
+from lectern.plans.library import IdCollision, Library
 
 BOOK = "Chapter 1: One\nSome words here.\nChapter 2: Two\nOther words.\n"
 SECTION = "external_id string, path string, depth int, parent_path string, ordinal int, heading string, is_leaf boolean, text string, token_count int"
@@ -20,10 +21,10 @@ def stamp(n):
 
 
 def test_persisting_twice_adds_nothing(spark, tmp_path):
-    library = Library(spark, str(tmp_path / "lib"))
+    library = Library(spark, str(tmp_path / "lib"), buckets=4)
     given = tables(spark, [("1.1", "a"), ("1.1", "b"), ("7", "c"), ("1.1", "a")])
     for n in (1, 2):
-        got = Library(spark, str(tmp_path / "lib")).persist(*given, now=stamp(n)).first()
+        got = Library(spark, str(tmp_path / "lib"), buckets=4).persist(*given, now=stamp(n)).first()
         assert (got.external_id, got.sections, got.chunks) == ("b", 4, 4)
         assert library.sections().count() == 3 and library.chunks().count() == 3
     doc = library.documents().collect()
@@ -40,6 +41,65 @@ def test_persisting_twice_adds_nothing(spark, tmp_path):
     assert found.filter("section_id is null").first().path is None and blocks.count() == 6 and titles.count() == 2
 
 
+def test_an_upsert_leaves_the_stored_side_in_its_buckets(spark, tmp_path):
+    """With no table small enough to be broadcast, only what arrives is exchanged."""
+    library = Library(spark, str(tmp_path / "lib"), buckets=8)
+    documents, sections, chunks = tables(spark, [("1.1", "a")])
+    library.persist(documents, sections, chunks)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        given = sections.select(F.xxhash64("external_id").alias("document_id"), "path", "parent_path", "ordinal", "text", F.lit(7).cast("long").alias("section_id"))
+        for rows in (library_absent(library, given), library._with_parents(given)):
+            plan = rows._jdf.queryExecution().executedPlan().toString().split("\n")
+            scan = next(i for i, line in enumerate(plan) if "Bucketed: true" in line)
+            between = "".join(plan[scan - 3 : scan])  # from the join's sort down to the scan
+            assert "Sort" in between and "Filter" in between and "Exchange" not in between
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def library_absent(lib, given):
+    from lectern.operators.store import absent
+
+    return absent(lib.sections(), given, ["document_id", "path"], ["ordinal", "text"]).select("path")
+
+
+def test_an_id_of_two_keys_is_an_error(spark, tmp_path, monkeypatch):
+    lib = Library(spark, str(tmp_path / "lib"), buckets=2)
+    lib.persist(*tables(spark, [("1.1", "a")]))
+    monkeypatch.setattr(library, "hashed", lambda *keys: F.lit(5).cast("long") if keys == ("id",) else F.xxhash64(*keys))
+    with pytest.raises(IdCollision, match="chunks"):
+        lib.persist(*tables(spark, [("1.1", "b"), ("1.1", "c")]))
+    lib.persist(*tables(spark, [("1.1", "b")]))
+    with pytest.raises(IdCollision, match="chunks"):
+        lib.persist(*tables(spark, [("1.1", "d")]))
+    monkeypatch.setattr(library, "hashed", lambda *keys: F.lit(9).cast("long") if keys == ("external_id",) else F.xxhash64(*keys))
+    with pytest.raises(IdCollision, match="documents"):
+        lib.persist(*tables(spark, [("1.1", "x")], "one"))
+        lib.persist(*tables(spark, [("1.1", "x")], "two"))
+    assert lib.chunks().count() == 2
+
+
+def test_indexes_take_in_what_arrives(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"), buckets=2)
+    lib.persist(*tables(spark, [("1.1", "red fish"), ("1.1", "blue fish")]))
+    assert lib.vector_index() is None and lib.text_index() is None
+    lib.make_indexes(cells=1)
+    lib.persist(*tables(spark, [("1.1", "one more fish"), ("1.1", "red fish")], "other"))
+    lib.persist(*tables(spark, [("1.1", "one more fish")], "other"))
+    again = Library(spark, str(tmp_path / "lib"), buckets=2)
+    asked = spark.createDataFrame([(0, "fish")], "qid int, text string")
+    assert again.text_index().counts()[0] == again.vector_index().rows().count() == again.chunks().count() == 4
+    assert again.text_index().search(asked).count() == 4
+    vectors = spark.createDataFrame([(0, [1.0, 0.0])], "qid int, vector array<double>")
+    model = deep_search.ScriptedModel({"sub_questions": ["q"], "vector_queries": ["v0"], "bm25_queries": ["more"]}, [{"is_sufficient": True}], ["In [Book › 1]."], vectors)
+    plain = deep_search.DeepSearch(*again.search_tables(), model).run("Which fish?")
+    model.asked.clear()
+    indexed = deep_search.DeepSearch(*again.search_tables(), model, vectors=again.vector_index(), texts=again.text_index()).run("Which fish?")
+    assert indexed == plain and "one more fish" in {c["content"] for c in indexed["chunks"]}
+
+
 def test_empty_tables(spark, tmp_path):
     library = Library(spark, str(tmp_path / "lib"))
     assert library.documents().count() == 0 and all(t.count() == 0 for t in library.search_tables())
