@@ -174,4 +174,4 @@ def test_arrivals_are_upserted_once(spark, tmp_path):
 def test_registry_has_sql_for_all_but_the_walk():
     names, sql = set(__spark_entry__.queries()), set(__spark_entry__.oracle_sql())
     own = {n for n in names if not n.startswith("op") or n == "opener_chapters"} - {"pipeline"}
-    assert sql <= names and own - sql == {"deep_search_trace", "chunk_recursive"} and len(own) > 30
+    assert sql <= names and own - sql == {"deep_search_trace", "chunk_recursive", "ivf_topk"} and len(own) > 30
