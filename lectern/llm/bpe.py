@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.held import held, release
 from lectern.session import prepare
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -311,18 +312,9 @@ def decode_text(ids: np.ndarray, text: dict[int, bytes]) -> Iterator[str]:
     yield stream.close()
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder(data: bytes, pattern: str) -> Encoder:
     """One encoder a worker and vocabulary: its states serve all tasks that the worker runs."""
-    key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        gc.collect()  # what a worker's earlier tasks left goes first: one worker serves several stages
-        pa.default_memory_pool().release_unused()
-        _ENCODERS[key] = Encoder(parse_ranks(data), pattern)
-    return _ENCODERS[key]
+    return held(("bpe", hashlib.sha256(data).hexdigest(), pattern), lambda: Encoder(parse_ranks(data), pattern))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, keep_ids: bool = True) -> DataFrame:
@@ -343,6 +335,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
             yield from encoded(encoder, batches)
         finally:
             gc.enable()  # the worker goes on to other tasks
+            release()
 
     def encoded(encoder: Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.held import forget, release
 from lectern.llm.labelled import held_out, sample_ids, sampled
 from lectern.session import prepare
 
@@ -205,10 +206,13 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", keep_text: boo
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_NGRAMS entries at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # what the worker keeps of another stage
         known = WordMargins(shared.value)
         for b in batches:
             scores = pa.array([score_text(shared.value, t, known) for t in b.column(text).to_pylist()], type=pa.float64())
             yield pa.RecordBatch.from_arrays([scores, *(b.column(c) for c in kept)], names=["score", *kept])
+        known.clear()
+        release()
 
     return docs.mapInArrow(run, docs.select(F.lit(0.0).alias("score"), *kept).schema)
 
