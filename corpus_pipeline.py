@@ -29,7 +29,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. A null source is one of its own; texts without words weigh nothing and are taken only if their size asks for it, that is never."""
+    """Documents as often as the mix takes them. A null source is one of its own; texts without words weigh nothing and are drawn like others."""
     prepare(spark)
     return mixing.mixed_documents(docs)
 
