@@ -59,11 +59,26 @@ def k_means(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
+def _reach(vectors: np.ndarray, centres: np.ndarray, asking: int = 256, k: int = 10) -> list[float]:
+    """Of the k nearest other rows of some rows of the sample, the part in the first cell, the first two, and so on."""
+    if len(vectors) < 2:
+        return [1.0] * len(centres)
+    who = np.unique(np.linspace(0, len(vectors) - 1, min(asking, len(vectors))).astype(int))
+    cosine = vectors[who] @ vectors.T
+    cosine[np.arange(len(who)), who] = -np.inf
+    true = np.argsort(-cosine, axis=1)[:, : min(k, len(vectors) - 1)]
+    off = (centres**2).sum(axis=1)[None, :] - 2 * (vectors[who] @ centres.T)
+    place = np.argsort(np.argsort(off, axis=1, kind="stable"), axis=1)  # of each cell among a question's
+    met = np.take_along_axis(place, nearest(vectors, centres)[true], axis=1)
+    return (np.cumsum(np.bincount(met.ravel(), minlength=len(centres))) / met.size).tolist()
+
+
 class Model:
-    """Centres (cells, dims) and patterns: for each part its first component and its (patterns, width)."""
+    """Centres (cells, dims) and patterns: for each part its first component and its (patterns, width). reach: what part of the
+    sample's nearest rows lies in a question's nearest cell, its nearest two, and so on."""
 
-    def __init__(self, centres: np.ndarray, parts: list[tuple[int, np.ndarray]]) -> None:
-        self.centres, self.parts = centres, parts
+    def __init__(self, centres: np.ndarray, parts: list[tuple[int, np.ndarray]], reach: list[float] | None = None) -> None:
+        self.centres, self.parts, self.reach = centres, parts, reach or [1.0]
 
     @property
     def dims(self) -> int:
@@ -74,7 +89,8 @@ class Model:
         vectors = unit(sample)
         centres = k_means(vectors, cells)
         left = vectors - centres[nearest(vectors, centres)]
-        return cls(centres, [(at, k_means(left[:, at : at + PART], CODES)) for at in range(0, vectors.shape[1], PART)])
+        parts = [(at, k_means(left[:, at : at + PART], CODES)) for at in range(0, vectors.shape[1], PART)]
+        return cls(centres, parts, _reach(vectors, centres))
 
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, codes and how far the code is off, of each vector."""
@@ -92,12 +108,12 @@ class Model:
         return [(questions[:, at : at + patterns.shape[1]] @ patterns.T).astype(np.float32) for at, patterns in self.parts]
 
     def to_json(self) -> str:
-        return json.dumps({"centres": self.centres.tolist(), "parts": [(at, p.tolist()) for at, p in self.parts]})
+        return json.dumps({"centres": self.centres.tolist(), "parts": [(at, p.tolist()) for at, p in self.parts], "reach": self.reach})
 
     @classmethod
     def from_json(cls, text: str) -> Model:
         held = json.loads(text)
-        return cls(np.array(held["centres"]), [(at, np.array(p)) for at, p in held["parts"]])
+        return cls(np.array(held["centres"]), [(at, np.array(p)) for at, p in held["parts"]], held["reach"])
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -145,6 +161,10 @@ class VectorIndex:
         dealt = rows.mapInArrow(run, schema).repartitionByRange("cell", "chunk_id")
         dealt.write.mode("append").partitionBy("cell").option("maxRecordsPerFile", 1_000_000).parquet(f"{self.base}/cells")
 
+    def probes_for(self, recall: float) -> int:
+        """How many cells a question should probe, by the sample's neighbours, for this part of its nearest rows."""
+        return min(len(self.model.centres), 1 + int(np.searchsorted(self.model.reach, recall - 1e-12)))
+
     def rows(self) -> DataFrame:
         """chunk_id, document_id, vector, code, off, cell."""
         schema = "chunk_id long, document_id long, vector array<float>, code binary, off double, cell int"

@@ -90,10 +90,11 @@ def test_codes_and_centres():
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     made = model.centres[cell] + np.concatenate([p[codes[:, i]] for i, (_, p) in enumerate(model.parts)], axis=1)
     assert np.allclose(np.linalg.norm(unit - made, axis=1), off) and off.mean() < 0.3
+    assert len(model.reach) == 20 and model.reach == sorted(model.reach) and model.reach[-1] == 1.0 and model.reach[3] > 0.5
 
 
 def test_the_registered_query_finds_nine_of_ten(spark):
-    """Half of the cells, on vectors that mostly have no near neighbours, against all cells, which equal SQL."""
+    """As many cells as the sample says, on vectors that mostly have no near neighbours, against all cells, which equal SQL."""
     queries = catalogue.queries()
     want, got = (lists(queries[name](spark, "/root/testdata/sf0.001")) for name in ("ivf_all_cells", "ivf_topk"))
     hits = sum(len({c for c, _ in want[q]} & {c for c, _ in got.get(q, [])}) for q in want)
