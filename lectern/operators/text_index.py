@@ -48,7 +48,9 @@ class TextIndex:
         segments = max(1, -(-counts["chunks"] // segment_rows))
         earlier = self.spark.read.schema(_COUNTS).parquet(f"{self.base}/counts").count()
         segment = F.pmod(F.xxhash64("chunk_id", F.lit(added)), F.lit(segments)) + F.lit(earlier << 32)  # of this addition alone
-        hits = cut.select("chunk_id", "document_id", F.size("ts").cast("long").alias("dl"), segment.alias("segment"), F.explode("ts").alias("term"))
+        # chunks are dealt by segment before their terms are counted: both groupings below then need no exchange of postings
+        dealt = cut.select("chunk_id", "document_id", F.size("ts").cast("long").alias("dl"), segment.alias("segment"), "ts").repartition("segment")
+        hits = dealt.select("chunk_id", "document_id", "dl", "segment", F.explode("ts").alias("term"))
         hits = hits.groupBy("segment", "term", "chunk_id", "document_id", "dl").agg(F.count("*").alias("tf"))
         blocks = hits.groupBy("segment", "term").agg(
             F.count("*").alias("n"), F.collect_list(F.struct((-F.col("tf")).alias("less"), "dl", "chunk_id", "document_id", "tf")).alias("rows"))
