@@ -86,3 +86,24 @@ def test_many_books_at_once_and_errors(spark):
 def test_all_line_breaks_count(spark):
     books = spark.createDataFrame([("a", "1\r\n2\r3\x0b4\f5\x1c6\x857 8\n")], "external_id string, text string")
     assert [r.raw for r in S.book_lines(books).orderBy("n").collect()] == list("12345678")
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_books_in_parts_are_those_in_one_row(spark, ranges):
+    """A part ends anywhere between lines: in a footer, after an opener, in the back matter; ranges of rows too."""
+    opened = "CHAPTER 1\n\n\nShown Title\nIntro.\nChapter 1: Real Title\n Body. \n\nCHAPTER 2\n\nonly shown, a plain line\nEnd.\nCHAPTER 1\nagain\nstill two\nName Here\nx\nName Here\n|\n12\nIndex\nNames\n"
+    numbered = "chapter 1  Start\npreface\n1.1  Alpha\ntext a\n1.1.2  Deeper\n\ntext d\n1.2  Beta\n1.1  Alpha\nend\nchapter 2  Next\n\n"
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for text, profile in ((HEADERS, "ddia"), (opened, "ddia"), (numbered, "manning")):
+            lines = text.splitlines(keepends=True)
+            whole = S.parse(spark.createDataFrame([("b", text), ("c", text.replace("1", "3"))], "external_id string, text string"), S.profile(profile))
+            parts = [("b", n, x) for n, x in enumerate(lines)] + [("c", n, "".join(lines[n * 3 : n * 3 + 3]).replace("1", "3")) for n in range(len(lines) // 3 + 1)]
+            apart = S.parse(spark.createDataFrame(parts, "external_id string, part long, text string"), S.profile(profile))
+            want, got = (sorted((r.asDict(True) for r in x.collect()), key=lambda r: (r["external_id"], r["path"])) for x in (whole, apart))
+            assert want and got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
