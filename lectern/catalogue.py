@@ -5,6 +5,7 @@ Chunks are documents (vector by vec_id = doc_id), sections and books are made fr
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from lectern import catalogue_structure
 from lectern.functions import text as X
 from lectern.operators import blocks, chunking, recursive, search, store
 from lectern.operators.text_index import TextIndex
-from lectern.operators.vector_index import VectorIndex
+from lectern.operators.vector_index import MAX_QUESTIONS, VectorIndex
 from lectern.plans import ingest, library
 from lectern.plans.deep_search import report
 from lectern.session import materialize, shared_dir, table
@@ -94,14 +95,21 @@ def _vector_index(spark, d) -> VectorIndex:
     return VectorIndex.create(chunks(spark, d).select("chunk_id", "document_id", "vector"), f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}")
 
 
+def _ask(index: VectorIndex, asked: DataFrame, **how) -> DataFrame:
+    """search, in as many blocks of questions as it takes."""
+    n = -(-asked.count() // (MAX_QUESTIONS // 2))
+    blocks_ = [asked.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)] if n > 1 else [asked]
+    return functools.reduce(DataFrame.unionByName, [index.search(x, 10, **how) for x in blocks_])
+
+
 def ivf_topk(spark, d):
     """As many cells as hold nineteen of twenty neighbours in the index's sample: most of these vectors have no near ones, so that is most cells."""
     index = _vector_index(spark, d)
-    return _rounded(index.search(_asking(spark, d), 10, probes=index.probes_for(0.95)), "score")
+    return _rounded(_ask(index, _asking(spark, d), probes=index.probes_for(0.95)), "score")
 
 
 def ivf_all_cells(spark, d):
-    return _rounded(_vector_index(spark, d).search(_asking(spark, d), 10, probes=None, keep=None), "score")
+    return _rounded(_ask(_vector_index(spark, d), _asking(spark, d), probes=None, keep=None), "score")
 
 
 _IVF_SQL = f"""WITH {_CHUNKS} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM (

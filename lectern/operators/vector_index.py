@@ -26,6 +26,8 @@ from lectern.session import materialize, prepare
 SAMPLE_ROWS, SAMPLE_BYTES, MAX_CELLS, PART, CODES = 20_000, 256 << 20, 1024, 4, 256
 #: Cells that a question probes, rows by code that it ranks by their vectors (times k), questions at a time.
 PROBES, KEEP, MAX_QUESTIONS = 16, 20, 4096
+#: Questions that a task weighs at a time, and pairs whose vectors it holds at a time.
+BLOCK, PAIRS = 256, 32_768
 ROUNDS = 12
 #: Sums of codes err by far less, and those of vectors.
 SLACK, NEARLY = 1e-5, 1e-9
@@ -205,45 +207,46 @@ class VectorIndex:
     def _chosen(self, q: np.ndarray, probed: np.ndarray, document_ids: list[int] | None, k: int, keep: int | None) -> DataFrame:
         """no (of the question), chunk_id, cell, near (cosine by code): of each batch of rows what may be among a question's best."""
         model, exact = self.model, keep is None
-        by_cell: dict[int, list[int]] = {}
-        for i, cells in enumerate(probed.tolist()):
-            for c in cells:
-                by_cell.setdefault(c, []).append(i)
+        order = np.argsort(probed.ravel(), kind="stable")
+        found, starts = np.unique(probed.ravel()[order], return_index=True)
+        by_cell = dict(zip(found.tolist(), np.split(order // max(1, probed.shape[1]), starts[1:]), strict=False))  # questions of a cell, in order
+        none = np.zeros(0, dtype=np.int64)
         need = k if exact else keep
 
-        def raise_to(worst: np.ndarray, who: np.ndarray, lowest: np.ndarray, need: int) -> None:
-            """Where so many rows are at least so good."""
-            n = lowest.shape[1]
-            if n >= need:
-                worst[who] = np.maximum(worst[who], np.partition(lowest, n - need, axis=1)[:, n - need])
-
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = model.tables(q)
-            worst = np.full(len(q), -np.inf)  # of each question, a bound that enough rows of this task pass
+            best = np.full((len(q), need), -np.inf)  # of each question, the best of this task's rows so far
             for b in batches:
                 cells = b.column("cell").to_numpy()
-                out: list[tuple[np.ndarray, ...]] = []
-                for c in np.unique(cells):
-                    who, at = np.array(by_cell.get(int(c), []), dtype=np.int64), np.flatnonzero(cells == c)
-                    if not len(who):
-                        continue
-                    codes = np.frombuffer(b"".join(b.column("code").take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(at), -1)
-                    near = np.repeat((q[who] @ model.centres[c])[:, None], len(at), axis=1)
-                    for p, table in enumerate(tables):
-                        near += table[who][:, codes[:, p]]
-                    lowest = near
+                own = [(int(c), np.flatnonzero(cells == c)) for c in np.unique(cells)]
+                codes = np.frombuffer(b"".join(b.column("code").to_pylist()), dtype=np.uint8).reshape(len(cells), -1)
+                off = b.column("off").to_numpy() + SLACK if exact else None
+                rows = unit(_matrix(b.column("vector"), model.dims)) if exact else None
+                for lo in range(0, len(q), BLOCK):  # so many questions at once: what a task holds doesn't grow with them
+                    asked = q[lo : lo + BLOCK]
+                    tables = model.tables(asked)
+                    near = np.full((len(asked), len(cells)), -np.inf)
+                    for c, at in own:
+                        who = by_cell.get(c, none)
+                        who = who[np.searchsorted(who, lo) : np.searchsorted(who, lo + BLOCK)] - lo
+                        if len(who):
+                            sums = np.repeat((asked[who] @ model.centres[c])[:, None], len(at), axis=1)
+                            for p, table in enumerate(tables):
+                                sums += table[who][:, codes[at, p]]
+                            near[np.ix_(who, at)] = sums
+                    held = best[lo : lo + BLOCK]
                     if exact:  # the code's bound first, then the vectors of what it leaves
-                        off = b.column("off").to_numpy()[at] + SLACK
-                        raise_to(worst, who, near - off, need)
-                        r, i = np.nonzero(near + off >= worst[who][:, None])
-                        rows = unit(_matrix(b.column("vector").take(pa.array(at)), model.dims))
-                        lowest = np.full(near.shape, -np.inf)
-                        lowest[r, i] = np.einsum("ij,ij->i", q[who[r]], rows[i]) - NEARLY
-                    raise_to(worst, who, lowest, need)
-                    r, i = np.nonzero((lowest > -np.inf) & (lowest + 2 * NEARLY >= worst[who][:, None]))
-                    out.append((who[r], at[i], lowest[r, i]))
-                who, at, near = (np.concatenate([x[j] for x in out]) if out else np.zeros(0, dtype=t) for j, t in enumerate((np.int64, np.int64, float)))
-                yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), b.column("chunk_id").take(pa.array(at)), b.column("cell").take(pa.array(at)), pa.array(near, pa.float64())], names=["no", "chunk_id", "cell", "near"])
+                        worst = held.min(axis=1)
+                        if len(cells) >= need:
+                            worst = np.maximum(worst, np.partition(near - off, len(cells) - need, axis=1)[:, len(cells) - need])
+                        r, i = np.nonzero((near > -np.inf) & (near + off >= worst[:, None]))
+                        near = np.full(near.shape, -np.inf)
+                        for x in range(0, len(r), PAIRS):
+                            rr, ii = r[x : x + PAIRS], i[x : x + PAIRS]
+                            near[rr, ii] = np.einsum("ij,ij->i", asked[rr], rows[ii]) - NEARLY
+                    held[:] = np.partition(np.concatenate([held, near], axis=1), len(cells), axis=1)[:, len(cells) :]
+                    r, i = np.nonzero((near > -np.inf) & (near + 2 * NEARLY >= held.min(axis=1)[:, None]))
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([pa.array((r + lo).astype(np.int32)), b.column("chunk_id").take(pa.array(i)), b.column("cell").take(pa.array(i)), pa.array(near[r, i], pa.float64())], names=["no", "chunk_id", "cell", "near"])
 
         rows = in_documents(self._of_cells(probed.ravel()), document_ids).select("chunk_id", "cell", "code", *(("off", "vector") if exact else ()))
         return rows.mapInArrow(run, "no int, chunk_id long, cell int, near double")

@@ -99,3 +99,18 @@ def test_the_registered_query_finds_nine_of_ten(spark):
     want, got = (lists(queries[name](spark, "/root/testdata/sf0.001")) for name in ("ivf_all_cells", "ivf_topk"))
     hits = sum(len({c for c, _ in want[q]} & {c for c, _ in got.get(q, [])}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values())) and len(want) >= 10
+
+
+def test_questions_in_blocks_and_pairs_in_pieces(chunks, questions, index, monkeypatch, spark):
+    """What a task holds is bounded, and a batch hands on what is among the best of all rows before it, not all its rows."""
+    from lectern.operators import vector_index as V
+
+    want = lists(search.knn(chunks, questions, 10))
+    q = V.unit(vectors()[::60].astype(float))
+    chosen = index._chosen(q, index._probed(q, 50), None, 10, 20).groupBy("no").count()
+    assert chosen.agg(F.max("count")).first()[0] < 1500
+    monkeypatch.setattr(V, "MAX_QUESTIONS", 60)
+    monkeypatch.setattr(catalogue, "MAX_QUESTIONS", 60)
+    assert lists(catalogue._ask(index, questions, probes=None, keep=None)) == want
+    with pytest.raises(ValueError):
+        index.search(questions.unionByName(questions), 10)
