@@ -115,18 +115,24 @@ def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPO
     """Embeddings and softmax by gradient descent (Adam) on documents as bags of spans."""
     if len(set(labels)) < 2:
         return Model({}, 3.0 if labels and labels[0] else -3.0)
-    docs = [words_of(t) for t in texts]
-    word_docs = Counter(w for d in docs for w in set(d))
+    number: dict[str, int] = {}  # words are kept once, texts as numbers of words
+    used, lengths, word_docs = array("i"), [], Counter()
+    for text in texts:
+        own = [number.setdefault(w, len(number)) for w in words_of(text)]
+        used.extend(own)
+        lengths.append(len(own))
+        word_docs.update(set(own))
     gram_docs: Counter[str] = Counter()
-    words = sorted(word_docs)
+    words = sorted(number)
     for w in words:
         if not w.isdigit():
             for g in subwords(w):
-                gram_docs[g] += word_docs[w]
+                gram_docs[g] += word_docs[number[w]]
     top = sorted((g for g, n in gram_docs.items() if n >= MIN_DOCS), key=lambda g: (-gram_docs[g], g))[:MAX_NGRAMS]
     del gram_docs
     gram_id = {g: i for i, g in enumerate(top)}
-    word_id = {w: i for i, w in enumerate(words)}
+    place = np.zeros(len(words), dtype=np.int64)  # of a word in order, by its number
+    place[[number[w] for w in words]] = np.arange(len(words))
     share, sizes, ids = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64), array("i")
     for i, w in enumerate(words):
         if not w.isdigit():
@@ -137,8 +143,9 @@ def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPO
             ids.extend(found)
     grams = np.frombuffer(ids, dtype=np.int32)
     of_word = np.repeat(np.arange(len(words)), sizes)
-    at = np.fromiter((word_id[w] for d in docs for w in d), dtype=np.int64)
-    first, last, doc = spans(np.array([len(d) for d in docs]), span)
+    at = place[np.frombuffer(used, dtype=np.int32)]
+    del number, used, word_docs
+    first, last, doc = spans(np.array(lengths), span)
     length = last - first
     y = np.array(labels, dtype=float)
     weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
@@ -154,9 +161,9 @@ def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPO
     for step in range(1, epochs + 1):
         direction, bag = soft[1] - soft[0], bags()
         p = _sigmoid(span_means((bag @ direction)[at], first, last) + bias[1] - bias[0])
-        miss = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(docs))  # log of the chance that no span is toxic
+        miss = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(lengths))  # log of the chance that no span is toxic
         p_doc = np.maximum(1 - np.exp(miss), 1e-9)
-        slope = np.where(y[doc] > 0, -p * (1 - p_doc[doc]) / p_doc[doc], p) * weight[doc] / len(docs)
+        slope = np.where(y[doc] > 0, -p * (1 - p_doc[doc]) / p_doc[doc], p) * weight[doc] / len(lengths)
         edge = np.bincount(first, slope / length, len(at) + 1) - np.bincount(last, slope / length, len(at) + 1)
         at_word = np.bincount(at, np.cumsum(edge)[:-1], len(words))  # what each use of a word got from its spans
         to_bag = at_word[:, None] * direction[None, :] * share[:, None]
@@ -167,7 +174,7 @@ def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPO
             m += 0.1 * (g_ - m)
             v += 0.001 * (g_ * g_ - v)
             p_ -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    tops = np.where(np.bincount(doc, minlength=len(docs)) > 0, -np.inf, 0.0)
+    tops = np.where(np.bincount(doc, minlength=len(lengths)) > 0, -np.inf, 0.0)
     np.maximum.at(tops, doc, span_means((bags() @ (soft[1] - soft[0]))[at], first, last))
     scale, shift = _fitted(tops, y)
     soft *= scale
@@ -196,7 +203,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int
         return train([], [])
     rows = sampled(docs.select("doc_id", "text").filter(F.length("text") <= chars), ids).select("text", "label").distinct()
     got = rows.orderBy(F.xxhash64("text"), "label").limit(sum(per_class)).collect()
-    return train([r["text"] for r in got], [r["label"] for r in got])
+    texts, values = [r["text"] for r in got], [r["label"] for r in got]
+    del rows, got
+    model = train(texts, values)
+    del texts
+    release()  # the driver's pages too
+    return model
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:

@@ -243,3 +243,17 @@ def test_score_is_the_softmax_of_the_worst_averaged_bag():
     worst = max(sum(bag[i : i + toxicity.SPAN]) / toxicity.SPAN for i in range(len(bag) - toxicity.SPAN + 1))
     assert abs(toxicity.score_text(model, text, toxicity.WordMargins(model)) - 1 / (1 + math.exp(-(worst + model.bias)))) < 1e-9
     assert toxicity.score_text(model, text, toxicity.WordMargins(model)) > 0.5 > toxicity.score_text(model, "a fine day", toxicity.WordMargins(model))
+
+
+def test_training_on_toxicity_keeps_a_word_once():
+    """What the driver holds of the sample's words is four bytes a use, whatever their length."""
+    import tracemalloc
+
+    from lectern.llm import toxicity
+
+    texts = [" ".join(f"{'long' * 20}{'abcdefghij'[(i + j) % 10]}" for j in range(3000)) for i in range(100)]
+    tracemalloc.start()
+    toxicity.train(texts, [i % 2 for i in range(100)], epochs=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36e6
