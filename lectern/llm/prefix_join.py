@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.similar import HASH_SEED, _common, _pair_batch, _roots, _small, _verified, prefix, shingle_set
+from lectern.llm.similar import HASH_SEED, _common, _pair_batch, _roots, _small, _verified, prefix, shingle_set, sketch
 from lectern.session import materialize, prepare
 
 #: Of the contract.
 SHINGLE, SIMILARITY = 3, 0.9
-#: Members after the shared one that a trie holds of a set at most; bits of a sketch; sets in one trie at most; candidates after which a first walk stops.
-TAIL, SKETCH, BLOCK_ROWS, NEXT = 16, 512, 4096, 2
+#: Members after the shared one that a trie holds of a set at most; sets in one trie at most; candidates after which a first walk stops.
+TAIL, BLOCK_ROWS, NEXT = 16, 4096, 2
 PAIRS = 1 << 18
 _EPS = 1e-9
 
@@ -147,11 +147,6 @@ class Trie:
             stack.extend((self.below[at] or {}).values())
 
 
-def sketch(members: np.ndarray) -> bytes:
-    """The parity of how many members fall on each bit: where two sketches differ, a member is in one set only."""
-    return np.packbits((np.bincount((members >> np.uint64(7)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
-
-
 def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, text_key, node (hash of the whole set), size, prefix and sketch of every row."""
     common = _common(docs, shingle)

@@ -6,6 +6,10 @@ t share a member among the first |x| - ceil(t |x|) + 1 of each, in any order of
 under which sets meet; sizes, positions and then the whole prefixes discard pairs that cannot reach t, and survivors are
 verified on whole sets. Members that a sample finds common come last in the order, so that a passage of many texts is
 seldom a key. The sample affects the work, never the result.
+
+A set first meets its next ones by size under each key. What that leaves open goes on in rounds: a set meets, under each
+key, only the few of other components whose sketches are closest, the links found join components, and the next round
+meets only between what is still apart. When a round joins nothing more, all that can still be similar is verified.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ SIMILARITY = 0.8
 SAMPLED, COMMON, MOST_COMMON = 32, 4, 1 << 16
 #: Neighbours by size within a key that meet first; all others meet only if that has not joined them.
 NEXT = 2
+#: Bits of a sketch; rounds of closest candidates at most, before all that is left is verified.
+SKETCH, ROUNDS = 512, 12
 #: A key's rows meet in blocks of so many; two blocks are in one task's memory.
 BLOCK_ROWS = 4096
 #: Pairs of a batch that is handed on.
@@ -68,6 +74,11 @@ def prefix(members: np.ndarray, common: np.ndarray, similarity: float) -> np.nda
     return ordered(members, common)[: n - math.ceil(similarity * n - _EPS) + 1] if n else members
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """The parity of how many members fall on each bit: where two sketches differ, a member is in one set only."""
+    return np.packbits((np.bincount((members >> np.uint64(7)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -96,7 +107,7 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, text_key, node (hash of the whole set), fp, size and prefix of every row."""
+    """doc_id, text_key, node (hash of the whole set), fp, size, prefix and sketch (as longs) of every row."""
     common = _common(docs, shingle)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +117,12 @@ def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) for s in sets], dtype=np.uint64).view(np.int64)
             fps = np.fromiter((fingerprint(t, shingle) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
             heads = pa.array([prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), heads], names=["doc_id", "text_key", "node", "fp", "size", "prefix"])
+            drawn = pa.array([np.frombuffer(sketch(s), dtype=np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), heads, drawn], names=["doc_id", "text_key", "node", "fp", "size", "prefix", "sketch"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     zero = F.lit(0).cast("long")
-    schema = rows.select("doc_id", "text_key", zero.alias("node"), zero.alias("fp"), zero.alias("size"), F.array(zero).alias("prefix")).schema
+    schema = rows.select("doc_id", "text_key", zero.alias("node"), zero.alias("fp"), zero.alias("size"), F.array(zero).alias("prefix"), F.array(zero).alias("sketch")).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -135,11 +147,12 @@ def _enough(size_a, at_a, size_b, at_b, similarity: float):
     return np.minimum(size_a - at_a, size_b - at_b) >= similarity / (1 + similarity) * (size_a + size_b) - _EPS
 
 
-def across(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of nodes of different components that can be similar, among rows (size, position, node, component) of one key, sorted by size.
+def across(rows: np.ndarray, similarity: float, most: int | None = None) -> Iterator[tuple[np.ndarray, bool]]:
+    """Pairs of nodes of different components that can be similar, among rows (size, position, node, component, sketch) of one key, sorted by size.
 
-    Rows of the largest component do not meet one another."""
-    size, at, node, root = rows.T
+    Rows of the largest component do not meet one another. most: a row meets so many of its closest by sketch at most; with the pairs, whether it had more."""
+    size, at, node, root = rows[:, :4].T
+    sketches = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
     values, counts = np.unique(root, return_counts=True)
     main = root == values[np.argmax(counts)]
     for i in np.flatnonzero(~main):
@@ -147,8 +160,13 @@ def across(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
         j = np.arange(lo, hi)
         j = j[(main[j] | (j > i)) & (root[j] != root[i])]
         j = j[_enough(size[i], at[i], size[j], at[j], similarity)]
+        apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        good = apart <= (1 - similarity) / (1 + similarity) * (size[i] + size[j]) + _EPS
+        j, apart = j[good], apart[good]
+        if cut := most is not None and len(j) > most:
+            j = j[np.argpartition(apart, most)[:most]]
         if len(j):
-            yield np.stack([np.full(len(j), node[i]), node[j]], axis=1)
+            yield np.stack([np.full(len(j), node[i]), node[j]], axis=1), cut
 
 
 def _pair_batch(found: list[np.ndarray], more: np.ndarray | None = None) -> pa.RecordBatch:
@@ -183,16 +201,19 @@ def _met(keyed: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, key long, size long, at long")
 
 
-def _met_later(rows: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+def _met_later(rows: DataFrame, sketches: DataFrame, similarity: float, block_rows: int, most: int | None = None) -> DataFrame:
     """a, b: all pairs of rows (key, size, node, at, root) of one key whose ends are in different components and can be similar.
 
-    A key in one component is done. Rows of a long key are dealt into blocks by node, and every two blocks meet in a group of their own."""
+    A key in one component is done. Rows of a long key are dealt into blocks by node, and every two blocks meet in a group of their own.
+    most: the closest of a group for each row only; a row with a null b then says that there were more. sketches: (node, sketch)."""
     counted = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     counted = counted.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    open_rows = rows.join(counted, "key").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    open_rows = rows.join(counted, "key").join(sketches, "node").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
-    met = open_rows.select("key", "size", "node", "at", "root", other.alias("x")).select("key", "x.i", "x.j", "size", "node", "at", "root")
-    columns = ("key", "i", "j", "size", "at", "node", "root")
+    drawn = [f"s{n}" for n in range(SKETCH // 64)]
+    met = open_rows.select("key", "size", "node", "at", "root", "sketch", other.alias("x"))
+    met = met.select("key", "x.i", "x.j", "size", "node", "at", "root", *(F.col("sketch")[n].alias(c) for n, c in enumerate(drawn)))
+    columns = ("key", "i", "j", "size", "at", "node", "root", *drawn)
 
     def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held = np.zeros((0, len(columns)), dtype=np.int64)
@@ -206,15 +227,18 @@ def _met_later(rows: DataFrame, similarity: float, block_rows: int) -> DataFrame
             yield held
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = [], 0
+        found, n, more = [], 0, False
         for rows in groups(batches):
-            for pairs in across(rows[:, 3:], similarity) if len(rows) > 1 else ():
+            for pairs, cut in across(rows[:, 3:], similarity, most) if len(rows) > 1 else ():
                 found.append(pairs)
                 n += len(pairs)
+                more |= cut
                 if n >= PAIRS:
                     yield _pair_batch(found)
                     found, n = [], 0
         yield _pair_batch(found)
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
 
     dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "size", "node")
     return dealt.mapInArrow(run, "a long, b long")
@@ -287,7 +311,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     prepare(docs.sparkSession)
     marked = materialize(_marked(docs, shingle, similarity), "similar-rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = marked.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = marked.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "similar-nodes")
     keyed = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "size", "node", F.col("at").cast("long").alias("at"))
     met = materialize(_met(keyed, similarity), "similar-met")
@@ -295,11 +319,21 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     found = _verified(docs, nodes, materialize(pairs, "similar-pairs"), shingle, similarity)
     slim = nodes.select("node")
     placed = materialize(_roots(slim, found), "similar-placed")
-    rest = met.filter("b is null").select("key", "size", F.col("a").alias("node"), "at").join(placed, "node")
-    later = materialize(_met_later(materialize(rest, "similar-rest"), similarity, block_rows).distinct(), "similar-later")
-    if later.limit(1).count():
-        stars = placed.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        placed = _roots(slim, stars.unionAll(_verified(docs, nodes, later, shingle, similarity)))
+    rest = materialize(met.filter("b is null").select("key", "size", F.col("a").alias("node"), "at"), "similar-rest")
+    sketches, most = nodes.select("node", "sketch"), NEXT
+    for no in range(ROUNDS + 1):
+        most = most if no < ROUNDS else None
+        later = materialize(_met_later(rest.join(placed, "node"), sketches, similarity, block_rows, most).distinct(), "similar-later")
+        pairs, more = later.filter("b is not null"), later.filter("b is null").limit(1).count()
+        if not pairs.limit(1).count():
+            break
+        found = _verified(docs, nodes, pairs, shingle, similarity)
+        if joined := found.limit(1).count():
+            stars = placed.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            placed = materialize(_roots(slim, stars.unionAll(found)), "similar-placed")
+        if not more:
+            break  # all candidates were verified
+        most = most if joined else None
     return marked.select("doc_id", "text_key", "node").join(placed, "node").select("doc_id", "text_key", "root")
 
 

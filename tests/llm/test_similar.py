@@ -76,3 +76,19 @@ def test_columns_named_like_our_own_are_kept(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _key string, _no_id boolean, _c1 string")
     kept = similar.deduplicated(docs)
     assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_a_large_group_of_near_copies_is_not_paired_off(spark, monkeypatch):
+    """Texts a few words from one base: some are links, most are just too far apart, and all share members. Verified pairs are few a text."""
+    draw, n = random.Random(5), 400
+    base, rows, seen = [f"b{i}" for i in range(150)], [], []
+    for no in range(n):
+        words = list(base)
+        for at in draw.sample(range(150), draw.choice([1, 2, 3, 4, 5])):
+            words[at] = f"n{draw.randrange(10**6)}"
+        rows.append((no, " ".join(words)))
+    plain = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda docs, nodes, pairs, *rest: (seen.append(pairs.count()), plain(docs, nodes, pairs, *rest))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in similar.deduplicated(docs).collect()) == brute_force(rows)
+    assert sum(seen) < 30 * n
