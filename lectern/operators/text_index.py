@@ -12,7 +12,10 @@ k-th score then rules out all segments whose bound is lower: those are never rea
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,10 @@ FIRST = 4
 #: Scores are sums of doubles in any order; bounds this close to the k-th score are not ruled out.
 SLACK = 1e-6
 _BLOCK = "term string, added long, segment long, n long, peaks array<struct<tf:long,dl:long>>, chunk_ids array<long>, document_ids array<long>, tfs array<long>, dls array<long>, bucket int"
+#: Blocks as a segment's task makes them; so many at most in an Arrow batch. A bucket is written in one part for so many segments.
+_MADE_COLUMNS = ["term", "segment", "n", "peaks", "chunk_ids", "document_ids", "tfs", "dls"]
+_MADE = "term string, segment long, n long, peaks array<struct<tf:long,dl:long>>, chunk_ids array<long>, document_ids array<long>, tfs array<long>, dls array<long>"
+OUT_ROWS, PART_SEGMENTS = 2000, 128
 _COUNTS = "added long, chunks long, terms long"
 
 
@@ -43,23 +50,20 @@ class TextIndex:
     def add(self, chunks: DataFrame, segment_rows: int = SEGMENT_ROWS) -> None:
         """Append chunks (chunk_id, document_id, content), which must not be there yet; a null content has no terms. Counts are written last and make the addition known: blocks of one that failed are never read."""
         added = uuid.uuid4().int >> 65
-        cut = chunks.select("chunk_id", "document_id", self.analyse(F.coalesce(F.col("content"), F.lit(""))).alias("ts"))
-        counts = cut.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).cast("long").alias("terms")).first()
-        segments = max(1, -(-counts["chunks"] // segment_rows))
+        n = chunks.select("chunk_id").count()  # texts are cut once, below
+        segments = max(1, -(-n // segment_rows))
         earlier = self.spark.read.schema(_COUNTS).parquet(f"{self.base}/counts").count()
         segment = F.pmod(F.xxhash64("chunk_id", F.lit(added)), F.lit(segments)) + F.lit(earlier << 32)  # of this addition alone
-        # chunks are dealt by segment before their terms are counted: both groupings below then need no exchange of postings
-        dealt = cut.select("chunk_id", "document_id", F.size("ts").cast("long").alias("dl"), segment.alias("segment"), "ts").repartition("segment")
-        hits = dealt.select("chunk_id", "document_id", "dl", "segment", F.explode("ts").alias("term"))
-        hits = hits.groupBy("segment", "term", "chunk_id", "document_id", "dl").agg(F.count("*").alias("tf"))
-        blocks = hits.groupBy("segment", "term").agg(
-            F.count("*").alias("n"), F.collect_list(F.struct((-F.col("tf")).alias("less"), "dl", "chunk_id", "document_id", "tf")).alias("rows"))
-        blocks = blocks.withColumn("peaks", peaks(F.array_sort("rows")))
-        kept = blocks.select(
-            "term", F.lit(added).alias("added"), "segment", "n", "peaks", *(F.col(f"rows.{c}").alias(f"{c}s") for c in ("chunk_id", "document_id", "tf", "dl")), self._bucket(F.col("term")).alias("bucket"))
-        dealt = kept.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment")
-        dealt.write.mode("append").partitionBy("bucket").parquet(f"{self.base}/blocks")
-        self.spark.createDataFrame([(added, counts["chunks"], counts["terms"])], _COUNTS).coalesce(1).write.mode("append").parquet(f"{self.base}/counts")
+        cut = chunks.select(F.col("chunk_id").cast("long"), F.col("document_id").cast("long"), segment.alias("segment"), self.analyse(F.coalesce(F.col("content"), F.lit(""))).alias("ts"))
+        dealt = cut.repartition("segment").sortWithinPartitions("segment")
+        made = dealt.mapInArrow(_segment_blocks, _MADE).select("term", F.lit(added).alias("added"), *_MADE_COLUMNS[1:], self._bucket(F.col("term")).alias("bucket"))
+        # a bucket is dealt into parts, so that more segments are more tasks; a term stands together in a part, and a frequent one in several
+        parts = F.lit(max(1, segments // PART_SEGMENTS))
+        part_no = F.pmod(F.xxhash64("term", F.shiftright("segment", 10)), parts)
+        made.repartition("bucket", part_no).sortWithinPartitions("bucket", "term", "segment").write.mode("append").partitionBy("bucket").parquet(f"{self.base}/blocks")
+        written = self.spark.read.schema(_BLOCK).parquet(f"{self.base}/blocks").filter(F.col("added") == added).select(F.explode("tfs").alias("tf"))
+        terms_ = written.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("terms")).first()["terms"]
+        self.spark.createDataFrame([(added, n, terms_)], _COUNTS).coalesce(1).write.mode("append").parquet(f"{self.base}/counts")
 
     def blocks(self) -> DataFrame:
         known = self.spark.read.schema(_COUNTS).parquet(f"{self.base}/counts").select(F.col("added").alias("known"))
@@ -126,11 +130,67 @@ class TextIndex:
         return (got["read"] or 0) / max(1, got["n"] or 0)
 
 
-def peaks(rows: Column) -> Column:
-    """Of rows by falling tf, then by dl: each that is shorter than all before it."""
-    pair = "array<struct<tf:long,dl:long>>"
-    return F.aggregate(
-        rows, F.array().cast(pair), lambda held, r: F.when((F.size(held) > 0) & (r["dl"] >= F.element_at(held, -1)["dl"]), held).otherwise(F.concat(held, F.array(F.struct(r["tf"], r["dl"])).cast(pair))))
+def peaks(tfs: np.ndarray, dls: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of rows in groups that begin at starts, each by falling tf, then by dl: whether a row is shorter than all before it in its group."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(dls))))
+    lowered = dls - group * (dls.max(initial=0) + 1)  # every group is below the one before, so one running minimum serves all
+    best = np.minimum.accumulate(lowered)
+    shorter = np.ones(len(dls), dtype=bool)
+    shorter[1:] = lowered[1:] < best[:-1]
+    return shorter
+
+
+def _counted(b: pa.RecordBatch) -> pa.Table:
+    """at (the row), term, tf, dl of each term of each row of (ts)."""
+    ts = b.column("ts")
+    dl = ts.value_lengths().fill_null(0).to_numpy()
+    coded = ts.flatten().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    keys, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * width + coded.indices.to_numpy(), return_counts=True)
+    at = keys // width
+    term = pa.DictionaryArray.from_arrays(pa.array(keys % width, pa.int32()), coded.dictionary)
+    ids = [b.column(c).take(pa.array(at)) for c in ("chunk_id", "document_id")]
+    return pa.table([term, *ids, pa.array(tf.astype(np.int64)), pa.array(dl[at].astype(np.int64))], names=["term", "chunk_id", "document_id", "tf", "dl"])
+
+
+def _blocks_of(segment: int, held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """The blocks (_MADE) of one segment's postings."""
+    rows = pa.concat_tables(held).unify_dictionaries().combine_chunks()
+    if not rows.num_rows:
+        return
+    column = rows.column("term").chunk(0)
+    code, tf, dl = column.indices.to_numpy(), rows.column("tf").to_numpy(), rows.column("dl").to_numpy()
+    order = np.lexsort((dl, -tf, code))
+    rows, code, tf, dl = rows.take(pa.array(order)).combine_chunks(), code[order], tf[order], dl[order]
+    starts = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1])
+    best = np.flatnonzero(peaks(tf, dl, starts))
+    ends = pa.array(np.append(starts, len(code)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, rows.column(c).chunk(0)) for c in ("chunk_id", "document_id", "tf", "dl")]
+    pairs = pa.StructArray.from_arrays([pa.array(tf[best]), pa.array(dl[best])], names=["tf", "dl"])
+    tops = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(best, starts), len(best)), pa.int32()), pairs)
+    terms_ = column.dictionary.take(pa.array(code[starts]))
+    sizes = pa.array(np.diff(np.append(starts, len(code))).astype(np.int64))
+    made = pa.RecordBatch.from_arrays([terms_, pa.array(np.full(len(starts), segment)), sizes, tops, *lists], names=_MADE_COLUMNS)
+    for at in range(0, len(starts), OUT_ROWS):
+        yield made.slice(at, OUT_ROWS)
+
+
+def _segment_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (chunk_id, document_id, segment, ts) that stand by segment: what is held is one segment's counted postings."""
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        segment = b.column("segment").to_numpy()
+        cuts = [0, *(np.flatnonzero(segment[1:] != segment[:-1]) + 1).tolist(), len(segment)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if held and segment[i] != now:
+                yield from _blocks_of(now, held)
+                held = []
+            now = int(segment[i])
+            held.append(_counted(b.slice(i, j - i)))
+    if held:
+        yield from _blocks_of(now, held)
 
 
 def part(idf: Column, tf: Column, dl: Column, mean: float) -> Column:

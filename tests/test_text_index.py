@@ -65,3 +65,27 @@ def test_empty(spark, questions, tmp_path):
     assert index.counts() == (0, 0.0) and index.search(questions).count() == 0
     index.add(spark.createDataFrame([], "chunk_id long, document_id long, content string"))
     assert index.search(questions).count() == 0 and index.search(questions.limit(0)).count() == 0
+
+
+def test_texts_are_cut_once_and_peaks_are_exact(spark, tmp_path):
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        cut.add(1)
+        return text.lower().split()
+
+    draw = random.Random(3)
+    rows = [(no, no % 3 or None, " ".join(draw.choice(["ash", "bay", "Élan", "dew", "elm"]) for _ in range(draw.randrange(1, 30)))) for no in range(90)] + [(90, 1, None), (91, 2, " ")]
+    index = TextIndex(spark, str(tmp_path / "index"), words, 3)
+    index.add(spark.createDataFrame(rows, "chunk_id long, document_id long, content string").repartition(3), segment_rows=20)
+    assert cut.value == len(rows)
+    assert index.counts() == (92, sum(len((t or "").split()) for *_, t in rows) / 92)
+    texts, seen = {no: (t or "").lower().split() for no, _, t in rows}, []
+    for r in index.blocks().collect():
+        postings = list(zip(r.tfs, r.dls, r.chunk_ids, r.document_ids, strict=True))
+        assert r.n == len(postings) and all((tf, dl, d) == (texts[c].count(r.term), len(texts[c]), rows[c][1]) for tf, dl, c, d in postings)
+        pairs = {(tf, dl) for tf, dl, *_ in postings}
+        assert {(p.tf, p.dl) for p in r.peaks} == {p for p in pairs if not any(q != p and q[0] >= p[0] and q[1] <= p[1] for q in pairs)}
+        seen += [(r.term, c) for c in r.chunk_ids]
+    assert sorted(seen) == sorted((t, no) for no, ts in texts.items() for t in set(ts))
