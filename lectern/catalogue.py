@@ -33,10 +33,23 @@ _TERMS = sorted({w for _, t in TEXTS for w in t.split()})
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     docs, emb = table(spark, d, "documents"), table(spark, d, "embeddings")
     vectors = emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return docs.join(vectors, "doc_id", "left").select(
+    return _chunk_columns(docs.join(vectors, "doc_id", "left"), "vector")
+
+
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    """chunks without their vectors, so that texts aren't exchanged to meet them: only ids with several vectors, for which a chunk stands as often, meet the texts."""
+    docs, emb = table(spark, d, "documents"), table(spark, d, "embeddings")
+    several = materialize(emb.groupBy(F.col("vec_id").alias("doc_id")).agg(F.count("*").alias("_n")).filter("_n > 1 and doc_id is not null"), "chunks-several")
+    if several.limit(1).count():
+        docs = docs.join(search.small(several), "doc_id", "left").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_n", F.lit(1).cast("long")))))
+    return _chunk_columns(docs)
+
+
+def _chunk_columns(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), (F.col("doc_id") % 20).alias("document_id"), F.col("doc_id").alias("section_id"),
         F.concat(F.lit("Book "), F.col("source")).alias("title"), F.concat((F.col("doc_id") % 7 + 1).cast("string"), F.lit("."), (F.col("doc_id") % 5).cast("string")).alias("path"),
-        F.concat(F.when(F.col("doc_id") % 3 == 0, "References").when(F.col("doc_id") % 3 == 1, "User Preferences").otherwise("References to work")).alias("heading"), "vector",
+        F.concat(F.when(F.col("doc_id") % 3 == 0, "References").when(F.col("doc_id") % 3 == 1, "User Preferences").otherwise("References to work")).alias("heading"), *more,
     )
 
 
@@ -76,11 +89,11 @@ def _knn_sql(k: int, where: str = "TRUE") -> str:
 
 
 def bm25_topk(spark, d):
-    return _rounded(search.bm25(chunks(spark, d), questions(spark, d), wanted=_TERMS), "score")
+    return _rounded(search.bm25(passages(spark, d), questions(spark, d), wanted=_TERMS), "score")
 
 
 def bm25_filtered(spark, d):
-    return _rounded(search.bm25(chunks(spark, d), questions(spark, d), k=5, document_ids=[1, 2, 3]), "score")
+    return _rounded(search.bm25(passages(spark, d), questions(spark, d), k=5, document_ids=[1, 2, 3]), "score")
 
 
 #: One row in so many asks the vector index.
@@ -120,7 +133,7 @@ _IVF_SQL = f"""WITH {_CHUNKS} SELECT qid, rank, chunk_id, round(score, 6) AS sco
 
 def _text_index(spark, d) -> TextIndex:
     index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
-    index.add(chunks(spark, d).select("chunk_id", "document_id", "content"))
+    index.add(passages(spark, d).select("chunk_id", "document_id", "content"))
     return index
 
 
@@ -146,7 +159,7 @@ bm AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r
 
 def _lists(spark, d, k: int = 40) -> DataFrame:
     c, q = chunks(spark, d), questions(spark, d)
-    lists = search.knn(c, q, k).withColumn("list_no", F.lit(0)).unionByName(search.bm25(c, q, k, wanted=_TERMS).withColumn("list_no", F.lit(1)))
+    lists = search.knn(c, q, k).withColumn("list_no", F.lit(0)).unionByName(search.bm25(passages(spark, d), q, k, wanted=_TERMS).withColumn("list_no", F.lit(1)))
     return materialize(lists, "search-lists")  # k rows a question and list
 
 
@@ -236,7 +249,9 @@ def _sections(spark, d) -> DataFrame:
     """Depth 1: the first document of each chapter of a book; depth 2: every document, its path chapter.doc."""
     docs = table(spark, d, "documents")
     leaves = docs.select(F.col("doc_id").alias("section_id"), (F.col("doc_id") % 20).alias("document_id"), F.concat((F.col("doc_id") % 7 + 1).cast("string"), F.lit("."), F.col("doc_id").cast("string")).alias("path"), F.lit(2).alias("depth"), F.col("text").alias("full_text"))
-    tops = docs.groupBy((F.col("doc_id") % 20).alias("document_id"), (F.col("doc_id") % 7 + 1).cast("string").alias("path")).agg((-F.min("doc_id") - 1).alias("section_id"), F.min_by("text", "doc_id").alias("full_text"))
+    # the first ids are found without the texts: these would be sorted to be grouped
+    first = materialize(docs.groupBy((F.col("doc_id") % 20).alias("document_id"), (F.col("doc_id") % 7 + 1).cast("string").alias("path")).agg(F.min("doc_id").alias("doc_id")), "sections-first")
+    tops = search.small(first).join(docs.join(search.small(first.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("full_text")), "doc_id", "left").select("document_id", "path", (-F.col("doc_id") - 1).alias("section_id"), "full_text")
     return leaves.unionByName(tops.withColumn("depth", F.lit(1)))
 
 

@@ -100,12 +100,18 @@ class GatewayModel:
 class DeepSearch:
     """chunks: (chunk_id, content, document_id, section_id, title, path, heading, vector); sections, titles: see blocks.expand.
 
-    vectors, texts: indexes of these chunks, which are asked in place of all chunks.
+    vectors, texts: indexes of these chunks, which are asked in place of all chunks. passages: the same rows without their
+    vectors, where these come by a join that texts need not go through.
     """
 
-    def __init__(self, chunks: DataFrame, sections: DataFrame, titles: DataFrame, model, settings: Settings | None = None, vectors: VectorIndex | None = None, texts: TextIndex | None = None) -> None:
+    def __init__(self, chunks: DataFrame, sections: DataFrame, titles: DataFrame, model, settings: Settings | None = None, vectors: VectorIndex | None = None, texts: TextIndex | None = None, passages: DataFrame | None = None) -> None:
         self.spark, self.chunks, self.sections, self.titles, self.model, self.settings = chunks.sparkSession, chunks, sections, titles, model, settings or Settings()
-        self.vectors, self.texts = vectors, texts
+        self.vectors, self.texts, self.passages = vectors, texts, chunks if passages is None else passages
+
+    def _named(self, chunks: DataFrame, found: DataFrame, most: int) -> DataFrame:
+        """Those of chunks that found names, most at most: their ids go into the scan, so that no other text or vector is exchanged."""
+        ids = [r["chunk_id"] for r in found.select("chunk_id").distinct().limit(most + 1).collect()]
+        return chunks.filter(F.col("chunk_id").isin(ids)) if len(ids) <= most else chunks
 
     def _round(self, no: int, vector_queries: list[str], bm25_queries: list[str], document_ids: list[int] | None, tag: str) -> DataFrame:
         """qid, round, chunk_id, score, first: one plan for all queries of the round by vector, and one by text, at once."""
@@ -121,7 +127,7 @@ class DeepSearch:
 
         def by_text() -> DataFrame:
             texts = self.spark.createDataFrame([(len(vector_queries) + i, q) for i, q in enumerate(bm25_queries)], "qid int, text string")
-            found = self.texts.search(texts, s.top_k, document_ids) if self.texts else search.bm25(self.chunks, texts, s.top_k, document_ids)  # few queries, so their terms alone are sought
+            found = self.texts.search(texts, s.top_k, document_ids) if self.texts else search.bm25(self.passages, texts, s.top_k, document_ids)  # few queries, so their terms alone are sought
             return materialize(found, "search-by-text")
 
         found = [x for x in tagged.at_once(self.spark, tag, [by_vector] * bool(vector_queries) + [by_text] * bool(bm25_queries)) if x is not None]
@@ -129,13 +135,14 @@ class DeepSearch:
         if lists is None:
             return self.spark.createDataFrame([], "qid int, round int, chunk_id long, score double, first struct<list_no:int,rank:int>")
         fused = search.fuse(lists.select(F.lit(0).alias("qid"), F.col("qid").alias("list_no"), "rank", "chunk_id"), s.rrf_k)
-        flags = self.chunks.select("chunk_id", is_references(F.col("heading")).alias("is_references"))
+        flags = self._named(self.passages, lists, s.top_k * (len(vector_queries) + len(bm25_queries))).select("chunk_id", is_references(F.col("heading")).alias("is_references"))
         return search.penalise(fused.join(flags, "chunk_id"), s.references_penalty).select("qid", F.lit(no).alias("round"), "chunk_id", "score", "first")
 
     def _evidence(self, found: DataFrame) -> str:
         """The best chunks of the needed relevance, max_chunks at most, by document in order of first appearance."""
         best = [F.desc(F.round("score", 12)), F.asc("round"), F.asc("first")]
-        rows = search.pool(found, best, self.settings.relevance_threshold, self.settings.max_chunks).join(self.chunks, "chunk_id")
+        pooled = search.pool(found, best, self.settings.relevance_threshold, self.settings.max_chunks)
+        rows = pooled.join(self._named(self.passages, pooled, self.settings.max_chunks), "chunk_id")
         rows = rows.select("round", "first", source_label(F.col("title"), F.col("path")).alias("source"), "content").orderBy("round", "first").collect()
         by_document: dict[str, list[str]] = {}
         for r in rows:
@@ -219,8 +226,10 @@ class DeepSearch:
             vector_queries, bm25_queries = reflection.new_vector_queries, reflection.new_bm25_queries
 
         order = [F.desc(F.round("score", 12)), F.asc("round"), F.asc("first")]
-        pooled = search.pool(found, order, s.relevance_threshold, s.max_chunks).join(self.chunks, "chunk_id")
-        chosen = materialize(search.mmr(pooled, s.mmr_lambda, s.mmr_top_n).join(self.chunks.select("chunk_id", "section_id"), "chunk_id"), "search-chosen")
+        best = search.pool(found, order, s.relevance_threshold, s.max_chunks)
+        pooled = best.join(self._named(self.chunks, best, s.max_chunks), "chunk_id")
+        named = self._named(self.passages, best, s.max_chunks)
+        chosen = materialize(search.mmr(pooled, s.mmr_lambda, s.mmr_top_n).join(named.select("chunk_id", "section_id"), "chunk_id"), "search-chosen")
         expanded = blocks.expand(chosen.select("qid", F.col("pick").alias("pos"), "chunk_id", "section_id"), self.sections, self.titles)
         sections = [r.asDict() for r in expanded.orderBy("block_pos").collect()]  # mmr_top_n at most
         yield told("expand_ready", section_ids=[b["section_id"] for b in sections], blocks=len(sections))
@@ -233,7 +242,7 @@ class DeepSearch:
         if sources:
             row = self.spark.createDataFrame([(0, answer, sources)], "qid int, answer string, sources array<string>")
             cited = blocks.cited_sources(row).first()["cited"]
-        told_of = chosen.drop("section_id").join(self.chunks, "chunk_id").select("pick", "chunk_id", "document_id", "section_id", source_label(F.col("title"), F.col("path")).alias("source"), "score", "content")
+        told_of = chosen.drop("section_id").join(named, "chunk_id").select("pick", "chunk_id", "document_id", "section_id", source_label(F.col("title"), F.col("path")).alias("source"), "score", "content")
         picks = [{k: v for k, v in r.asDict().items() if k != "pick"} for r in told_of.orderBy("pick").collect()]  # mmr_top_n at most
         yield Event("final", {"answer": answer, "citations": cited or sources, "chunks": picks, "blocks": sections, "plan": asdict(plan), "iterations": no, "trace": [e.type for e in trace], "cost": self.model.cost()})
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import catalogue
 from lectern.functions import text as X
 from lectern.operators import blocks, search
 
@@ -139,3 +140,18 @@ def test_terms_are_sought_or_joined_alike(spark, monkeypatch):
     found = search.bm25(chunks, asked).collect()
     monkeypatch.setattr(search, "MAX_TERMS", 1)
     assert sorted(found) == sorted(search.bm25(chunks, asked).collect()) and len(found) > 5
+
+
+def test_texts_are_not_exchanged_to_meet_vectors(spark, tmp_path):
+    """Passages are the chunks without their vectors, also where an id has several or none; the texts go through no join unless it has several."""
+    docs = [(i, f"text {i}", "src", "en") for i in range(30)] + [(None, "no id", "src", "en")]
+    for name, ids in (("one", [1, 2, 3, 99, None]), ("several", [1, 2, 2, 2, 5, 5, 99, None, None])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(i, [1.0, float(i or 0)]) for i in ids], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+        got, want = catalogue.passages(spark, d), catalogue.chunks(spark, d).drop("vector")
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (name == "several")
+        tops = {(r.document_id, r.path): (r.section_id, r.full_text) for r in catalogue._sections(spark, d).filter("depth = 1").collect()}
+        assert tops.pop((None, None)) == (None, None) and len(tops) == 30
+        assert all(t == (-i - 1, f"text {i}") for i, t in enumerate(tops[i % 20, str(i % 7 + 1)] for i in range(20)))
