@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import LABEL, document_label, source_label
-from lectern.operators.packing import runs
+from lectern.operators.packing import joined
 
 
 def expand(selected: DataFrame, sections: DataFrame, titles: DataFrame) -> DataFrame:
@@ -61,9 +61,7 @@ def cited_sources(answers: DataFrame) -> DataFrame:
 def delta_frames(deltas: DataFrame, limit: int = 200) -> DataFrame:
     """qid, frame_no, frame of (qid, seq, text): text is held back until there are limit characters, then sent; the rest comes last.
 
-    A delta without text changes nothing. A question's deltas are spread over tasks; a frame, of limit deltas at most, is in one row.
+    A delta without text changes nothing. A question of very many deltas is spread over tasks; a frame, of limit deltas at most, is in one row.
     """
-    told = deltas.select("qid", "seq", "text").filter(F.length("text") > 0)
-    dealt = runs(told, "qid", ["seq"], F.length("text"), limit, limit, after=True)
-    framed = dealt.groupBy("qid", "run").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
-    return framed.select("qid", (F.col("run") + 1).cast("int").alias("frame_no"), F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("frame"))
+    framed = joined(deltas.select("qid", "seq", "text"), "qid", ["seq"], limit)
+    return framed.select("qid", (F.col("run") + 1).cast("int").alias("frame_no"), F.col("text").alias("frame"))

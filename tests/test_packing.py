@@ -67,3 +67,26 @@ def test_jumps_stay_in_their_stretch():
     assert packing.following(weights, ends, 6, 2, False).tolist() == [2, 3, 3, 4, 5]
     assert packing.following(weights, ends, 6, 9, True).tolist() == [2, 3, 3, 4, 5]
     assert packing.reached(np.array([2, 3, 5, 4, 5]), np.array([0, 3])).tolist() == [True, False, True, True, True]
+
+
+def test_texts_of_frames_are_exchanged_once(spark):
+    """Groups of a block or fewer, larger ones, a null one and empty texts, against a plain loop; no group is larger: one exchange."""
+    draw, rows, want = random.Random(4), [], []
+    for qid in [*range(40), None]:
+        held, no = "", 0
+        for seq in range(draw.choice([1, 3, 30, 90])):
+            text = draw.choice(["", None, "é", "ab", "c" * draw.randrange(1, 12)])
+            rows.append((qid, seq, text))
+            held += text or ""
+            if len(held) >= 7:
+                want.append((qid, no, held))
+                held, no = "", no + 1
+        if held:
+            want.append((qid, no, held))
+    draw.shuffle(rows)
+    deltas = spark.createDataFrame(rows, "qid long, seq int, text string").repartition(5)
+    for block in (20, 1000):
+        got = packing.joined(deltas, "qid", ["seq"], 7, block)
+        assert sorted(map(tuple, got.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])) == sorted(want, key=lambda x: (x[0] is None, x[0] or 0, x[1])), block
+    plan = blocks.delta_frames(deltas, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") == 1
