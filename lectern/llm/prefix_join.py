@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.similar import HASH_SEED, _common, _pair_batch, _roots, _small, _verified, prefix, shingle_set, sketch
+from lectern.llm.similar import HASH_SEED, SKETCH, _common, _pair_batch, _roots, _small, _verified, prefix, shingle_set, sketch, wide_sketch
 from lectern.session import materialize, prepare
 
 #: Of the contract.
@@ -148,7 +148,7 @@ class Trie:
 
 
 def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, text_key, node (hash of the whole set), size, prefix and sketch of every row."""
+    """doc_id, text_key, node (hash of the whole set), size, prefix, sketch and, where it is wider, wide sketch of every row."""
     common = _common(docs, shingle)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +156,11 @@ def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) for s in sets], dtype=np.uint64).view(np.int64)
             heads = pa.array([prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), heads, pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "text_key", "node", "size", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), heads, pa.array([sketch(s) for s in sets], pa.binary()), pa.array([wide_sketch(s) if len(s) > SKETCH else b"" for s in sets], pa.binary())], names=["doc_id", "text_key", "node", "size", "prefix", "sketch", "wide"])
 
     zero = F.lit(0).cast("long")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, rows.select("doc_id", "text_key", zero.alias("node"), zero.alias("size"), F.array(zero).alias("prefix"), F.lit(b"").alias("sketch")).schema)
+    return rows.mapInArrow(run, rows.select("doc_id", "text_key", zero.alias("node"), zero.alias("size"), F.array(zero).alias("prefix"), F.lit(b"").alias("sketch"), F.lit(b"").alias("wide")).schema)
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -278,19 +278,19 @@ def components_of(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     prepare(docs.sparkSession)
     marked = materialize(_marked(docs.select("doc_id", "text"), shingle, similarity), "prefix-rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = marked.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    nodes = marked.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     nodes = materialize(nodes, "prefix-nodes")
     keys = _meeting(nodes, similarity, block_rows)
     met = materialize(_first_walks(_following(nodes, keys), similarity), "prefix-met")
     pairs = materialize(met.filter("a is not null").select("a", "b").distinct(), "prefix-pairs")
-    slim = nodes.select("node")
-    placed = materialize(_roots(slim, _verified(docs, nodes, pairs, shingle, similarity)), "prefix-placed")
+    slim, known = nodes.select("node"), nodes.select("node", "size", "first", F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("sketch")).alias("sketch"))
+    placed = materialize(_roots(slim, _verified(docs, known, pairs, shingle, similarity)), "prefix-placed")
     again = materialize(keys.join(met.filter("a is null").select("key").distinct(), "key", "left_semi"), "prefix-again")
     later = _later_walks(_following(nodes, again).join(placed, "node"), similarity)
     later = materialize(later.distinct(), "prefix-later")
     if later.limit(1).count():
         stars = placed.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        placed = materialize(_roots(slim, stars.unionAll(_verified(docs, nodes, later, shingle, similarity))), "prefix-placed")
+        placed = materialize(_roots(slim, stars.unionAll(_verified(docs, known, later, shingle, similarity))), "prefix-placed")
     rooted = nodes.select("node", F.col("first.doc_id").alias("doc_id")).join(placed, "node")
     least = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "prefix-least")
     named = materialize(placed.join(least, "root").select("node", "component_id"), "prefix-named")

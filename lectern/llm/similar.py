@@ -3,8 +3,9 @@
 Texts of similarity 0.8 differ in about ten bits of 64 at the median and in far more at worst, so no bit limit of a
 fingerprint finds them all. Close fingerprints therefore only give the first candidates. For the rest: sets of similarity
 t share a member among the first |x| - ceil(t |x|) + 1 of each, in any order of all members. These members are the keys
-under which sets meet; sizes, positions and then the whole prefixes discard pairs that cannot reach t, and survivors are
-verified on whole sets. Members that a sample finds common come last in the order, so that a passage of many texts is
+under which sets meet; sizes, positions and then parity sketches, of a bit a member at least, discard pairs that cannot
+reach t, and survivors are verified on whole sets. A pair carries sketches, never members: its two texts are exchanged
+once, when it is verified. Members that a sample finds common come last in the order, so that a passage of many texts is
 seldom a key. The sample affects the work, never the result.
 
 A set first meets its next ones by size under each key. What that leaves open goes on in rounds: a set meets, under each
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,16 @@ SIMILARITY = 0.8
 SAMPLED, COMMON, MOST_COMMON = 32, 4, 1 << 16
 #: Neighbours by size within a key that meet first; all others meet only if that has not joined them.
 NEXT = 2
-#: Bits of a sketch; rounds of closest candidates at most, before all that is left is verified.
+#: Bits of a narrow sketch; rounds of closest candidates at most, before all that is left is verified.
 SKETCH, ROUNDS = 512, 12
 #: A key's rows meet in blocks of so many; two blocks are in one task's memory.
 BLOCK_ROWS = 4096
 #: Pairs of a batch that is handed on.
 PAIRS = 1 << 18
-#: Tables of keys are broadcast up to so many rows (of three numbers each), by count; beyond, they are joined by a shuffle.
+#: Tables of keys are broadcast up to so many rows (of a few numbers each), by count; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Pairs to verify are dealt into so many such tables at most, each a reading of the texts; beyond, texts are joined by a shuffle.
+SLICES = 8
 _EPS = 1e-9
 
 
@@ -74,9 +78,19 @@ def prefix(members: np.ndarray, common: np.ndarray, similarity: float) -> np.nda
     return ordered(members, common)[: n - math.ceil(similarity * n - _EPS) + 1] if n else members
 
 
-def sketch(members: np.ndarray) -> bytes:
+def sketch(members: np.ndarray, bits: int = SKETCH) -> bytes:
     """The parity of how many members fall on each bit: where two sketches differ, a member is in one set only."""
-    return np.packbits((np.bincount((members >> np.uint64(7)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((members >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_sketch(members: np.ndarray) -> bytes:
+    """A sketch of a power of two bits, as many as members or more."""
+    return sketch(members, max(SKETCH, 1 << max(0, len(members) - 1).bit_length()))
+
+
+def folded(drawn: bytes, bits: int = SKETCH) -> np.ndarray:
+    """The sketch of so many bits that members of a wider one have, in words of 64: its parts' bits, added up."""
+    return np.bitwise_xor.reduce(np.frombuffer(drawn, dtype=np.uint64).reshape(-1, bits // 64), axis=0)
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -84,14 +98,13 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def can_be_similar(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int, similarity: float) -> bool:
-    """False only where prefixes a and b of sets of these sizes rule similarity out: up to the lesser last member, both sets are known whole."""
-    if not len(a) or not len(b):
-        return size_a == size_b
-    last = min(a[-1], b[-1])
-    a, b = a[: np.searchsorted(a, last, "right")], b[: np.searchsorted(b, last, "right")]
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return min(size_a - len(a), size_b - len(b)) + both >= similarity / (1 + similarity) * (size_a + size_b) - _EPS
+def can_be_similar(a: bytes, size_a: int, b: bytes, size_b: int, similarity: float) -> bool:
+    """False only where sketches a and b of sets of these sizes rule similarity out; the wider one is folded."""
+    if min(size_a, size_b) < similarity * max(size_a, size_b) - _EPS:
+        return False
+    bits = 8 * min(len(a), len(b))
+    apart = int(np.bitwise_count(folded(a, bits) ^ folded(b, bits)).sum(dtype=np.int64))
+    return apart <= (1 - similarity) / (1 + similarity) * (size_a + size_b) + _EPS
 
 
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -107,22 +120,28 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, text_key, node (hash of the whole set), fp, size, prefix and sketch (as longs) of every row."""
+    """doc_id, text_key, node (hash of the whole set), fp, size, prefix and (wide) sketch of every row.
+
+    A task tells a node's prefix once; that of its other rows is empty."""
     common = _common(docs, shingle)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             texts = b.column("text").to_pylist()
             sets = [shingle_set(t, shingle) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) for s in sets], dtype=np.uint64).view(np.int64)
             fps = np.fromiter((fingerprint(t, shingle) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
-            heads = pa.array([prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            drawn = pa.array([np.frombuffer(sketch(s), dtype=np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), heads, drawn], names=["doc_id", "text_key", "node", "fp", "size", "prefix", "sketch"])
+            heads = []
+            for node, members in zip(nodes.tolist(), sets, strict=True):
+                heads.append(prefix(members[:0] if node in seen else members, common, similarity).view(np.int64))
+                seen.add(node)
+            arrays = [pa.array(heads, pa.list_(pa.int64())), pa.array([wide_sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(nodes), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), *arrays], names=["doc_id", "text_key", "node", "fp", "size", "prefix", "sketch"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     zero = F.lit(0).cast("long")
-    schema = rows.select("doc_id", "text_key", zero.alias("node"), zero.alias("fp"), zero.alias("size"), F.array(zero).alias("prefix"), F.array(zero).alias("sketch")).schema
+    schema = rows.select("doc_id", "text_key", zero.alias("node"), zero.alias("fp"), zero.alias("size"), F.array(zero).alias("prefix"), F.lit(b"").alias("sketch")).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -182,13 +201,15 @@ def _pair_batch(found: list[np.ndarray], more: np.ndarray | None = None) -> pa.R
 def _met(keyed: DataFrame, similarity: float) -> DataFrame:
     """a, b: pairs of neighbours by size within a key; or, with a null b, the rows (a key, size, node, at) of keys that may hold more.
 
-    Rows are dealt by range, so a frequent key is spread over tasks. Batches are cut anywhere: a key that touches a cut counts as one that may hold more."""
+    keyed: (key, place, node), where place is the size, then 32 bits of position; repeated rows count once. Rows are dealt by range, so a frequent key is spread over tasks. Batches are cut anywhere: a key that touches a cut counts as one that may hold more."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = _numbers(b, ("key", "size", "node", "at"))
+            key, place, node = _numbers(b, ("key", "place", "node")).T
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            rows = np.stack([key, place >> 32, node, place & 0xFFFFFFFF], axis=1)[once]
             found = [rows[np.stack(p, axis=1), 2] for p in neighbours(rows, similarity, NEXT)]
             key = rows[:, 0]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -197,18 +218,23 @@ def _met(keyed: DataFrame, similarity: float) -> DataFrame:
             more[[0, -1]] = True
             yield _pair_batch(found, rows[np.repeat(more, counts)])
 
-    dealt = keyed.repartitionByRange("key", "size", "node").sortWithinPartitions("key", "size", "node")
+    dealt = keyed.repartitionByRange("key", "place", "node").sortWithinPartitions("key", "place", "node")
     return dealt.mapInArrow(run, "a long, b long, key long, size long, at long")
 
 
-def _met_later(rows: DataFrame, sketches: DataFrame, similarity: float, block_rows: int, most: int | None = None) -> DataFrame:
-    """a, b: all pairs of rows (key, size, node, at, root) of one key whose ends are in different components and can be similar.
-
-    A key in one component is done. Rows of a long key are dealt into blocks by node, and every two blocks meet in a group of their own.
-    most: the closest of a group for each row only; a row with a null b then says that there were more. sketches: (node, sketch)."""
+def _open(rows: DataFrame, block_rows: int) -> DataFrame:
+    """The rows (key, size, node, at, root) of keys that are not in one component, with the blocks that each key has."""
     counted = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     counted = counted.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    open_rows = rows.join(counted, "key").join(sketches, "node").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    return rows.join(counted, "key").select("key", "size", "node", "at", "root", "blocks")
+
+
+def _met_later(rows: DataFrame, sketches: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
+    """a, b: all pairs of rows (key, size, node, at, root, blocks) of one key whose ends are in different components and can be similar.
+
+    Rows of a long key are dealt into blocks by node, and every two blocks meet in a group of their own.
+    most: the closest of a group for each row only; a row with a null b then says that there were more. sketches: (node, sketch)."""
+    open_rows = rows.join(sketches, "node").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
     drawn = [f"s{n}" for n in range(SKETCH // 64)]
     met = open_rows.select("key", "size", "node", "at", "root", "sketch", other.alias("x"))
@@ -255,40 +281,55 @@ def _row_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", zero), "_key": F.xxhash64("text")})
 
 
+def _narrow(nodes: DataFrame) -> DataFrame:
+    """node and its narrow sketch, as longs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            drawn = [folded(x).view(np.int64) for x in b.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(drawn, pa.list_(pa.int64()))], names=["node", "sketch"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "node long, sketch array<long>")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose whole sets are similar. Prefixes rule out most; only what they leave meets with whole sets, made once a node."""
-
-    def by_prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            heads = [[np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in b.column(c)] for c in ("pa", "pb")]
-            good = [can_be_similar(x, m, y, n, similarity) for x, m, y, n in zip(heads[0], b.column("na").to_pylist(), heads[1], b.column("nb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good, pa.bool_())), b.column("b").filter(pa.array(good, pa.bool_()))], names=["a", "b"])
+    """The pairs whose whole sets are similar; nodes: (node, size, sketch, first). Sketches rule out most; the texts of what they leave are exchanged once a pair."""
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array([shingle_set(t, shingle).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("node"), made], names=["node", "members"])
+            good = [can_be_similar(*x, similarity) for x in zip(*(b.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     def by_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, members = None, None
         for b in batches:
-            both = [[np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in b.column(c)] for c in ("ma", "mb")]
-            good = pa.array([similarity_of(x, y) >= similarity - _EPS for x, y in zip(*both, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], names=["a", "b"])
-
-    heads = materialize(nodes.join(_small(materialize(_ends(pairs), "similar-ends")), "node").select("node", "size", "prefix", "first"), "similar-heads")
-    met = pairs.join(heads.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("prefix").alias("pa")), "a")
-    met = met.join(heads.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("prefix").alias("pb")), "b")
-    left = materialize(met.mapInArrow(by_prefix, "a long, b long"), "similar-left")
-    wanted = heads.join(_ends(left), "node").select("node", F.col("first.no_id").alias("_no_id"), F.coalesce("first.doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_id"), F.col("first.text_key").alias("_key"))
-    wanted = _small(materialize(wanted, "similar-wanted"))
-    texts = _row_keys(docs.select("doc_id", "text")).join(wanted, ["_no_id", "_id", "_key"]).select("node", "text").dropDuplicates(["node"])
-    whole = materialize(texts.mapInArrow(sets, "node long, members array<long>"), "similar-sets")
-    checked = left.join(whole.toDF("a", "ma"), "a").join(whole.toDF("b", "mb"), "b")
-    return materialize(checked.mapInArrow(by_sets, "a long, b long"), "similar-links")
+            good = []
+            for a, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
+                if a != last:
+                    last, members = a, shingle_set(x, shingle)
+                good.append(similarity_of(members, shingle_set(y, shingle)) >= similarity - _EPS)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    heads = materialize(nodes.join(_small(materialize(_ends(pairs), "similar-ends")), "node").select("node", "size", "sketch", "first"), "similar-heads")
+    met = pairs.join(heads.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa")), "a")
+    met = met.join(heads.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb")), "b")
+    left = materialize(met.mapInArrow(by_sketches, "a long, b long"), "similar-left")
+    slices = max(1, math.ceil(2 * left.count() / BROADCAST_ROWS))
+    dealt = F.pmod(F.xxhash64("a", "b"), F.lit(slices)) if slices <= SLICES else F.lit(0)
+    ends = left.select("a", "b", dealt.alias("slice"), F.explode(F.array("a", "b")).alias("node"))
+    first = heads.select("node", F.col("first.no_id").alias("_no_id"), F.coalesce("first.doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_id"), F.col("first.text_key").alias("_key"))
+    wanted = materialize(ends.join(first, "node").select("_no_id", "_id", "_key", "a", "b", "slice", (F.col("node") == F.col("b")).alias("second")), "similar-wanted")
+    rows, found = _row_keys(docs.select("doc_id", "text")).select("text", "_no_id", "_id", "_key"), []
+    for no in range(slices if slices <= SLICES else 1):
+        some = wanted.filter(F.col("slice") == no).drop("slice")
+        texts = rows.join(F.broadcast(some) if slices <= SLICES else some, ["_no_id", "_id", "_key"])
+        both = texts.groupBy("a", "b").agg(F.max(F.when(~F.col("second"), F.col("text"))).alias("ta"), F.max(F.when(F.col("second"), F.col("text"))).alias("tb"))
+        found.append(materialize(both.mapInArrow(by_sets, "a long, b long"), "similar-links"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def _by_fingerprints(nodes: DataFrame) -> DataFrame:
@@ -311,19 +352,20 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     prepare(docs.sparkSession)
     marked = materialize(_marked(docs, shingle, similarity), "similar-rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = marked.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    nodes = marked.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", "sketch")))
     nodes = materialize(nodes, "similar-nodes")
-    keyed = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "size", "node", F.col("at").cast("long").alias("at"))
+    keyed = marked.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", (F.shiftleft("size", 32) + F.col("at")).alias("place"), "node")
     met = materialize(_met(keyed, similarity), "similar-met")
     pairs = met.filter("b is not null").select("a", "b").unionAll(_by_fingerprints(nodes.select("node", "fp"))).distinct()
     found = _verified(docs, nodes, materialize(pairs, "similar-pairs"), shingle, similarity)
     slim = nodes.select("node")
     placed = materialize(_roots(slim, found), "similar-placed")
     rest = materialize(met.filter("b is null").select("key", "size", F.col("a").alias("node"), "at"), "similar-rest")
-    sketches, most = nodes.select("node", "sketch"), NEXT
+    sketches, most = materialize(_narrow(nodes), "similar-sketches"), NEXT
     for no in range(ROUNDS + 1):
         most = most if no < ROUNDS else None
-        later = materialize(_met_later(rest.join(placed, "node"), sketches, similarity, block_rows, most).distinct(), "similar-later")
+        rest = materialize(_open(rest.select("key", "size", "node", "at").join(placed, "node"), block_rows), "similar-open")
+        later = materialize(_met_later(rest, sketches, similarity, most).distinct(), "similar-later")
         pairs, more = later.filter("b is not null"), later.filter("b is null").limit(1).count()
         if not pairs.limit(1).count():
             break

@@ -1,7 +1,10 @@
 """Near copies by shingle sets against brute force."""
 
+import os
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from lectern.llm import similar
 
@@ -92,3 +95,56 @@ def test_a_large_group_of_near_copies_is_not_paired_off(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in similar.deduplicated(docs).collect()) == brute_force(rows)
     assert sum(seen) < 30 * n
+
+
+def test_sketches_of_a_bit_a_member_rule_out_no_similar_pair():
+    """Most pairs that are clearly less similar go, also of sets far larger than the narrow sketch and of unlike sizes."""
+    draw, dropped = np.random.default_rng(4), 0
+    for n in (0, 1, 7, 500, 513, 1024, 1025, 20_000):
+        a = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64))
+        for share in (0, 0.02, 0.1, 0.11, 0.2, 0.4, 0.9):
+            for more in (0, n // 8):
+                b = np.unique(np.concatenate([a[round(share * n) :], draw.integers(0, 2**63, round(share * n) + more, dtype=np.uint64)]))
+                able = similar.can_be_similar(similar.wide_sketch(a), len(a), similar.wide_sketch(b), len(b), 0.8)
+                assert able == similar.can_be_similar(similar.wide_sketch(b), len(b), similar.wide_sketch(a), len(a), 0.8)
+                assert able or len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b))
+                if n >= 500 and share >= 0.2:
+                    assert not able
+                    dropped += 1
+    assert dropped == 30
+
+
+def test_what_is_stored_stays_well_below_the_texts(spark, monkeypatch):
+    """Candidates carry sketches, and whole sets are made where two texts meet: no table holds members but the first one, once a set and task."""
+    draw, size, plain = random.Random(12), {}, similar.materialize
+
+    def stored(df, tag):
+        out = plain(df, tag)
+        size[tag] = size.get(tag, 0) + sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(similar, "materialize", stored)
+    rows = []
+    for b in range(30):
+        base = [f"w{draw.randrange(5000)}" for _ in range(2500)]
+        for c in range(6):
+            words = list(base)
+            for at in draw.sample(range(2500), 20 if c else 0):
+                words[at] = f"w{draw.randrange(5000)}"
+            rows.append((b * 100 + c, " ".join(words)))
+    rows += [(5000 + i, rows[0][1]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in similar.deduplicated(docs).collect()) == [b * 100 for b in range(30)]
+    assert sum(size.values()) < sum(len(t) for _, t in rows[:180])
+
+
+def test_pairs_are_verified_in_slices(spark, monkeypatch):
+    """More ends of pairs than are broadcast: some slices, or texts joined by a shuffle; repeated rows, nulls and texts that are one another's copies."""
+    rows = planted(8, 8)
+    rows += [(None, rows[20][1]), (rows[30][0], rows[30][1]), (None, None), (77, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_force([(9999 if no is None else no, t) for no, t in rows])
+    for ends, slices in ((40, 64), (3, 2)):
+        monkeypatch.setattr(similar, "BROADCAST_ROWS", ends)
+        monkeypatch.setattr(similar, "SLICES", slices)
+        assert sorted(9999 if r.doc_id is None else r.doc_id for r in similar.deduplicated(docs).collect()) == want
